@@ -171,10 +171,19 @@ def _gate_words(rules) -> list[str]:
     return list(dict.fromkeys(w for r in rules for group in r.gate for w in group))
 
 
-def gate_words_found(text: str, rules=GATED) -> str:
-    """The gate literals of the rules that occur in the text."""
-    words = _gate_words(rules) + ["style"]
-    return let(fold_case(text), lambda l: f"filter(array({', '.join(map(q, words))}), w -> contains({l}, w))")
+def gate_tokens(text: str, rules=GATED) -> str:
+    """Tokens of the gate literals that occur in the text (see ``rules.gate_pattern``)."""
+    pattern = R.gate_pattern(_gate_words(rules) + ["style"])
+    return f"array_distinct(regexp_extract_all({fold_case(text)}, {q(pattern)}, 1))"
+
+
+_ALL_TOKENS = sorted({R.gate_token(w) for w in _gate_words(GATED)} | {R.gate_token("style")})
+
+
+def word_found(found: str, *words: str) -> str:
+    """Whether a token of one of the words is among the found ones."""
+    tokens = {t for w in words for t in _ALL_TOKENS + [R.gate_token(w)] if t.startswith(R.gate_token(w))}
+    return f"arrays_overlap({found}, array({', '.join(map(q, sorted(tokens)))}))"
 
 
 def gate_open(found: str, rule: R.Rule) -> str:
@@ -182,11 +191,17 @@ def gate_open(found: str, rule: R.Rule) -> str:
     if not rule.gate:
         return "true"
     single = [g[0] for g in rule.gate if len(g) == 1]
-    conds = [f"array_contains({found}, {q(w)})" for w in single]
-    conds += ["(" + " AND ".join(f"array_contains({found}, {q(w)})" for w in g) + ")" for g in rule.gate if len(g) > 1]
+    conds = [word_found(found, *single)] if single else []
+    conds += ["(" + " AND ".join(word_found(found, w) for w in g) + ")" for g in rule.gate if len(g) > 1]
     return "(" + " OR ".join(conds) + ")"
 
 
+def any_gate_open(found: str, rules) -> str:
+    if any(not r.gate for r in rules):
+        return "true"
+    return word_found(found, *(g[0] for r in rules for g in r.gate))
+
+
 def report_comment(state: str) -> str:
     return _report_first(state, EARLY, R.COMMENT_INSTRUCTIONS, lambda s: contains_all(f"{s}.t", "<!--", "-->"))
 
@@ -196,7 +211,7 @@ def drop_comments(rules):
 
     def stage(state):
         return let(state, lambda s: let(strip_comments(f"{s}.t"), lambda t: struct(
-            t=t, f=gate_words_found(t, gated), n=f"{s}.n", blocked=f"{s}.blocked", d=f"{s}.d")))
+            t=t, f=gate_tokens(t, gated), n=f"{s}.n", blocked=f"{s}.blocked", d=f"{s}.d")))
 
     return stage
 
@@ -223,9 +238,9 @@ def drop_styles(rules):
     def stage(state):
         def drop(s):
             return let(replace(f"{s}.t", pattern, ""), lambda t: when(
-                f"length({t}) < length({s}.t)", _with(s, LATE, t=t, f=gate_words_found(t, gated)), s))
+                f"length({t}) < length({s}.t)", _with(s, LATE, t=t, f=gate_tokens(t, gated)), s))
 
-        return _step(state, lambda s: f"array_contains({s}.f, 'style')", drop)
+        return _step(state, lambda s: word_found(f"{s}.f", "style"), drop)
 
     return stage
 
@@ -262,6 +277,11 @@ def rescan_base64(state: str) -> str:
 
 # ------------------------------------------------------------- strip rules
 
+def rule_matches(text: str, rule: R.Rule) -> str:
+    probes = " OR ".join(f"{text} rlike {q(R.to_java(p))}" for p in rule.probe)
+    return (f"({probes}) AND " if probes else "") + f"{text} rlike {q(rule.java)}"
+
+
 def rule_hits(text: str, rule: R.Rule) -> str:
     return f"regexp_extract_all({text}, {q(rule.java)}, {rule.group})"
 
@@ -276,7 +296,7 @@ def strip_rule(state: str, rule: R.Rule) -> str:
         return _with(s, LATE, hits_to_detections(rule_hits(f"{s}.t", rule), rule),
                      t=replace(f"{s}.t", rule.java, rule.replacement))
 
-    return _step(state, lambda s: f"{gate_open(s + '.f', rule)} AND {s}.t rlike {q(rule.java)}", strip)
+    return _step(state, lambda s: f"{gate_open(s + '.f', rule)} AND {rule_matches(s + '.t', rule)}", strip)
 
 
 def strip_tags(text: str) -> str:
@@ -313,12 +333,13 @@ def escape_for(text: str, context: str) -> str:
 def late_stages(context: str = "'general'", limits: Limits = DEFAULT_LIMITS, rules=R.RULES, per_stage: int = 8):
     """The rest of the pipeline; the last stage gives ``struct<t, n, c, d>`` (c: cleaned length)."""
     def chain(some):
-        def stage(state):
+        def all_of(state):
             for rule in some:
                 state = strip_rule(state, rule)
             return state
 
-        return stage
+        # most texts open no gate of a stage and pass it in one step
+        return lambda state: _step(state, lambda s: any_gate_open(f"{s}.f", some), all_of)
 
     def finish(state):
         return let(residual_tags(state), lambda s: let(escape_for(f"{s}.t", context), lambda t: struct(

@@ -44,66 +44,52 @@ def homoglyph_ratio(text: str, threshold: float) -> str:
 
 def may_change(text: str) -> str:
     """Whether NFC might change the text."""
-    return f"(NOT {is_ascii(text)} AND {text} rlike {q(_UNSTABLE)})"
+    beyond_latin = r"[^\x{0}-\x{2ff}]"     # one range: a much cheaper test
+    return f"(NOT {is_ascii(text)} AND {text} rlike {q(beyond_latin)} AND {text} rlike {q(_UNSTABLE)})"
 
 
 def needs_normalising(text: str, threshold: float) -> str:
     return f"({may_change(text)} OR {homoglyph_ratio(text, threshold)} > {threshold}D)"
 
 
-def _nfc(arr: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(arr, form="NFC")
-
-
-def _ascii(arr: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_normalize(arr, form="NFKD"), r"[^\x00-\x7F]", "")
-
-
-def _normalise_tree(arr: pa.Array) -> pa.Array:
-    """Normalise every leaf state (a struct with the fields t and a) of a nested array."""
-    kind = arr.type
-    if pa.types.is_struct(kind):
-        names = [f.name for f in kind]
-        parts = dict(zip(names, arr.flatten()))
-        if names[:2] == ["t", "a"]:
-            parts["t"] = _nfc(parts["t"])
-            parts["a"] = _ascii(parts["t"])
-        else:
-            parts = {n: _normalise_tree(p) for n, p in parts.items()}
-        return pa.StructArray.from_arrays(list(parts.values()), fields=list(kind), mask=arr.is_null())
-    if pa.types.is_map(kind):
-        items = _normalise_tree(arr.items)
-        return pa.MapArray.from_arrays(arr.offsets, arr.keys, items, type=kind, mask=_mask(arr))
-    if pa.types.is_list(kind):
-        return pa.ListArray.from_arrays(arr.offsets, _normalise_tree(arr.values), type=kind, mask=_mask(arr))
-    return arr
-
-
-def _mask(arr: pa.Array):
-    # from_arrays takes a mask only for arrays that are not slices
-    return arr.is_null() if arr.null_count else None
+def normalise_states(dtype: T.DataType):
+    """Arrow function over a column of (nested) leaf states of the given type:
+    the text becomes NFC and the field beside it its ASCII form.
 
+    Everything it calls is defined inside it, so it is shipped by value and the
+    executors do not need this package.
+    """
+    def tree(arr):
+        kind = arr.type
+        mask = arr.is_null() if arr.null_count else None
+        if pa.types.is_struct(kind):
+            names = [f.name for f in kind]
+            parts = dict(zip(names, arr.flatten()))
+            if names[:2] == ["t", "a"]:
+                parts["t"] = pc.utf8_normalize(parts["t"], form="NFC")
+                parts["a"] = pc.replace_substring_regex(
+                    pc.utf8_normalize(parts["t"], form="NFKD"), r"[^\x00-\x7F]", "")
+            else:
+                parts = {n: tree(p) for n, p in parts.items()}
+            return pa.StructArray.from_arrays(list(parts.values()), fields=list(kind), mask=mask)
+        if pa.types.is_map(kind):
+            return pa.MapArray.from_arrays(arr.offsets, arr.keys, tree(arr.items), type=kind, mask=mask)
+        if pa.types.is_list(kind):
+            return pa.ListArray.from_arrays(arr.offsets, tree(arr.values), type=kind, mask=mask)
+        return arr
 
-def normalise_states(dtype: T.DataType):
-    """Arrow function over a column of (nested) leaf states of the given type."""
     @F.arrow_udf(dtype)
     def normalise(states: pa.Array) -> pa.Array:
-        return _normalise_tree(states)
+        return tree(states)
 
     return normalise
 
 
-@F.arrow_udf(T.StringType())
-def nfc(text: pa.Array) -> pa.Array:
-    return _nfc(text)
-
-
-@F.arrow_udf(T.StringType())
-def ascii_form(text: pa.Array) -> pa.Array:
-    return _ascii(text)
-
-
 def nfc_column(df: DataFrame, col: str, out: str) -> DataFrame:
     """Add the NFC form of a text column; unaffected rows do not reach Python."""
+    @F.arrow_udf(T.StringType())
+    def nfc(text: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(text, form="NFC")
+
     c = name(col)
     return df.withColumn(out, F.coalesce(nfc(F.expr(f"CASE WHEN {may_change(c)} THEN {c} END")), F.col(c)))

@@ -30,9 +30,12 @@ from functools import lru_cache
 BLOCKED = "[blocked]"
 
 # Python's \s and \w, spelled as class members.
-_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE = r"\x20\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WORD = r"\p{L}\p{N}_"
 _MEMBERS = {"s": _SPACE, "w": _WORD, "d": r"\p{Nd}"}
+# With the flag U, \s of the JVM lacks only the four separators; one predicate
+# and one range are much faster there than ten ranges.
+_JAVA_MEMBERS = _MEMBERS | {"s": r"\s\x1c-\x1f"}
 
 
 def _respell(pattern: str, inner: dict[str, str], outer: dict[str, str]) -> str:
@@ -64,8 +67,8 @@ def _boundary(rest: str) -> str:
 @lru_cache(maxsize=None)
 def to_java(pattern: str) -> str:
     """Spelling for ``java.util.regex``: Unicode case folding, Python's classes."""
-    inner = dict(_MEMBERS)
-    outer = {k: f"[{v}]" for k, v in _MEMBERS.items()} | {"S": f"[^{_SPACE}]", "b": _boundary}
+    inner = dict(_JAVA_MEMBERS)
+    outer = {k: f"[{v}]" for k, v in inner.items()} | {"S": f"[^{inner['s']}]", "b": _boundary}
     return "(?Ud)" + _respell(pattern, inner, outer)
 
 
@@ -87,6 +90,9 @@ class Rule:
     pattern: str
     gate: tuple[tuple[str, ...], ...] = ()
     linear: str | None = None
+    # Cheap expressions of which one must match; they start with a character
+    # class, which the JVM scans several times faster than a look-behind.
+    probe: tuple[str, ...] = ()
     # For a ``linear`` spelling that has to look at text before the match: the
     # group holding the match, and the group to put back in front of it.
     group: int = 0
@@ -122,7 +128,7 @@ def _each(first: str, *words: str) -> tuple[tuple[str, ...], ...]:
 SQL = [
     Rule("sql_injection", "sql_drop_alter", "critical",
          r"(?i)\b(DROP|ALTER|TRUNCATE|DELETE\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET)\b\s",
-         gate=(("drop",), ("alter",), ("truncate",), ("delete", "from"), ("insert", "into"), ("update", "set"))),
+         gate=_any("drop", "alter", "truncate", "delete", "insert", "update")),
     Rule("sql_injection", "sql_union_select", "critical",
          r"(?i)\bUNION\s+(ALL\s+)?SELECT\b",
          gate=(("union", "select"),)),
@@ -180,16 +186,16 @@ XSS = [
          linear=r"(?i)<\s*+(?:/\s*+)?+script[\s>]"),
     Rule("xss", "xss_event_handler", "critical",
          r"""(?i)\bon\w+\s*=\s*['\"]""",
-         gate=(("on", "="),)),
+         gate=_any("=")),
     Rule("xss", "xss_js_uri", "critical",
          r"(?i)javascript\s*:",
          gate=_any("javascript")),
     Rule("xss", "xss_data_uri", "high",
          r"(?i)data\s*:\s*text/html",
-         gate=(("data", "text/html"),)),
+         gate=_any("text/html")),
     Rule("xss", "xss_svg_event", "critical",
          r"(?i)<\s*svg[\s/].*?on\w+\s*=",
-         gate=(("svg", "on", "="),),
+         gate=(("svg", "="),),
          # Walk word by word; the first "on" of a word decides for that word.
          linear=r"(?i)<\s*+svg[\s/](?>(?:[^\w\n]++|(?!(?>\w*?on)\w++\s*+=)\w++)*+)(?>\w*?on)\w++\s*+="),
     Rule("xss", "xss_css_expr", "high",
@@ -219,28 +225,28 @@ PROMPT = [
          gate=_any("instruction")),
     Rule("prompt_injection", "prompt_role_manipulation", "critical",
          r"(?i)(you\s+are\s+now|act\s+as\s+if|pretend\s+(?:to\s+be|you\s+are)|your\s+new\s+role\s+is)",
-         gate=(("you", "are", "now"), ("act", "as", "if"), ("pretend",), ("your", "new", "role"))),
+         gate=(("now",), ("act", "if"), ("pretend",), ("new", "role"))),
     Rule("prompt_injection", "prompt_authority_claim", "high",
          r"(?i)(as\s+(?:an?\s+)?admin|with\s+admin\s+(?:access|privileges?)|authorized\s+by\s+(?:the\s+)?system)",
          gate=(("admin",), ("authorized", "system"))),
     Rule("prompt_injection", "prompt_jailbreak", "critical",
          r"(?i)(do\s+anything\s+now|DAN\s+mode|jailbreak|bypass\s+(?:safety|restrictions?|filters?))",
-         gate=(("anything", "now"), ("dan", "mode"), ("jailbreak",), ("bypass",))),
+         gate=_any("anything", "mode", "jailbreak", "bypass")),
     Rule("prompt_injection", "prompt_data_exfil", "critical",
          r"(?i)(send\s+(?:all|this|the)\s+(?:the\s+)?(?:data|info|content|text)\s+to|exfiltrate|forward\s+(?:to|all)\s+)",
-         gate=(("send", "to"), ("exfiltrate",), ("forward",))),
+         gate=_any("send", "exfiltrate", "forward")),
     Rule("prompt_injection", "prompt_privilege_escalation", "critical",
          r"(?i)(escalat\w+\s+(?:my\s+)?(?:privileges?|permissions?|access)|grant\s+(?:me\s+)?(?:admin|root|sudo))",
          gate=(("escalat",), ("grant",))),
     Rule("prompt_injection", "prompt_hidden_marker", "critical",
          r"(?i)(BEGIN\s+HIDDEN\s+INSTRUCTIONS?|SYSTEM\s*:\s*override|ADMIN\s*:\s*execute)",
-         gate=(("begin", "hidden"), ("system", "override"), ("admin", "execute"))),
+         gate=(("begin", "hidden"), ("override",), ("admin", "execute"))),
     Rule("prompt_injection", "prompt_trust_building", "high",
          r"(?i)(as\s+we\s+(?:discussed|agreed)\s+(?:earlier|before|previously)|you\s+already\s+(?:agreed|confirmed|said\s+you\s+would))",
          gate=(("discussed",), ("agreed",), ("already", "confirmed"), ("already", "said"))),
     Rule("prompt_injection", "prompt_incremental_escalation", "medium",
          r"(?i)(just\s+this\s+once|small\s+exception|bend\s+the\s+rules?\s+(?:a\s+)?(?:little|bit)|slightly\s+modify\s+(?:your|the)\s+(?:rules?|behavior))",
-         gate=(("just", "once"), ("small", "exception"), ("bend", "rule"), ("slightly", "modify"))),
+         gate=_any("just", "exception", "bend", "slightly")),
 ]
 
 JSON = [
@@ -289,9 +295,10 @@ CSV = [
     Rule("csv_injection", "csv_formula_injection", "high",
          r"(?m)^[\s]*[=+@]\s*[A-Za-z(]",
          gate=_any("=", "+", "@"),
+         probe=(r"[=+@]\s*+[A-Za-z(]",),
          # Enter each run of blanks once, at its start; what lies before its
          # first line start is put back.
-         linear=r"(\A|(?<!\s)(?:(?!\n)\s)*+\n)(\s*+[=+@]\s*+[A-Za-z(])",
+         linear=r"(\A|(?![!-~])(?<!\s)(?:(?!\n)\s)*+\n)(\s*+[=+@]\s*+[A-Za-z(])",
          group=2, keep="$1"),
     Rule("csv_injection", "csv_dde_injection", "critical",
          r"(?i)(?:=\s*(?:cmd|IMPORTXML|IMPORTFEED|IMPORTHTML|IMPORTRANGE|IMAGE|HYPERLINK)\s*\()",
@@ -313,6 +320,7 @@ RAG = [
          gate=_any("phase", "step")),
     Rule("rag_poisoning", "rag_token_stuffing", "medium",
          r"(?:(?:[A-Z]{2,}\s+){5,}|(?:\b\w{1,2}\b\s+){10,})",
+         probe=(r"[A-Z]{2}\s++[A-Z]{2}", r"\s\S{1,2}+\s++\S{1,2}+\s++\S{1,2}+\s"),
          # A match in capitals starts at the start of a run of capitals.
          linear=r"(?:(?<![A-Z])(?:[A-Z]{2,}+\s++){5,}+|(?:\b\w{1,2}\s++){10,}+)"),
 ]
@@ -351,6 +359,47 @@ HIDING_STYLE_LINEAR = rf"""(?i)style\s*+=\s*+["'](?>[^"']*?(?:{_HIDING_CSS}))[^"
 
 # --------------------------------------------------------------------------
 
+# Letters from rare to frequent; anything else (signs, digits) is rarer still.
+_RARITY = "zqjxkvbpygfwmucldrhsnioate"
+
+
+def _anchor(word: str) -> int:
+    return min(range(len(word)), key=lambda i: _RARITY.find(word[i]))
+
+
+def gate_token(word: str) -> str:
+    """What the gate pattern reports for a literal: the part from its rarest letter on."""
+    return word[_anchor(word):]
+
+
+def gate_pattern(words) -> str:
+    """One expression that finds all literals in one pass over folded text.
+
+    A literal is recognised at its rarest letter, so that most positions are
+    dismissed by a single character test; trying every literal at every letter
+    costs fifty times as much.  Longer tokens come first, hence a token that is
+    a prefix of another one may be reported as the longer one.
+    """
+    by_letter: dict[str, set[tuple[str, str]]] = {}
+    for w in words:
+        i = _anchor(w)
+        by_letter.setdefault(w[i], set()).add((w[:i], w[i + 1:]))
+    def branch(letter):
+        ordered = sorted(by_letter[letter], key=lambda e: (-len(e[1]), e))
+        return re.escape(letter) + "(?:" + "|".join(
+            re.escape(after) + (f"(?<={re.escape(before + letter + after)})" if before else "")
+            for before, after in ordered) + ")"
+
+    def one_of(letters):
+        return f"(?=[{''.join(map(re.escape, letters))}])"
+
+    # groups of six: two short searches instead of a long one
+    frequent_first = sorted(by_letter, key=_RARITY.find, reverse=True)
+    groups = [frequent_first[i:i + 6] for i in range(0, len(frequent_first), 6)]
+    found = "|".join(f"{one_of(g)}(?:{'|'.join(map(branch, g))})" for g in groups)
+    return f"{one_of(frequent_first)}(?=({found}))"
+
+
 RULES: tuple[Rule, ...] = tuple(SQL + CODE + XSS + PROMPT + JSON + ENCODING + SSRF + CSV + RAG)
 
 # The rules tried on decoded base64 text, in this order.

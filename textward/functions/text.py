@@ -14,8 +14,9 @@ from __future__ import annotations
 from .. import rules as R
 from ..limits import (BASE64_REMOVED, DEFAULT_LIMITS, OVERSIZE_TEXT, RENDERING_CONTEXTS,
                       TRUNCATED_SUFFIX, Limits)
-from .expr import (NO_DETECTIONS, contains_all, detection, each, fold_case, is_ascii, let, q, remove_spans,
+from .expr import (NO_DETECTIONS, contains_all, detection, each, is_ascii, let, q, remove_spans,
                    replace, split_at_last, struct, when)
+from .gates import Gates
 from .unicode import homoglyph_ratio
 
 EARLY = ("t", "a", "n", "blocked", "d")     # a: ASCII form, set by the Unicode step
@@ -164,59 +165,22 @@ def _report_first(state: str, fields, rule: R.Rule, maybe) -> str:
 # A run of 36 covers one whole block of 18 of an even division of the text.
 _BASE64_BLOCK = r"(?s)\A(?:.{18})*?[A-Za-z0-9+/]{18}"
 
-GATED = R.RULES + tuple(r for r in R.HIDDEN if r.vector == "hidden_css_invisible")
-
-
-def _gate_words(rules) -> list[str]:
-    return list(dict.fromkeys(w for r in rules for group in r.gate for w in group))
-
-
-def gate_tokens(text: str, rules=GATED) -> str:
-    """Tokens of the gate literals that occur in the text (see ``rules.gate_pattern``)."""
-    pattern = R.gate_pattern(_gate_words(rules) + ["style"])
-    return f"array_distinct(regexp_extract_all({fold_case(text)}, {q(pattern)}, 1))"
-
-
-_ALL_TOKENS = sorted({R.gate_token(w) for w in _gate_words(GATED)} | {R.gate_token("style")})
-
-
-def word_found(found: str, *words: str) -> str:
-    """Whether a token of one of the words is among the found ones."""
-    tokens = {t for w in words for t in _ALL_TOKENS + [R.gate_token(w)] if t.startswith(R.gate_token(w))}
-    return f"arrays_overlap({found}, array({', '.join(map(q, sorted(tokens)))}))"
-
-
-def gate_open(found: str, rule: R.Rule) -> str:
-    """Whether the found literals allow the rule to match."""
-    if not rule.gate:
-        return "true"
-    single = [g[0] for g in rule.gate if len(g) == 1]
-    conds = [word_found(found, *single)] if single else []
-    conds += ["(" + " AND ".join(word_found(found, w) for w in g) + ")" for g in rule.gate if len(g) > 1]
-    return "(" + " OR ".join(conds) + ")"
-
-
-def any_gate_open(found: str, rules) -> str:
-    if any(not r.gate for r in rules):
-        return "true"
-    return word_found(found, *(g[0] for r in rules for g in r.gate))
+_CSS = next(r for r in R.HIDDEN if r.vector == "hidden_css_invisible")
 
 
 def report_comment(state: str) -> str:
     return _report_first(state, EARLY, R.COMMENT_INSTRUCTIONS, lambda s: contains_all(f"{s}.t", "<!--", "-->"))
 
 
-def drop_comments(rules):
-    gated = tuple(rules) + GATED[len(R.RULES):]
-
+def drop_comments(gates: Gates):
     def stage(state):
         return let(state, lambda s: let(strip_comments(f"{s}.t"), lambda t: struct(
-            t=t, f=gate_tokens(t, gated), n=f"{s}.n", blocked=f"{s}.blocked", d=f"{s}.d")))
+            t=t, f=gates.found_in(t), n=f"{s}.n", blocked=f"{s}.blocked", d=f"{s}.d")))
 
     return stage
 
 
-def report_hidden(state: str) -> str:
+def report_hidden(state: str, gates: Gates) -> str:
     for rule in R.HIDDEN:
         if rule.vector in ("hidden_zero_width", "hidden_bidi_control"):
             continue        # those characters are gone by now; see operators.detect
@@ -225,22 +189,21 @@ def report_hidden(state: str) -> str:
         elif rule.vector == "hidden_base64_payload":
             maybe = lambda s: f"{s}.t rlike {q(_BASE64_BLOCK)}"
         else:
-            maybe = lambda s, r=rule: gate_open(f"{s}.f", r)
+            maybe = lambda s, r=rule: gates.open(f"{s}.f", r)
         state = _report_first(state, LATE, rule, maybe)
     return state
 
 
-def drop_styles(rules):
+def drop_styles(gates: Gates):
     """Remove style attributes that hide content; joined text needs new gates."""
-    gated = tuple(rules) + GATED[len(R.RULES):]
     pattern = R.to_java(R.HIDING_STYLE_LINEAR)
 
     def stage(state):
         def drop(s):
             return let(replace(f"{s}.t", pattern, ""), lambda t: when(
-                f"length({t}) < length({s}.t)", _with(s, LATE, t=t, f=gate_tokens(t, gated)), s))
+                f"length({t}) < length({s}.t)", _with(s, LATE, t=t, f=gates.found_in(t)), s))
 
-        return _step(state, lambda s: word_found(f"{s}.f", "style"), drop)
+        return _step(state, lambda s: gates.has(f"{s}.f", "style"), drop)
 
     return stage
 
@@ -290,13 +253,13 @@ def hits_to_detections(hits: str, rule: R.Rule, action: str = "stripped") -> str
     return each(hits, lambda h: detection(rule.category, rule.vector, rule.severity, f"left({h}, 100)", action))
 
 
-def strip_rule(state: str, rule: R.Rule) -> str:
+def strip_rule(state: str, rule: R.Rule, gates: Gates) -> str:
     """One detection per match, every match replaced, text passed on."""
     def strip(s):
         return _with(s, LATE, hits_to_detections(rule_hits(f"{s}.t", rule), rule),
                      t=replace(f"{s}.t", rule.java, rule.replacement))
 
-    return _step(state, lambda s: f"{gate_open(s + '.f', rule)} AND {rule_matches(s + '.t', rule)}", strip)
+    return _step(state, lambda s: f"{gates.open(s + '.f', rule)} AND {rule_matches(s + '.t', rule)}", strip)
 
 
 def strip_tags(text: str) -> str:
@@ -332,19 +295,21 @@ def escape_for(text: str, context: str) -> str:
 
 def late_stages(context: str = "'general'", limits: Limits = DEFAULT_LIMITS, rules=R.RULES, per_stage: int = 8):
     """The rest of the pipeline; the last stage gives ``struct<t, n, c, d>`` (c: cleaned length)."""
+    gates = Gates([*rules, _CSS], extra=("style",))
+
     def chain(some):
         def all_of(state):
             for rule in some:
-                state = strip_rule(state, rule)
+                state = strip_rule(state, rule, gates)
             return state
 
         # most texts open no gate of a stage and pass it in one step
-        return lambda state: _step(state, lambda s: any_gate_open(f"{s}.f", some), all_of)
+        return lambda state: _step(state, lambda s: gates.any_open(f"{s}.f", some), all_of)
 
     def finish(state):
         return let(residual_tags(state), lambda s: let(escape_for(f"{s}.t", context), lambda t: struct(
             t=t, n=f"{s}.n", c=when(f"{s}.blocked", "0", f"length({t})"), d=f"{s}.d")))
 
-    first = [lambda s: strip_zero_width(fold_homoglyphs(s, limits)), report_comment, drop_comments(rules),
-             report_hidden, drop_styles(rules), rescan_base64]
+    first = [lambda s: strip_zero_width(fold_homoglyphs(s, limits)), report_comment, drop_comments(gates),
+             lambda s: report_hidden(s, gates), drop_styles(gates), rescan_base64]
     return first + [chain(rules[i:i + per_stage]) for i in range(0, len(rules), per_stage)] + [finish]

@@ -359,47 +359,6 @@ HIDING_STYLE_LINEAR = rf"""(?i)style\s*+=\s*+["'](?>[^"']*?(?:{_HIDING_CSS}))[^"
 
 # --------------------------------------------------------------------------
 
-# Letters from rare to frequent; anything else (signs, digits) is rarer still.
-_RARITY = "zqjxkvbpygfwmucldrhsnioate"
-
-
-def _anchor(word: str) -> int:
-    return min(range(len(word)), key=lambda i: _RARITY.find(word[i]))
-
-
-def gate_token(word: str) -> str:
-    """What the gate pattern reports for a literal: the part from its rarest letter on."""
-    return word[_anchor(word):]
-
-
-def gate_pattern(words) -> str:
-    """One expression that finds all literals in one pass over folded text.
-
-    A literal is recognised at its rarest letter, so that most positions are
-    dismissed by a single character test; trying every literal at every letter
-    costs fifty times as much.  Longer tokens come first, hence a token that is
-    a prefix of another one may be reported as the longer one.
-    """
-    by_letter: dict[str, set[tuple[str, str]]] = {}
-    for w in words:
-        i = _anchor(w)
-        by_letter.setdefault(w[i], set()).add((w[:i], w[i + 1:]))
-    def branch(letter):
-        ordered = sorted(by_letter[letter], key=lambda e: (-len(e[1]), e))
-        return re.escape(letter) + "(?:" + "|".join(
-            re.escape(after) + (f"(?<={re.escape(before + letter + after)})" if before else "")
-            for before, after in ordered) + ")"
-
-    def one_of(letters):
-        return f"(?=[{''.join(map(re.escape, letters))}])"
-
-    # groups of six: two short searches instead of a long one
-    frequent_first = sorted(by_letter, key=_RARITY.find, reverse=True)
-    groups = [frequent_first[i:i + 6] for i in range(0, len(frequent_first), 6)]
-    found = "|".join(f"{one_of(g)}(?:{'|'.join(map(branch, g))})" for g in groups)
-    return f"{one_of(frequent_first)}(?=({found}))"
-
-
 RULES: tuple[Rule, ...] = tuple(SQL + CODE + XSS + PROMPT + JSON + ENCODING + SSRF + CSV + RAG)
 
 # The rules tried on decoded base64 text, in this order.

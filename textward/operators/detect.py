@@ -22,22 +22,26 @@ def detect(df: DataFrame, col: str, out: str = "detections", *, rules=R.RULES, h
     gates = Gates([*rules, *hidden])
     df = nfc_column(df, col, text).withColumn(found, F.expr(gates.found_in(text)))
 
-    def of_rule(rule):
+    def of_rule(rule, t):
         if rule in hidden:
-            hit = let(first_match(text, rule), lambda m: (
+            hit = let(first_match(t, rule), lambda m: (
                 f"CASE WHEN {m} != '' THEN array("
                 f"{detection(rule.category, rule.vector, rule.severity, f'left({m}, 100)', 'found')}) END"))
             cond = gates.open(found, rule)
         else:
-            hit = hits_to_detections(rule_hits(text, rule), rule, "found")
-            cond = f"{gates.open(found, rule)} AND {rule_matches(text, rule)}"
+            hit = hits_to_detections(rule_hits(t, rule), rule, "found")
+            cond = f"{gates.open(found, rule)} AND {rule_matches(t, rule)}"
         return f"coalesce(CASE WHEN {cond} THEN {hit} END, {NO_DETECTIONS})"
 
+    # one column per group of rules: binding the text keeps each of them a plain
+    # interpreted expression instead of one huge generated method
     groups = [tuple(rules[i:i + 8]) for i in range(0, len(rules), 8)] + ([tuple(hidden)] if hidden else [])
-    parts = [f"CASE WHEN {gates.any_open(found, g)} THEN concat({', '.join(map(of_rule, g))}) ELSE {NO_DETECTIONS} END"
-             for g in groups]
-    return (df.withColumn(out, F.expr(f"CASE WHEN {text} IS NULL THEN {NO_DETECTIONS} ELSE concat({', '.join(parts)}) END"))
-            .drop(text, found))
+    parts = [f"__part{i}" for i in range(len(groups))]
+    for part, group in zip(parts, groups):
+        hits = let(text, lambda t: f"concat({', '.join(of_rule(r, t) for r in group)})")
+        df = df.withColumn(part, F.expr(
+            f"CASE WHEN {text} IS NOT NULL AND {gates.any_open(found, group)} THEN {hits} ELSE {NO_DETECTIONS} END"))
+    return df.withColumn(out, F.concat(*parts)).drop(text, found, *parts)
 
 
 def detect_any(df: DataFrame, col: str, rules=R.RULES):

@@ -61,6 +61,15 @@ def sanitize(df: DataFrame, col: str, context: str = "general", *, context_col:
     return staged.select(*keep, F.expr(f"inline(array({result}))"))
 
 
+def limit_text(df: DataFrame, col: str, out: str = "limited", found: str = "found",
+               limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Only the resource limits: size, length, repeated characters, nesting."""
+    state = _free("__state", df.columns)
+    for stage in X.early_stages(limits):
+        df = df.withColumn(state, F.expr(stage(f"cast({name(col)} as string)")))
+    return df.withColumn(out, F.col(f"{state}.t")).withColumn(found, F.col(f"{state}.d")).drop(state)
+
+
 def _normalise(df: DataFrame, state: str, norm: str, limits: Limits) -> DataFrame:
     """Send the rows through Arrow in which some text needs normalising."""
     kind, s = df.schema[state].dataType, name(state)

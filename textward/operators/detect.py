@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rules as R
-from ..functions.expr import NO_DETECTIONS, detection, let, name
+from ..functions.expr import NO_DETECTIONS, detection, let, name, q
 from ..functions.gates import Gates
 from ..functions.text import first_match, hits_to_detections, rule_hits, rule_matches
 from ..functions.unicode import nfc_column
@@ -20,6 +20,7 @@ def detect(df: DataFrame, col: str, out: str = "detections", *, rules=R.RULES, h
     """
     text, found = "__nfc", "__found"
     gates = Gates([*rules, *hidden])
+    columns = df.columns
     df = nfc_column(df, col, text).withColumn(found, F.expr(gates.found_in(text)))
 
     def of_rule(rule, t):
@@ -41,7 +42,9 @@ def detect(df: DataFrame, col: str, out: str = "detections", *, rules=R.RULES, h
         hits = let(text, lambda t: f"concat({', '.join(of_rule(r, t) for r in group)})")
         df = df.withColumn(part, F.expr(
             f"CASE WHEN {text} IS NOT NULL AND {gates.any_open(found, group)} THEN {hits} ELSE {NO_DETECTIONS} END"))
-    return df.withColumn(out, F.concat(*parts)).drop(text, found, *parts)
+    # a generate keeps filters on the result from being evaluated a second time below
+    keep = [F.col(name(c)) for c in columns if c != out]
+    return df.select(*keep, F.expr(f"inline(array(named_struct({q(out)}, concat({', '.join(parts)}))))"))
 
 
 def detect_any(df: DataFrame, col: str, rules=R.RULES):

@@ -43,7 +43,11 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
 def threats_per_window(stream: DataFrame, time: str, *by: str, window: str = "1 hour", slide: str | None = None,
                        delay: str = "1 hour", report: str = "report") -> DataFrame:
     """Rows and rows with threats per event-time window; late rows are dropped after ``delay``."""
+    local = dict(stream.dtypes)[time] == "timestamp_ntz"
+    if local:       # a watermark needs an instant; the windows are given back as local times
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     span = F.window(time, window, slide) if slide else F.window(time, window)
+    start, end = (F.col(f"w.{b}").cast("timestamp_ntz" if local else "timestamp") for b in ("start", "end"))
     return (stream.withWatermark(time, delay).groupBy(span.alias("w"), *by)
             .agg(F.count("*").alias("n_rows"), F.count_if(threats_found(report)).alias("n_threats"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n_rows", "n_threats"))
+            .select(start.alias("window_start"), end.alias("window_end"), *by, "n_rows", "n_threats"))

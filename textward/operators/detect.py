@@ -47,10 +47,9 @@ def detect(df: DataFrame, col: str, out: str = "detections", *, rules=R.RULES, h
     return df.select(*keep, F.expr(f"inline(array(named_struct({q(out)}, concat({', '.join(parts)}))))"))
 
 
-def detect_any(df: DataFrame, col: str, rules=R.RULES):
+def detect_any(df: DataFrame, col: str, rules=R.RULES) -> DataFrame:
     """Keep the rows in which at least one rule matches (a pure filter)."""
-    found = "__found"
     gates = Gates(rules)
     c = name(col)
-    conds = " OR ".join(f"({gates.open(found, r)} AND {rule_matches(c, r)})" for r in rules)
-    return df.withColumn(found, F.expr(gates.found_in(c))).filter(F.expr(conds)).drop(found)
+    return df.filter(F.expr(let(gates.found_in(c), lambda f: " OR ".join(
+        f"({gates.open(f, r)} AND {rule_matches(c, r)})" for r in rules))))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expr import each, name, q
+from ..functions.expr import each, let, name, q
 from ..functions.gates import Gates
 from ..rules import Rule
 
@@ -95,11 +95,12 @@ def has_secret(df: DataFrame, col: str, out: str = "has_secret", path_col: str |
     """Flag the rows with a secret; stops at the first rule that matches."""
     gates = Gates(SECRETS)
     text = name(col)
-    cond = " OR ".join(f"({gates.open('__found', r)} AND {text} rlike {q(java(r))})" for r in SECRETS)
+    # bound once: a filter on the flag must not repeat the gate search for each rule
+    cond = let(gates.found_in(text), lambda f: " OR ".join(
+        f"({gates.open(f, r)} AND {text} rlike {q(java(r))})" for r in SECRETS))
     if path_col is not None:
         cond += f" OR element_at(split({name(path_col)}, '/'), -1) rlike {q(ENV_FILE)}"
-    return (df.withColumn("__found", F.expr(gates.found_in(text)))
-            .withColumn(out, F.expr(f"coalesce({cond}, false)")).drop("__found"))
+    return df.withColumn(out, F.expr(f"coalesce({cond}, false)"))
 
 
 def secret_gate(df: DataFrame, col: str, path_col: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "textward", master: str | None = None, **conf) -> SparkSession:
@@ -51,3 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that yields fewer tasks than there are cores one task per core.
+
+    Cleaning text costs far more than moving it, and a file with one row group
+    is read by one task however large it is.  Tables of many files, the normal
+    case on a cluster, are returned as they are.  Call this on a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

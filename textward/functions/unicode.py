@@ -41,7 +41,11 @@ def homoglyph_ratio(text: str, threshold: float) -> str:
         # 0.999: leave no room for a rounding error in the bound
         return when(f"{surplus} * {1 - threshold}D < {plain} * {threshold * 0.999}D", "0D", ratio)
 
-    return when(is_ascii(text), "0D", let(f"length({replace(text, '[^A-Za-z]+', '')})", with_ascii))
+    # three frequent letters already settle it for most texts in Latin script
+    some = " - ".join([f"3 * length({text})"] + [f"length(replace({text}, '{c}', ''))" for c in "ein"])
+    few = f"(octet_length({text}) - length({text})) * {1 - threshold}D < ({some}) * {threshold * 0.999}D"
+    exact = let(f"length({replace(text, '[^A-Za-z]+', '')})", with_ascii)
+    return f"CASE WHEN {is_ascii(text)} OR {few} THEN 0D ELSE {exact} END"
 
 
 def may_change(text: str) -> str:

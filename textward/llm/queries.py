@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing
+from . import exact, langid, lines, mixing
 from .common import held_out, table
 
 QUERIES = {}
@@ -41,3 +41,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.n_words(F.col("text")).alias("n_tokens"))
     return mixing.mix(docs, ("source", "lang", "topic"), "n_tokens", {"source": 0.9, "lang": 0.9, "topic": 0.9})
+
+
+@query("op3_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).rows
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

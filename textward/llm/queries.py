@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, lines, mixing
+from . import exact, langid, lines, mixing, packing
 from .common import held_out, table
 
 QUERIES = {}
@@ -50,3 +51,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).rows
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

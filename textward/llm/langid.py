@@ -133,32 +133,54 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: str
     return Model(langs, features, penalties)
 
 
-class _Rows(dict):
-    """Word to its row of `cost`; unseen words get a row when first asked for."""
+class _Rows:
+    """Word to its row of `cost`.  Unseen words get a row when first asked for; the table starts anew when it is full."""
 
     def __init__(self, model: Model):
-        super().__init__(model.features[0])
-        self.model, self.known = model, len(model.features[0])
-        self.cost = np.zeros((self.known + 4 * _CHUNK, len(model.langs)), np.float32)
-        self.cost[:self.known] = model.penalties[0]
-
-    def room(self) -> None:
-        if len(self) + _CHUNK > len(self.cost):
-            self.clear()
-            self.update(self.model.features[0])
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        self.cost[row] = backoff(self.model, word)
-        return row
-
-
-def backoff(model: Model, word: str) -> np.ndarray:
-    for n in range(len(model.features) - 1, 0, -1):
-        known = [r for g in grams_of(word, n) if (r := model.features[n].get(g)) is not None]
+        self.model = model
+        self.index = dict(model.features[0])
+        self.grams: dict[str, int] = {}
+        for names in model.features[1:]:
+            self.grams |= _shifted(names, len(self.grams))
+        stacked = [p for p in model.penalties[1:] if len(p)]
+        # the last row is for words without one known letter: no evidence for any language
+        self.gram_cost = np.concatenate([*stacked, np.zeros((1, len(model.langs)), np.float32)])
+        self.cost = np.zeros((len(self.index) + 4 * _CHUNK, len(model.langs)), np.float32)
+        self.cost[:len(self.index)] = model.penalties[0]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of at most _CHUNK words."""
+        try:
+            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            pass
+        if len(self.index) + len(words) > len(self.cost):
+            self.index = dict(self.model.features[0])
+        new = list(set(words).difference(self.index))
+        known, starts = [], []
+        for word in new:
+            starts.append(len(known))
+            known += backoff(self.grams, word, len(self.model.features) - 1) or (len(self.gram_cost) - 1,)
+        starts = np.array(starts)
+        sums = np.add.reduceat(self.gram_cost[known], starts, axis=0)
+        first = len(self.index)
+        self.cost[first:first + len(new)] = sums / np.diff(np.append(starts, len(known)))[:, None]
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+
+def _shifted(names: dict[str, int], by: int) -> dict[str, int]:
+    return {g: r + by for g, r in names.items()}
+
+
+def backoff(grams: dict[str, int], word: str, longest: int) -> list[int]:
+    """Rows of the word's known n-grams for the largest n that has any."""
+    padded = f" {word} "
+    for n in range(min(longest, len(padded)), 0, -1):
+        known = [r for i in range(len(padded) - n + 1) if (r := grams.get(padded[i:i + n])) is not None]
         if known:
-            return model.penalties[n][known].mean(0)
-    return np.full(len(model.langs), 0, np.float32)  # not one known letter: no evidence for any language
+            return known
+    return []
 
 
 def predictions(model: Model, texts, rows: _Rows | None = None) -> tuple[list[str], list[float]]:
@@ -172,9 +194,7 @@ def predictions(model: Model, texts, rows: _Rows | None = None) -> tuple[list[st
             continue
         cost = np.zeros(len(model.langs))
         for at in range(0, len(words), _CHUNK):
-            rows.room()
-            index = np.fromiter(map(rows.__getitem__, words[at:at + _CHUNK]), np.int64)
-            cost += rows.cost[index].sum(0, dtype=np.float64)
+            cost += rows.cost[rows.of(words[at:at + _CHUNK])].sum(0, dtype=np.float64)
         cost /= len(words)
         best = int(cost.argmin())  # of equals, the first in the order of names
         langs.append(model.langs[best])

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, lines, mixing, packing, sketch
+from ..session import new_path
+from . import exact, langid, lines, mixing, packing, sketch, tokencount, warc
 from .common import held_out, table
 
 QUERIES = {}
@@ -61,3 +62,37 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_fingerprints")
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document, before and after three edits to it: a cut at a quarter, an insertion in the middle, a change near the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    change = lambda at, removed, new: F.struct(F.floor(n * at).alias("start"), F.lit(removed).cast("long").alias("removed"), new.alias("inserted"))
+    edits = F.array(change(0.25, 12, F.lit("")), change(0.5, 0, F.concat(F.lit(" edit "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+                    change(0.9, 7, F.lit("\nchanged, ")))
+    docs = docs.withColumn("edits", edits)
+    counted = tokencount.edits_counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "edits")
+    return docs.select("doc_id", counted.alias("c")).select("doc_id", "c.n_tokens", "c.n_tokens_edited", "c.chars_encoded",
+                                                            F.size("c.tree.chars").alias("n_leaves"))
+
+
+@query("op1_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS keep FROM p),
+h AS (SELECT *, unhex(sha1(body)) AS d FROM g)
+SELECT page_id, strlen(body)::bigint AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', bits + 1, 1), '' ORDER BY k) FROM (
+    SELECT k, (('0x' || substr(sha1(body), 10 * (k // 8) + 1, 10))::bigint >> (35 - 5 * (k % 8)))::bigint & 31 AS bits
+    FROM range(32) r(k))) AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM h""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    back = warc.read_warc(spark, path, "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string", verify="true")
+    return back.where(F.col("record_type").isin("response", "revisit")).select(
+        warc.key_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.key_of(F.col("refers_to")).alias("refers_to"))

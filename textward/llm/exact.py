@@ -86,7 +86,9 @@ def run_stream(spark: SparkSession, path: str, feed: StructType, batch_bytes: in
     stream = (spark.readStream.schema(feed).option("maxBytesPerTrigger", batch_bytes).parquet(path)
               .groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "file", "at")).alias("keep")))
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
-                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+                # one store a partition: space set aside for each would be most of what they take
+                "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact, langid, lines, mixing, packing, sketch, tokencount, warc
+from . import exact, langid, lines, mixing, packing, partenum, sketch, tokencount, warc
 from .common import held_out, table
 
 QUERIES = {}
@@ -96,3 +96,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where(F.col("record_type").isin("response", "revisit")).select(
         warc.key_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.key_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return partenum.joined(docs, measure=partenum.Measure(words=3, num=90, den=100, n2=2)).withColumnRenamed("id", "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact, langid, lines, mixing, packing, partenum, sketch, tokencount, warc
+from . import exact, langid, lines, mixing, packing, partenum, sketch, suffixes, tokencount, warc
 from .common import held_out, table
 
 QUERIES = {}
@@ -102,3 +102,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return partenum.joined(docs, measure=partenum.Measure(words=3, num=90, den=100, n2=2)).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

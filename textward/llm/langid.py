@@ -47,7 +47,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f" {word} "
+    """Runs of n characters, with a blank before and after the word (which alone is no evidence)."""
+    padded = f" {word} " if n > 1 else word
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -175,9 +176,8 @@ def _shifted(names: dict[str, int], by: int) -> dict[str, int]:
 
 def backoff(grams: dict[str, int], word: str, longest: int) -> list[int]:
     """Rows of the word's known n-grams for the largest n that has any."""
-    padded = f" {word} "
-    for n in range(min(longest, len(padded)), 0, -1):
-        known = [r for i in range(len(padded) - n + 1) if (r := grams.get(padded[i:i + n])) is not None]
+    for n in range(min(longest, len(word) + 2), 0, -1):
+        known = [r for g in grams_of(word, n) if (r := grams.get(g)) is not None]
         if known:
             return known
     return []

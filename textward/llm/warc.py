@@ -256,7 +256,7 @@ def gzip_records(f, path: str, reader: WarcReader) -> Iterator[dict]:
         payload = wanted and reader.wants_payload(row)
         if payload and row["record_type"] == "revisit" and "payload" not in reader.schema.names:
             payload = True  # its block is an HTTP head only
-        parts = [data]
+        parts, inflated = [data], len(data)
         if payload or length is None:
             while not inflate.eof:
                 chunk = bytes_at(pos, min(1 << 16, end - pos))
@@ -264,9 +264,12 @@ def gzip_records(f, path: str, reader: WarcReader) -> Iterator[dict]:
                     raise ValueError(f"{path} at {at}: the record is cut off")
                 got = inflate.decompress(chunk)
                 pos += len(chunk)
+                inflated += len(got)
                 if payload:
                     parts.append(got)
             length = pos - len(inflate.unused_data) - at
+            if inflated > body + row["content_length"] + 4:
+                raise ValueError(f"{path} at {at}: a member with more than one record; records must be compressed one by one")
         if payload:
             reader.fill(row, b"".join(parts)[body:body + row["content_length"]])
         if wanted:

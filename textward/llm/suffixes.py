@@ -6,9 +6,10 @@ anchors are sorted, about one in forty, instead of one at each byte:
 
 1. suffixes go, by their leading token (the anchor's q-gram hash), to the
    ranges between sampled splitters and are sorted there; tokens that occur
-   once cannot be part of a repeat and go;
-2. those that are left come back with the bytes of all strings they anchor, are
-   dealt and sorted the same way, and within each bucket the strings are
+   once cannot be part of a repeat and go, and of suffixes that agree in all
+   strings they anchor, all but the first are repeats;
+2. first ones that share their token with others come back with the bytes of the
+   strings, are dealt and sorted the same way, and within each bucket the strings are
    ordered by multikey quicksort; of equal neighbours all but the earliest are
    repeats.  Neighbours meet across the borders of chunks as well: a chunk that
    ends within a token hands the strings it has seen to the next.
@@ -112,31 +113,67 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int, splitters: np.
             token, at, first, last = anchors(data, bounds, length)
             text = np.searchsorted(bounds, at, "right") - 1
             signed = token.view(np.int64)
+            run = run_hashes(data, first, last, at, length).view(np.int64)
             packed = (at - bounds[text]) << 14 | (at - first) << 7 | (at - last)
             for i in range(0, max(1, len(at)), 500_000):
                 s = slice(i, i + 500_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splitters, signed[s], "right"), pa.int32()), pa.array(signed[s]),
-                                                  pa.array(docs[row + text[s]]), pa.array(packed[s])], names=["part", "token", "doc", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splitters, signed[s], "right"), pa.int32()), pa.array(signed[s]), pa.array(run[s]),
+                                                  pa.array(docs[row + text[s]]), pa.array(packed[s])], names=["part", "token", "run", "doc", "packed"])
+
+
+class _Repeats:
+    """Of rows in order of (token, run, doc, packed), what can be part of a repeat.
+
+    Anchors of one token whose strings are all equal, one run, are one class.  All but its
+    first are repeats as a whole (kind 1).  The first of each class has to be compared string by
+    string (kind 0), but only with other classes of its token; where there are none, it goes.
+    """
+
+    def __init__(self):
+        self.last: tuple | None = None  # the last row
+        self.alone: tuple[int, int] | None = None  # doc and packed of the first class of the last row's token, while it is the only one
+
+    def of(self, token: np.ndarray, run: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        before = self.last or (~token[0], run[0], doc[0], packed[0])
+        shifted = [np.concatenate(([b], x[:-1])) for b, x in zip(before, (token, run, doc, packed), strict=True)]
+        new_token = token != shifted[0]
+        new_class = new_token | (run != shifted[1])
+        # a document that the table repeats is one document
+        again = ~new_class & ~((doc == shifted[2]) & (packed == shifted[3]))
+        group = np.cumsum(new_token)
+        classes = np.bincount(group, weights=new_class, minlength=group[-1] + 1)
+        first = new_class & (~new_token | (classes[group] > 1))
+        docs, places, kinds = [doc[first], doc[again]], [packed[first], packed[again]], [np.zeros(first.sum(), np.int32), np.ones(again.sum(), np.int32)]
+        if self.alone is not None and classes[0] > 0:  # the token goes on with a second class
+            docs.append(np.array([self.alone[0]]))
+            places.append(np.array([self.alone[1]]))
+            kinds.append(np.zeros(1, np.int32))
+        if group[-1] > 0 or classes[0] > 0:
+            at = int(np.flatnonzero(new_token)[-1]) if group[-1] > 0 else -1
+            self.alone = (doc[at], packed[at]) if at >= 0 and classes[-1] == 1 else None
+        self.last = (token[-1], run[-1], doc[-1], packed[-1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, docs, places)], names=["kind", "doc", "packed"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of token, those whose token is also that of a neighbour."""
-    held: tuple[np.ndarray, ...] | None = None  # the last row, whose successor is not yet known, and whether its predecessor matched
+    repeats = _Repeats()
     for batch in batches:
-        token, doc, packed = (_doc(batch, n).to_numpy() for n in ("token", "doc", "packed"))
-        if not len(token):
-            continue
-        before = False
-        if held is not None:
-            token, doc, packed = (np.concatenate((h, x)) for h, x in zip(held[:3], (token, doc, packed), strict=True))
-            before = held[3]
-        same = token[1:] == token[:-1]
-        keep = np.concatenate(([before], same))
-        keep[:-1] |= same
-        held = (token[-1:], doc[-1:], packed[-1:], bool(keep[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][keep[:-1]]), pa.array(packed[:-1][keep[:-1]])], names=["doc", "packed"])
-    if held is not None and held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], names=["doc", "packed"])
+        if len(batch):
+            yield repeats.of(*(_doc(batch, n).to_numpy() for n in ("token", "run", "doc", "packed")))
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings of each anchor: the first and the last cover the others."""
+    out = np.zeros(len(at), np.uint64)
+    steps = [*range(0, length - 7, 8)]
+    if steps[-1] != length - 8:
+        steps.append(length - 8)
+    words = words_at(data)
+    for where, factors in ((first, _FACTORS), (last, _FACTORS[20:])):
+        for f, s in zip(factors, steps, strict=False):
+            out = (out ^ words[where + s]) * f
+            out ^= out >> np.uint64(31)
+    return mixed(out ^ ((at - first) << 8 | (at - last)).astype(np.uint64))
 
 
 def _emit_strings(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -284,18 +321,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+ANCHORS = "part int, token long, run long, doc long, packed long"
 CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from: long, to: long>>, kept binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, with_kept: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     for batch in batches:
         rows = []
-        for key, text, starts, ends in zip(_doc(batch, "id").to_pylist(), _doc(batch, "text").cast(pa.large_binary()), _doc(batch, "starts").to_pylist(),
-                                           _doc(batch, "ends").to_pylist(), strict=True):
+        for key, text, starts, ends, runs in zip(_doc(batch, "id").to_pylist(), _doc(batch, "text").cast(pa.large_binary()), _doc(batch, "starts").to_pylist(),
+                                                 _doc(batch, "ends").to_pylist(), _doc(batch, "runs").to_pylist(), strict=True):
             body = text.as_py() or b""
-            gone = merged([(a, min(b, len(body))) for a, b in zip(starts or [], ends or [], strict=True) if a < len(body)])
+            whole = [((p >> 14) - (p >> 7 & 127), (p >> 14) - (p & 127) + length) for p in runs or []]
+            gone = merged([(a, min(b, len(body))) for a, b in [*zip(starts or [], ends or [], strict=True), *whole] if a < len(body)])
             kept, at = [], 0
             for a, b in gone:
                 kept.append(body[at:a])
@@ -309,7 +348,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
 def sampled_splitters(rows: DataFrame, length: int, partitions: int, one_in: int) -> np.ndarray:
     """Leading tokens that cut a sample of the documents' suffixes into equal ranges; the driver sees one number per range."""
     sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0)
-    tokens = sample.mapInArrow(partial(_emit_anchors, length=length, splitters=np.zeros(0, np.int64)), "part int, token long, doc long, packed long")
+    tokens = sample.mapInArrow(partial(_emit_anchors, length=length, splitters=np.zeros(0, np.int64)), ANCHORS)
     cuts = tokens.agg(F.percentile_approx("token", [i / partitions for i in range(1, partitions)] or [0.5], 10_000).alias("c")).first()["c"]
     if not cuts:  # nothing sampled: tokens are hashes, so even ranges serve as well
         cuts = [-(1 << 63) + i * ((1 << 64) // partitions) for i in range(1, partitions)]
@@ -333,15 +372,18 @@ def dedup_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     n = partitions or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     splitters = sampled_splitters(rows.select("doc", "text"), length, n, sample_one_in)
-    found = (rows.select("doc", "text").mapInArrow(partial(_emit_anchors, length=length, splitters=splitters), "part int, token long, doc long, packed long")
-             .repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("token").mapInArrow(_repeated, "doc long, packed long"))
+    found = (rows.select("doc", "text").mapInArrow(partial(_emit_anchors, length=length, splitters=splitters), ANCHORS)
+             .repartitionById(len(splitters) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "run", "doc", "packed")
+             .mapInArrow(_repeated, "kind int, doc long, packed long"))
     found = staged(found, "suffix-anchors")
     # the texts are dealt by document once; both joins below read that exchange
     dealt = rows.repartition(n, "doc")
-    places = found.groupBy("doc").agg(F.collect_set("packed").alias("places"))
+    places = found.where("kind = 0").groupBy("doc").agg(F.collect_set("packed").alias("places"))
     strings = (dealt.join(places, "doc").select("doc", "text", "places")
                .mapInArrow(partial(_emit_strings, length=length, splitters=splitters), "part int, token long, doc long, packed long, strings binary")
                .repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("token", "doc", "packed"))
     spans = strings.mapInArrow(partial(_compare, length=length), "doc long, from long, to long")
     spans = spans.groupBy("doc").agg(F.collect_list("from").alias("starts"), F.collect_list("to").alias("ends"))
-    return dealt.join(spans, "doc", "left").select("id", "text", "starts", "ends").mapInArrow(partial(_cut, with_kept=with_kept), CUT_DDL)
+    runs = found.where("kind = 1").groupBy("doc").agg(F.collect_list("packed").alias("runs"))
+    return (dealt.join(spans, "doc", "left").join(runs, "doc", "left").select("id", "text", "starts", "ends", "runs")
+            .mapInArrow(partial(_cut, length=length, with_kept=with_kept), CUT_DDL))

@@ -13,7 +13,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.ui
 _POWERS = np.multiply.accumulate(np.full(1 << 16, _A, np.uint64))
 _S32, _S29 = np.uint64(32), np.uint64(29)
 #: bytes hashed at a time; a longer text is a part of its own
-PART = 4 << 20
+PART = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

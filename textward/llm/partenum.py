@@ -181,19 +181,23 @@ def linked(measure: Measure, h: str, n: str):
 
 
 def compared(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b: str) -> DataFrame:
-    """`pairs` with n_a, n_b and the elements that only a and only b has; rows of both columns' sets are split by Spark if hot."""
-    left = all_sets.select(F.col("id").alias(a), F.col("elements").alias("__a"))
-    right = all_sets.select(F.col("id").alias(b), F.col("elements").alias("__b"))
-    both = pairs.join(right, b).join(left, a)
-    return both.select(*pairs.columns, F.size("__a").cast("long").alias("n_a"), F.size("__b").cast("long").alias("n_b"),
-                       F.array_except("__a", "__b").alias("only_a"), F.array_except("__b", "__a").alias("only_b"))
+    """`pairs` with n_a, n_b and the elements that only a and only b has.
+
+    Both joins read one exchange of the sets; a hot id's pairs are split by Spark.  The merge hints keep the
+    plan the same at all sizes, and the sets, which grow with the input, from being sent to the driver.
+    """
+    both = (pairs.alias("p").join(all_sets.alias("y").hint("merge"), F.col(f"p.{b}") == F.col("y.id"))
+            .join(all_sets.alias("x").hint("merge"), F.col(f"p.{a}") == F.col("x.id")))
+    x, y = F.col("x.elements"), F.col("y.elements")
+    return both.select(*[F.col(f"p.{c}") for c in pairs.columns], F.size(x).cast("long").alias("n_a"), F.size(y).cast("long").alias("n_b"),
+                       F.array_except(x, y).alias("only_a"), F.array_except(y, x).alias("only_b"))
 
 
 def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(a, b): links enough to connect whatever links connect, each one verified on the full sets."""
     stars = staged(hubs(sigs), "partenum-stars")
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
-    wanted = docs.select(F.col(key).cast("long").alias(key), text).join(involved.withColumnRenamed("id", key), key, "left_semi")
+    wanted = docs.select(F.col(key).cast("long").alias(key), text).join(involved.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     all_sets = staged(sets(wanted, key, text, measure.words), "partenum-sets")
     seen = (compared(stars, all_sets, measure, "hub", "id").withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
             .withColumn("n", F.col("n_a") + F.col("n_b")).withColumn("near", linked(measure, "h", "n")))
@@ -204,15 +208,15 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     share = (measure.den - measure.num) / (measure.den + measure.num)
     need = (F.when(F.col("near"), F.col("h") - F.floor((F.col("h") + (F.col("n_a") - F.col("n_b")) * share - 1e-9) / 2))
             .otherwise(F.least(F.col("h"), most + 1)))
-    seen = staged(seen.select("hub", "id", "near", "h", F.slice(order, F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("first"),
+    seen = staged(seen.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("first"),
                               F.floor(most / 2).alias("half")), "partenum-compared")
     star_links = seen.where("near").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    more = staged(cross_candidates(seen, components(star_links)), "partenum-more")
+    more = staged(cross_candidates(seen, components(star_links), measure), "partenum-more")
     checked = compared(more, all_sets, measure, "a", "b").withColumn("h", F.size("only_a") + F.size("only_b")).withColumn("n", F.col("n_a") + F.col("n_b"))
     return star_links.unionByName(checked.where(linked(measure, "h", "n")).select("a", "b")).distinct()
 
 
-def cross_candidates(seen: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
     """(a, b): members of one hub, one of them not linked to it, that may link and are not connected yet.
 
     Let e(x) be the elements in which x and the hub differ; x and y differ in
@@ -223,12 +227,15 @@ def cross_candidates(seen: DataFrame, labels: DataFrame) -> DataFrame:
     mixed_hubs = seen.where("NOT near").select("hub").distinct()
     rows = (seen.join(mixed_hubs, "hub", "left_semi").join(labels, "id", "left")
             .withColumn("component", F.coalesce("component", "id")).where(F.size("first") > 0)
-            .select("hub", "id", "near", "h", "half", "component", F.posexplode("first").alias("pos", "element")))
+            .select("hub", "id", "near", "h", "size", "half", "component", F.posexplode("first").alias("pos", "element")))
     spread = rows.groupBy("hub", "element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
     rows = rows.join(spread.where("lo <> hi AND NOT settled").select("hub", "element"), ["hub", "element"], "left_semi")
-    x = rows.where("near OR pos <= half").select("hub", "element", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("near").alias("near_a"))
-    y = rows.where("NOT near").select("hub", "element", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"))
-    pairs = x.join(y, ["hub", "element"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
+    x = rows.where("near OR pos <= half").select("hub", "element", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"))
+    y = rows.where("NOT near").select("hub", "element", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"))
+    # sizes alone, and by the triangle inequality the differences from the hub, rule many pairs out
+    may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
+    pairs = (x.join(y, ["hub", "element"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
+             .withColumn("n", F.col("na") + F.col("nb")).withColumn("d", F.abs(F.col("na") - F.col("nb"))).where(may))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

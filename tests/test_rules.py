@@ -123,7 +123,7 @@ def test_detect_sees_zero_width_characters(spark):
 
 
 def test_null_and_clean_text(spark):
-    df = spark.createDataFrame([(None,), ("This is perfectly safe content.",)], "t string")
+    df = spark.createDataFrame([(None,), ("Nothing to see in this sentence.",)], "t string")
     null, clean = sorted(sanitize(df, "t", "markdown").collect(), key=lambda r: r.t is not None)
     assert null.cleaned is None and null.report.detections == []
     assert clean.cleaned == clean.t and clean.report.detections == []
@@ -154,3 +154,17 @@ def test_filters_on_other_columns_reach_the_scan(spark):
     assert "EqualTo(doc_id,5)" in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     hit = df.filter("size(report.detections) > 0")._jdf.queryExecution().executedPlan().toString()
     assert hit.count("ArrowEvalPython") == 1 and "Exchange" not in hit
+
+
+def test_blocked_text_stays_as_it_is(spark):
+    from textward.limits import Limits, OVERSIZE_TEXT
+    rules = R.RULES + (R.Rule("custom", "word", "low", r"maximum", gate=(("maximum",),)),)
+    row = sanitize(spark.createDataFrame([("x" * 200,)], "t string"), "t", limits=Limits(max_bytes=100), rules=rules).first()
+    assert row.cleaned == OVERSIZE_TEXT and len(row.report.detections) == 1
+
+
+def test_true_homoglyph_ratio(spark):
+    from textward.functions.unicode import homoglyph_ratio
+    texts = {"\u00e9\u00e9 xyz abc": 0.25, "": 0.0, "12 !": 0.0, "abc": 0.0, "\u0436": 1.0}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.x for r in df.select("t", F.expr(homoglyph_ratio("t")).alias("x")).collect()} == texts

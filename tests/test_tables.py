@@ -84,7 +84,7 @@ def test_lines_in_parts_join_to_the_whole(spark):
 
 def test_numbering_of_hot_groups(spark):
     df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, id % 5, 99) as k", "cast(id % 101 as double) as v")
-    got = number_rows(df, ["k"], ["v", "id"], "pos", rows_per_split=100)
+    got = number_rows(df, ["k"], ["v", "id"], "pos")
     w = Window.partitionBy("k").orderBy("v", "id")
     assert got.count() == 3000 and got.withColumn("e", F.row_number().over(w)).filter("e <> pos").count() == 0
 
@@ -176,3 +176,53 @@ def test_reconciliation(spark):
     dates = lambda *rows: spark.createDataFrame(list(rows), "k int, date string")
     got = {r.k: r.passed for r in Q.date_agreement(dates((1, "a"), (2, "a")), dates((1, "a"), (2, "b")), dates((1, "a"), (3, "a")), "k").collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_items_are_parted_by_position_and_null_groups_stay(spark):
+    rows = [(1, i, f"t{i}") for i in range(997, 1003)] + [(None, 1, "a"), (None, 2, "b")]
+    df = spark.createDataFrame(rows, "g int, i int, t string")
+    whole = {r.g: r.cleaned for r in sanitize_lines(df, ["g"], "i", "t", separator="|").collect()}
+    assert whole == {1: "|".join(f"t{i}" for i in range(997, 1003)), None: "a|b"}
+    parts = sanitize_lines(df, ["g"], "i", "t", separator="|", items_per_part=4).orderBy("part").collect()
+    assert [p.cleaned for p in parts if p.g == 1] == ["t997|t998|t999|t1000", "|t1001|t1002"]
+
+
+def test_numbering_by_text_with_null_groups(spark):
+    df = spark.range(500).selectExpr("id", "if(id % 3 = 0, NULL, id % 2) as k", "concat('x', id % 7, '-', id) as v")
+    got = number_rows(df, ["k"], ["v"], "pos")
+    w = Window.partitionBy("k").orderBy("v")
+    assert got.count() == 500 and got.withColumn("e", F.row_number().over(w)).filter("e <> pos").count() == 0
+
+
+def test_json_of_any_shape(spark):
+    deep = "[" * 2000 + '"DROP x"' + "]" * 2000
+    docs = ['{"a":1}', '{"a":"<script>exec(1)</script>","a":null}', '{"AVOID": "x", "b": [true, {"c d": "DROP y"}], "n": 1.50}', '["exec(2)"]', '"DROP z"', "7", None, deep]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, j string")
+    got = {r.i: r.cleaned for r in sanitize_json(df, "j").select("i", "cleaned").collect()}
+    assert got[0] == '{"a":1}' and got[1] == '{"a":"[blocked][blocked]1)[blocked]","a":null}' and got[5] == "7" and got[6] is None
+    assert got[2] == '{"AVOID":"x","b":[true,{"c d":"[blocked]y"}],"n":1.50}' and got[3] == '["[blocked]2)"]' and got[4] == '"[blocked]z"'
+    assert got[7].startswith("[[[") and "[nesting-limit]" in got[7] and "DROP" not in got[7]
+    for bad in ('{"a":}', '{"a" "b"}', "[1,]", "", '{"a":1} x', '"open', "{a:1}", "[1 2]"):
+        with pytest.raises(Exception, match="not a JSON document"):
+            sanitize_json(spark.createDataFrame([(bad,)], "j string"), "j").collect()
+
+
+def test_seals_show_what_chains_cannot(spark):
+    _, log = _log(spark, 220)
+    kept = A.seals(log)
+    assert A.verify_seals(log, kept).count() == 0
+    cut = log.where("chain <> 1 AND NOT (chain = 4 AND seq = 20)")
+    assert A.verify_chain(cut, ["log", "chain"]).filter("status <> 'ok'").count() == 0
+    assert {(r.node, r.status) for r in A.verify_seals(cut, kept).collect()} == {(1, "missing"), (4, "changed")}
+    assert A.seals(cut).where("level = 1").first().hash != kept.where("level = 1").first().hash
+
+
+def test_audit_plans_scan_once(spark):
+    entries = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_type as log", "event_id", "'t' as timestamp", "'d' as destination",
+        "'c' as context", "'append' as action", "1 as original_length", "1 as cleaned_length", "false as threats_found", "0 as threat_count",
+        "cast(array() as array<struct<category:string,vector:string,severity:string,action:string>>) as detections")
+    log = A.build_chain(entries, "log", ["event_id"], rows_per_chain=50)
+    plan = A.verify_chain(log, ["log", "chain"])
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("FlatMapGroupsInPandas") == 1 and text.count("rangepartitioning") <= 2

@@ -21,6 +21,10 @@ def normalise_path(path: str, base: str = "'/'") -> str:
     return f"concat('/', array_join({walk}, '/'))"
 
 
+SYSTEM_REFUSAL = "refused, in a folder of the system: "
+OUTSIDE_REFUSAL = "refused, outside the given root: "
+
+
 def path_verdict(path: str, root: str) -> str:
     """NULL for an allowed destination, else the reason; system paths are checked first.
 
@@ -28,13 +32,5 @@ def path_verdict(path: str, root: str) -> str:
     """
     system = " OR ".join(f"startswith({path}, {q(p)})" for p in SYSTEM_PREFIXES)
     inside = f"({path} = {root} OR startswith({path}, concat({root}, '/')))"
-    return (f"CASE WHEN {system} THEN concat('Blocked: destination \\'', {path}, '\\' is a system path. "
-            "Secure writer only writes to workspace directories.') "
-            f"WHEN NOT {inside} THEN concat('Blocked: destination \\'', {path}, '\\' is outside the workspace boundary "
-            f"\\'', {root}, '\\'. All writes must stay within the workspace.') END")
-
-
-def guarded_path(path: str, root: str) -> str:
-    """The normalised path; the query fails on a blocked one."""
-    return let(normalise_path(path, root), lambda p: let(path_verdict(p, root), lambda why: (
-        f"CASE WHEN {why} IS NULL THEN {p} ELSE cast(raise_error({why}) as string) END")))
+    return (f"CASE WHEN {system} THEN concat({q(SYSTEM_REFUSAL)}, {path}) "
+            f"WHEN NOT {inside} THEN concat({q(OUTSIDE_REFUSAL)}, {path}) END")

@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 from . import text as X
 from .paths import normalise_path, path_verdict
 from .unicode import homoglyph_ratio
-from ..limits import DEFAULT_LIMITS
 from ..rules import RULES
 from .expr import q
 from .text import rule_matches
@@ -22,7 +21,7 @@ def sql_functions() -> dict[str, str]:
         "strip_html_tags": one.format("STRING", X.strip_tags("t")),
         "escape_html": one.format("STRING", X.escape_html("t")),
         "nesting_depth": one.format("INT", X.nesting_depth("t")),
-        "homoglyph_ratio": one.format("DOUBLE", homoglyph_ratio("t", DEFAULT_LIMITS.homoglyph_ratio)),
+        "homoglyph_ratio": one.format("DOUBLE", homoglyph_ratio("t")),
         "threat_vectors": one.format("ARRAY<STRING>", f"array_compact(array({cases}))"),
         "entry_hash": one.format("STRING", "substring(sha2(trim(t), 256), 1, 16)"),
         "normalise_path": one.format("STRING", normalise_path("t")),

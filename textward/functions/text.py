@@ -17,7 +17,7 @@ from ..limits import (BASE64_REMOVED, DEFAULT_LIMITS, OVERSIZE_TEXT, RENDERING_C
 from .expr import (NO_DETECTIONS, contains_all, detection, each, is_ascii, let, q, remove_spans,
                    replace, split_at_last, struct, when)
 from .gates import Gates
-from .unicode import homoglyph_ratio
+from .unicode import ratio_if_above
 
 EARLY = ("t", "a", "n", "blocked", "d")     # a: ASCII form, set by the Unicode step
 LATE = ("t", "f", "n", "blocked", "d")      # f: gate literals found in the text
@@ -31,8 +31,8 @@ def _with(s: str, fields, found: str | None = None, **changed: str) -> str:
 
 
 def _step(state: str, cond, body) -> str:
-    """Apply ``body`` to the state where ``cond`` holds."""
-    return let(state, lambda s: when(cond(s), body(s), s))
+    """Apply ``body`` to the state where ``cond`` holds; a text that the size limit replaced is left as it is."""
+    return let(state, lambda s: when(f"NOT {s}.blocked AND ({cond(s)})", body(s), s))
 
 
 # ----------------------------------------------------------------- limits
@@ -125,7 +125,7 @@ def fold_homoglyphs(state: str, limits: Limits) -> str:
             found = detection("encoding_evasion", "homoglyph_attack", "high", seen, "normalized")
             return when(f"{r} > {limits.homoglyph_ratio}D", _with(s, EARLY, f"array({found})", t=f"{s}.a"), s)
 
-        return let(homoglyph_ratio(f"{s}.t", limits.homoglyph_ratio), with_ratio)
+        return let(ratio_if_above(f"{s}.t", limits.homoglyph_ratio), with_ratio)
 
     return _step(state, lambda s: f"{s}.a IS NOT NULL", check)
 

@@ -25,8 +25,14 @@ STABLE = (r"\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{5d0}-\x{5ea}\x{2010}-\
 _UNSTABLE = f"[^{STABLE}]"
 
 
-def homoglyph_ratio(text: str, threshold: float) -> str:
-    """Share of letters outside ASCII; 0 where it provably is not above the threshold.
+def homoglyph_ratio(text: str) -> str:
+    """Share of letters that lie outside ASCII; 0 where there are no letters."""
+    odd = f"length({replace(text, r'[\x00-\x7F\P{L}]+', '')})"
+    return f"({odd} / greatest({odd} + length({replace(text, '[^A-Za-z]+', '')}), 1))"
+
+
+def ratio_if_above(text: str, threshold: float) -> str:
+    """The share where it is above the threshold; 0 where it provably is not, and for a test against the threshold only.
 
     Every non-ASCII character takes at least one byte more than it has
     characters, which bounds the count before any letter is looked at.
@@ -55,7 +61,7 @@ def may_change(text: str) -> str:
 
 
 def needs_normalising(text: str, threshold: float) -> str:
-    return f"({may_change(text)} OR {homoglyph_ratio(text, threshold)} > {threshold}D)"
+    return f"({may_change(text)} OR {ratio_if_above(text, threshold)} > {threshold}D)"
 
 
 def normalise_states(dtype: T.DataType):

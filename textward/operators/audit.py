@@ -11,13 +11,16 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reports import threat_count, threats_found, without_evidence
 from .numbering import number_rows, salted_join
 
 GENESIS = "genesis"
+#: rows of one level under a row of the next
+FAN = 1000
 MARKER = "rotation_marker"
+# fixed value
 MARKER_NOTE = "log rotated; previous entries discarded"
 
 DETECTION4 = "struct<category:string,vector:string,severity:string,action:string>"
@@ -107,30 +110,69 @@ def chain_heads(chained: DataFrame, log: str) -> DataFrame:
     return last.select(log, "head_seq", entry_hash(F.col("line")).alias("head_hash"))
 
 
+def last_heads(chained: DataFrame, log: str, rows_per_chain: int) -> DataFrame:
+    """As ``chain_heads``, from the newest lines alone: the number of a log's last line follows from its chain."""
+    last = chained.groupBy(log).agg(F.max_by("line", F.struct("chain", "seq")).alias("line"), F.max(F.struct("chain", "seq")).alias("at"))
+    return last.select(log, (F.col("at.chain") * rows_per_chain + F.col("at.seq")).alias("head_seq"), entry_hash(F.col("line")).alias("head_hash"))
+
+
 def verify_chain(log_rows: DataFrame, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
     """Check every entry against the one before it: ``keys, seq, prev_hash, expected, status``.
 
-    The predecessor is found by joining on (keys, seq - 1), which is as good as
-    unique, so a very long chain spreads over all tasks.  Status: ``ok``,
+    One pass over the log: the predecessor is the row before in the chain's
+    order, if it has the number before (a chain of ``build_chain`` is as long as
+    its ``rows_per_chain``, so no task sorts more than that).  Status: ``ok``,
     ``rotated`` (first kept entry after a marker), ``unchained`` (no prev_hash)
-    or ``broken``.
+    or ``broken``.  That no chain is missing as a whole, see ``verify_seals``.
     """
     field = lambda f: F.get_json_object(F.col(line), f"$.{f}")
     rows = log_rows.select(
         *keys, F.col(seq).alias("seq"), field("prev_hash").alias("prev_hash"), field("type").alias("type"),
         field("dropped_tail_sha").alias("tail_sha"), entry_hash(F.col(line)).alias("hash"), tail_hash(F.col(line)).alias("hash_tail"))
-    before = rows.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("expected"),
-                         F.col("hash_tail").alias("expected_tail"), F.col("type").alias("type_before"),
-                         F.col("tail_sha").alias("dropped"))
-    joined = rows.join(before, [*keys, "seq"], "left")
+    chain = Window.partitionBy(*keys).orderBy("seq")
+    follows = F.lag("seq").over(chain) == F.col("seq") - 1
+    before = lambda c: F.when(follows, F.lag(c).over(chain))
+    rows = rows.withColumns({"expected": before("hash"), "expected_tail": before("hash_tail"), "type_before": before("type"), "dropped": before("tail_sha")})
     prev = F.col("prev_hash")
     status = (F.when(prev.isNull(), "unchained")
               .when(F.col("expected").isNull(), F.when(prev == GENESIS, "ok").otherwise("broken"))
               .when((prev == F.col("expected")) | (prev == F.col("expected_tail")), "ok")
               .when((F.col("type_before") == MARKER) & (prev == F.col("dropped")), "rotated")
               .otherwise("broken"))
-    return joined.select(*keys, "seq", "prev_hash", F.coalesce("expected", F.lit(GENESIS)).alias("expected"),
-                         status.alias("status"))
+    return rows.select(*keys, "seq", "prev_hash", F.coalesce("expected", F.lit(GENESIS)).alias("expected"), status.alias("status"))
+
+
+def seals(log_rows: DataFrame, log: str = "log") -> DataFrame:
+    """What ties the chains of a log together: ``log, level, node, n, hash``.
+
+    Level 0 has a row per chain: its number of lines and the hash of its last
+    one, hence of all of them.  A row of a level above hashes up to ``FAN`` rows
+    of the one below, up to a single row per log, so no task ever sees more
+    than that many.  Kept apart from the log, it shows chains that were removed or cut.
+    """
+    level = log_rows.groupBy(F.col(log).alias("log"), F.col("chain").alias("node")).agg(
+        F.count("*").alias("n"), entry_hash(F.max_by("line", "seq")).alias("hash"))
+    most = level.agg(F.max("node")).first()[0] or 0
+    out, depth = level.withColumn("level", F.lit(0)), 0
+    while most > 0:
+        most, depth = most // FAN, depth + 1
+        rows = F.array_sort(F.collect_list(F.struct("node", "n", "hash")))
+        level = (level.groupBy("log", F.floor(F.col("node") / FAN).alias("node"))
+                 .agg(F.sum("n").alias("n"), F.substring(F.sha2(F.to_json(rows), 256), 1, 16).alias("hash")))
+        out = out.unionByName(level.withColumn("level", F.lit(depth)))
+    return out.select("log", "level", "node", "n", "hash")
+
+
+def verify_seals(log_rows: DataFrame, kept: DataFrame, log: str = "log") -> DataFrame:
+    """Chains that differ from what their seals say: ``log, node, status``, status ``missing``, ``changed`` or ``unsealed``."""
+    now = log_rows.groupBy(F.col(log).alias("log"), F.col("chain").alias("node")).agg(
+        F.count("*").alias("n"), entry_hash(F.max_by("line", "seq")).alias("hash"))
+    was = kept.where("level = 0")
+    a, b = now.alias("a"), was.alias("b")
+    both = a.join(b, F.col("a.log").eqNullSafe(F.col("b.log")) & (F.col("a.node") == F.col("b.node")), "full_outer")
+    status = (F.when(F.col("a.node").isNull(), "missing").when(F.col("b.node").isNull(), "unsealed")
+              .when((F.col("a.n") != F.col("b.n")) | (F.col("a.hash") != F.col("b.hash")), "changed"))
+    return both.select(F.coalesce("a.log", "b.log").alias("log"), F.coalesce("a.node", "b.node").alias("node"), status.alias("status")).where("status IS NOT NULL")
 
 
 def orphans(log_rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

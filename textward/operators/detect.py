@@ -45,11 +45,3 @@ def detect(df: DataFrame, col: str, out: str = "detections", *, rules=R.RULES, h
     # a generate keeps filters on the result from being evaluated a second time below
     keep = [F.col(name(c)) for c in columns if c != out]
     return df.select(*keep, F.expr(f"inline(array(named_struct({q(out)}, concat({', '.join(parts)}))))"))
-
-
-def detect_any(df: DataFrame, col: str, rules=R.RULES) -> DataFrame:
-    """Keep the rows in which at least one rule matches (a pure filter)."""
-    gates = Gates(rules)
-    c = name(col)
-    return df.filter(F.expr(let(gates.found_in(c), lambda f: " OR ".join(
-        f"({gates.open(f, r)} AND {rule_matches(c, r)})" for r in rules))))

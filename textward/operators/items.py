@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import DETECTIONS
-from .numbering import salted_join
+from .numbering import number_rows
 from .sanitize import sanitize
 
 
-def _parts(df, keys, order, col, context, items_per_part, **kw):
+def _groups(df, keys, order, col, context, items_per_part, **kw):
     clean = sanitize(df, col, context, cleaned="__text", report="__report", **kw)
-    part = F.floor(F.col(order) / items_per_part).alias("part")
+    by = list(keys)
+    if items_per_part is not None:
+        clean = number_rows(clean, keys, [order], "__pos").withColumn("part", F.floor((F.col("__pos") - 1) / items_per_part))
+        by.append("part")
     item = F.struct(F.col(order).alias("o"), F.col("__text").alias("t"), F.col("__report.detections").alias("d"))
-    return clean.groupBy(*keys, part).agg(
+    return by, clean.groupBy(*by).agg(
         F.array_sort(F.collect_list(item)).alias("__items"),
         F.sum("__report.original_length").alias("original_length"))
 
@@ -25,36 +28,34 @@ def _report(original, cleaned, items):
 
 
 def sanitize_lines(df: DataFrame, keys: list[str], order: str, col: str, *, separator: str = "\n\n",
-                   context: str = "general", items_per_part: int = 1000, **kw) -> DataFrame:
-    """Clean the items of each group and join them in order.
+                   context: str = "general", items_per_part: int | None = None, **kw) -> DataFrame:
+    """Clean the items of each group and join them in order: one text per group, NULL keys included.
 
-    ``order`` is the item's number in its group.  A group longer than
-    ``items_per_part`` is returned as several rows whose texts, put one after
-    the other in the order of ``part``, are the joined text; no task ever holds
-    more than one part.  The cleaned length counts the separators.
+    A group whose joined text is too long for one row can be had in parts: with
+    ``items_per_part``, so many items by position make a row, and the texts put
+    one after the other in the order of ``part`` are the joined text.  The
+    cleaned length counts the separators.
     """
-    parts = _parts(df, keys, order, col, context, items_per_part, **kw)
-    first = df.groupBy(*keys).agg(F.floor(F.min(order) / items_per_part).alias("__first"))
-    parts = salted_join(parts, first, keys, salt=F.col("part"))
+    by, groups = _groups(df, keys, order, col, context, items_per_part, **kw)
     items = F.col("__items")
     text = F.array_join(F.transform(items, lambda i: i["t"]), separator)
-    text = F.when(F.col("part") == F.col("__first"), text).otherwise(F.concat(F.lit(separator), text))
-    parts = parts.withColumn("cleaned", text)
-    return parts.select(*keys, "part", "cleaned", _report(
-        F.col("original_length"), F.length("cleaned"), items).alias("report"))
+    if items_per_part is not None:
+        text = F.when(F.col("part") == 0, text).otherwise(F.concat(F.lit(separator), text))
+    groups = groups.withColumn("cleaned", text)
+    return groups.select(*by, "cleaned", _report(F.col("original_length"), F.length("cleaned"), items).alias("report"))
 
 
 def sanitize_items(df: DataFrame, keys: list[str], order: str, col: str, *, context: str = "general",
-                   items_per_part: int = 1000, **kw) -> DataFrame:
+                   items_per_part: int | None = None, **kw) -> DataFrame:
     """Clean the items of each group and return them as arrays (see ``sanitize_lines``).
 
     Here the cleaned length does not count separators.
     """
-    parts = _parts(df, keys, order, col, context, items_per_part, **kw)
+    by, groups = _groups(df, keys, order, col, context, items_per_part, **kw)
     items = F.col("__items")
     length = F.aggregate(items, F.lit(0), lambda acc, i: acc + F.coalesce(F.length(i["t"]), F.lit(0)))
-    return parts.select(*keys, "part", F.transform(items, lambda i: i["t"]).alias("cleaned"),
-                        _report(F.col("original_length"), length, items).alias("report"))
+    return groups.select(*by, F.transform(items, lambda i: i["t"]).alias("cleaned"),
+                         _report(F.col("original_length"), length, items).alias("report"))
 
 
 def sanitize_array(df: DataFrame, col: str, context: str = "general", **kw) -> DataFrame:

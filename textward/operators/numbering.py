@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, *, rows_per_split: int = 1_000_000) -> DataFrame:
-    """Add the position (1, 2, ...) of each row in its group.
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add the position (1, 2, ...) of each row in its group; NULL keys are one group, order columns may have any type.
 
     A window over the group alone would sort a hot group in one task.  Here the
-    range of the first order column, which must be numeric or a timestamp, is
-    cut at approximate quantiles into splits of about ``rows_per_split`` rows;
-    rows are numbered within their split, and the sizes of the earlier splits
-    are added.  The cuts decide on speed only, never on the result.
+    rows are range-partitioned once by group and order, which cuts a hot group
+    into as many ranges as it needs.  Rows are numbered where they lie; the
+    sizes of a group's earlier ranges, a row per group and range, are added.
+    The order columns should tell all rows of a group apart.
     """
-    first = F.col(order[0])
-    as_number = first.cast("double")
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("__n"))
-           .filter(F.col("__n") > rows_per_split)
-           .select(*keys, F.ceil(F.col("__n") / rows_per_split).alias("__k")))
-    cuts = (salted_join(df.select(*keys, as_number.alias("__o")), hot, keys, how="inner")
-            .groupBy(*keys).agg(F.percentile_approx("__o", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("__cuts")))
-    split = F.coalesce(F.aggregate("__cuts", F.lit(0), lambda acc, c: acc + (c < as_number).cast("int")), F.lit(0))
-    rows = salted_join(df, cuts, keys, how="left").withColumn("__split", split).drop("__cuts")
-
-    sizes = rows.groupBy(*keys, "__split").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__split", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(*keys, "__split").orderBy(*order)
-    numbered = rows.withColumn("__rn", F.row_number().over(inner))
-    joined = numbered.join(offsets, [*keys, "__split"])
-    return joined.withColumn(out, F.col("__rn") + F.col("__before")).drop("__rn", "__before", "__split")
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("__range", F.shiftright("__id", 33))
+    sizes = ranged.groupBy(*keys, "__range").agg(F.min("__id").alias("__low"), F.count("*").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"),
+                          (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__low") + 1).alias("__shift"))
+    on = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    drop = [f"__k{i}" for i in range(len(keys))]
+    return ranged.join(shifts, on).withColumn(out, F.col("__id") + F.col("__shift")).drop(*drop, "__id", "__range", "__r", "__shift")
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16,
@@ -42,7 +36,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     this into a broadcast join where its own size check allows it.)
     """
     many = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    if salt is None:
-        salt = F.xxhash64(*[F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t and "variant" not in t])
+    many = many.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in many.columns if c not in keys])
+    many = many.withColumnRenamed("__salt", "__s")
+    if salt is None:  # any spread will do; the row's place in its task costs nothing
+        salt = F.monotonically_increasing_id()
+    on = F.col("__salt") == F.col("__s")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return (big.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int"))
-            .join(many, [*keys, "__salt"], how).drop("__salt"))
+            .join(many, on, how).drop("__salt", "__s", *[f"__k{i}" for i in range(len(keys))]))

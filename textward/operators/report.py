@@ -29,6 +29,17 @@ def count_detections(table: DataFrame, *by: str) -> DataFrame:
     return table.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def count_by_row(df: DataFrame, detections: str, *by: str, rows: str = "n_rows") -> DataFrame:
+    """Detections and rows with any, per group of the detection's fields.
+
+    Equal detections of a row are counted in the row, so only sums are shuffled.
+    """
+    short = F.transform(detections, lambda d: F.struct(*[d[f].alias(f) for f in by]))
+    kinds = F.transform(F.array_distinct("__all"), lambda k: F.struct(k.alias("k"), F.size(F.filter("__all", lambda d: d == k)).alias("n")))
+    each = df.select(short.alias("__all")).select(F.explode(kinds).alias("x"))
+    return each.groupBy(*[F.col(f"x.k.{f}").alias(f) for f in by]).agg(F.sum("x.n").alias("n"), F.count("*").alias(rows))
+
+
 def rollup_detections(table: DataFrame) -> DataFrame:
     """Counts per vector, per category and in total."""
     return (table.rollup("category", "vector")

@@ -18,9 +18,11 @@ def _token(vector: str, pattern: str, literal: str) -> Rule:
 
 
 def _assignment(key: str) -> Rule:
-    # the key stands alone, so DB_PASSWORD is not also a PASSWORD
+    # a prefix (STRIPE_API_KEY) belongs to the name, but DB_PASSWORD is not also a PASSWORD
+    other = "(?:[a-z0-9]|[a-z0-9]{3,}|[a-ce-z0-9][a-z0-9]|d[ac-z0-9])_" if key == "PASSWORD" else ""
+    before = "(?:^|[^a-z0-9_])" + (f"(?:(?:[a-z0-9]+_)*{other})?" if other else "(?:[a-z0-9]+_)*")
     return Rule("secret", f"assigned_{key.lower()}", "high",
-                rf"""(?i)(?:^|[^A-Za-z0-9_]){key}["']?\s*[:=]\s*(?:"[^"\s]{{8,}}"|'[^'\s]{{8,}}')""",
+                rf"""(?i){before}{key}["']?\s*[:=]\s*(?:"[^"\n]+"|'[^'\n]+')""",
                 gate=((key.lower(),),))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.expr import name, q
+from ..functions.jsontext import json_rebuilt, with_json_strings
+from ..limits import DEFAULT_LIMITS, Limits
 from .sanitize import sanitize
 
 
@@ -22,28 +24,19 @@ def sanitize_text(df: DataFrame, col: str, context: str = "general", **kw) -> Da
     return sanitize(df, col, context, **kw)
 
 
-def sanitize_json(df: DataFrame, col: str, schema: T.DataType | str | None = None, context: str = "general",
-                  **kw) -> DataFrame:
-    """Clean the text values of JSON documents held as text.
+def sanitize_json(df: DataFrame, col: str, context: str = "general", *, cleaned: str = "cleaned",
+                  limits: Limits = DEFAULT_LIMITS, **kw) -> DataFrame:
+    """Clean every string value of JSON documents held as text, of any shape.
 
-    Without a schema it is read off the data in one distributed aggregation.
-    A list at the root counts as one level of nesting, as if it were a field.
+    No schema is asked for, so no field is lost and no string passes unseen:
+    fields of mixed type, NULL, unknown and oddly named ones stay.  A value
+    nested deeper than the limit becomes a fixed text; a list at the root counts
+    as one level, as if it were a field.  Anything but JSON fails the job.
     """
-    if schema is None:
-        schema = infer_json_schema(df, col)
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    depth = 1 if isinstance(kind, T.ArrayType) else 0
-    parsed = df.withColumn("__doc", F.from_json(F.col(name(col)), kind, {"mode": "FAILFAST"}))
-    cleaned = kw.pop("cleaned", "cleaned")
-    out = sanitize(parsed, "__doc", context, cleaned="__clean", root_depth=depth, **kw)
-    return out.withColumn(cleaned, F.to_json("__clean")).drop("__doc", "__clean")
-
-
-def infer_json_schema(df: DataFrame, col: str) -> T.DataType:
-    """Type of the JSON documents in a column; only the merged type reaches the driver."""
-    found = df.agg(F.schema_of_variant_agg(F.parse_json(F.col(name(col)))).alias("s")).first()["s"]
-    ddl = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return T._parse_datatype_string(ddl)
+    document = F.col(name(col))
+    parsed = with_json_strings(df, col, "__strings", limits.max_depth)
+    out = sanitize(parsed, "__strings", context, cleaned="__clean_strings", limits=limits, **kw)
+    return out.withColumn(cleaned, json_rebuilt(document, F.col("__clean_strings"), limits.max_depth)).drop("__strings", "__clean_strings")
 
 
 def extract_field(json: str, path: str) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import stream_queries, table_queries, text_queries  # noqa: F401
+from . import sink_queries, stream_queries, table_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from ..session import new_path
 from ..streaming.gateway import sanitize_stream, threats_per_window, write_with_audit
 from . import oracle as O
 from .registry import register, table
-from .seeds import PLAIN_EVENT_TEXTS, TEXTS, pick, spliced
+from .seeds import EVENT_TEXTS, TEXTS, pick, spliced
 from .text_queries import DOCS_SQL, _digest, _digest_sql
 
 
@@ -36,23 +36,27 @@ def stream_sanitize_documents(spark, sf):
 
 @register("stream_write_with_audit", O.sanitize_sql(
     "SELECT page_id AS id, html AS raw FROM pages",
-    "SELECT id AS page_id, md5(t) AS cleaned_md5, CAST(id + 1 AS BIGINT) AS seq, 'ok' AS status FROM {last}", "html"))
+    "SELECT id AS page_id, md5(t) AS cleaned_md5, 'ok' AS status FROM {last}", "html"))
 def stream_write_with_audit(spark, sf):
+    """Four files, a batch each: the chain goes on from batch to batch."""
     base = new_path(spark, "stream-gateway")
-    stream = _stream(spark, sf, "pages").select("page_id", "html")
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages.repartitionByRange(4, "page_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     write_with_audit(stream, "html", "page_id", f"{base}/data", f"{base}/audit", f"{base}/checkpoint", context="html").awaitTermination()
-    data = spark.read.parquet(f"{base}/data").select("page_id", F.md5("html").alias("cleaned_md5"))
+    data = spark.read.parquet(f"{base}/data").select("page_id", F.md5("html").alias("cleaned_md5"), "batch_id")
     log = spark.read.parquet(f"{base}/audit")
-    status = verify_chain(log.withColumn("seq", F.col("chain") * 5000 + F.col("seq")), ["log"]).select("seq", "status")
-    status = status.withColumn("status", F.when(F.col("status") == "broken", "broken").otherwise("ok"))
-    return data.join(status, F.col("page_id") + 1 == F.col("seq")).select("page_id", "cleaned_md5", "seq", "status")
+    checked = verify_chain(log, ["log", "chain"])
+    # as many entries as pages in each batch, all of one unbroken chain, and data from every batch
+    bad = checked.where("status <> 'ok'").count() + log.groupBy("batch_id").count().exceptAll(data.groupBy("batch_id").count()).count()
+    return data.select("page_id", "cleaned_md5", F.lit("broken" if bad else "ok").alias("status"))
 
 
 def _events(stream):
-    return stream.select("ts", "event_type", F.concat("event_type", F.lit(" "), pick(PLAIN_EVENT_TEXTS, "event_id")).alias("note"))
+    return stream.select("ts", "event_type", F.concat("event_type", F.lit(" "), pick(EVENT_TEXTS, "event_id")).alias("note"))
 
 
-_WINDOW_SRC = f"SELECT event_id AS id, event_type || ' ' || {O.pick(PLAIN_EVENT_TEXTS, 'event_id')} AS raw FROM events"
+_WINDOW_SRC = f"SELECT event_id AS id, event_type || ' ' || {O.pick(EVENT_TEXTS, 'event_id')} AS raw FROM events"
 
 
 @register("stream_threats_per_day", O.sanitize_sql(_WINDOW_SRC, """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start,
@@ -61,11 +65,13 @@ _WINDOW_SRC = f"SELECT event_id AS id, event_type || ' ' || {O.pick(PLAIN_EVENT_
 def stream_threats_per_day(spark, sf):
     clean = sanitize(_events(_stream(spark, sf, "events")), "note")
     counts = threats_per_window(clean, "ts", "event_type", window="1 day")
-    name = "w" + new_path(spark, "x").rsplit("-", 1)[1]
-    query = (counts.writeStream.outputMode("complete").option("checkpointLocation", new_path(spark, "stream-window"))
-             .trigger(availableNow=True).format("memory").queryName(name).start())
+    out = new_path(spark, "stream-windows")
+    # each batch writes the windows it changed; a window's counts only grow, so its last state is the largest
+    query = (counts.writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "stream-window-checkpoint"))
+             .trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")).start())
     query.awaitTermination()
-    return spark.table(name)
+    return (spark.read.schema(counts.schema).parquet(out).groupBy("window_start", "window_end", "event_type")
+            .agg(F.max("n_rows").alias("n_rows"), F.max("n_threats").alias("n_threats")))
 
 
 @register("stream_threats_sliding", O.sanitize_sql(_WINDOW_SRC, """SELECT CAST(date_trunc('day', ts) - k * INTERVAL 12 HOUR + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS TIMESTAMP) AS window_start,

@@ -23,10 +23,7 @@ from .text_queries import DOCS_SQL, docs
 
 # ------------------------------------------------------------ nested records
 
-# texts without characters that JSON writers escape in different ways
-PLAIN = tuple(t for t in TEXTS if '"' not in t and "\\" not in t and "\n" not in t and "/" not in t and t.isascii())
-
-_ORDER_TEXT = O.pick(PLAIN, "o_orderkey")
+_ORDER_TEXT = O.pick(TEXTS, "o_orderkey")
 _ORDERS_SRC = (f"SELECT o_orderkey * 2 AS id, o_orderpriority || ' ' || {_ORDER_TEXT} AS raw FROM orders UNION ALL "
                f"SELECT o_orderkey * 2 + 1, 'status ' || o_orderstatus FROM orders")
 
@@ -36,7 +33,7 @@ _ORDERS_SRC = (f"SELECT o_orderkey * 2 AS id, o_orderpriority || ' ' || {_ORDER_
     CAST(len(a.d) + len(b.d) AS INTEGER) AS threat_count FROM {last} a JOIN {last} b ON b.id = a.id + 1 AND a.id % 2 = 0
     JOIN orders ON o_orderkey = a.id // 2"""))
 def sanitize_record_orders(spark, sf):
-    text = F.concat("o_orderpriority", F.lit(" "), pick(PLAIN, "o_orderkey"))
+    text = F.concat("o_orderpriority", F.lit(" "), pick(TEXTS, "o_orderkey"))
     record = F.struct(F.struct(text.alias("notes"), F.col("o_totalprice").alias("price")).alias("inner"),
                       F.array(F.concat(F.lit("status "), F.col("o_orderstatus"))).alias("tags"))
     df = table(spark, sf, "orders").select("o_orderkey", record.alias("doc"))
@@ -46,17 +43,40 @@ def sanitize_record_orders(spark, sf):
                       F.col("report.cleaned_length").alias("cleaned_length"), F.size("report.detections").alias("threat_count"))
 
 
-_PROPS_SRC = f"SELECT event_id AS id, {O.pick(PLAIN, 'event_id')} AS raw FROM events"
+_PROPS_SRC = (f"SELECT event_id * 2 AS id, {O.pick(TEXTS, 'event_id')} AS raw FROM events UNION ALL "
+              f"SELECT event_id * 2 + 1, event_type || ' ' || {O.pick(TEXTS, '(event_id + 7)')} FROM events")
+_PROPS_SQL = O.sanitize_sql(_PROPS_SRC, """SELECT event_id, a.t AS note, CASE WHEN event_id % 2 = 0 THEN b.t ELSE '17.50' END AS mixed, '{{"y":null,"AVOID":"x"}}' AS rest,
+    CAST(len(a.d) + CASE WHEN event_id % 2 = 0 THEN len(b.d) ELSE 0 END AS INTEGER) AS threat_count
+    FROM {last} a JOIN {last} b ON b.id = a.id + 1 AND a.id % 2 = 0 JOIN events ON event_id = a.id // 2""")
+
+
+def json_events(spark, sf, root: str = "{}"):
+    """Event properties with texts at several places; `mixed` is a text in one row and a number in the next."""
+    note = F.to_json(F.struct(pick(TEXTS, "event_id").alias("x")))
+    other = F.to_json(F.struct(F.concat(F.col("event_type"), F.lit(" "), pick(TEXTS, "__k")).alias("x")))
+    value = lambda j: F.expr(f"substring({j}, 6, length({j}) - 6)")  # the JSON literal of a text
+    df = table(spark, sf, "events").withColumn("__k", F.col("event_id") + 7).withColumns({"__n": note, "__o": other})
+    mixed = F.when(F.col("event_id") % 2 == 0, value("__o")).otherwise("17.50")
+    doc = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "note" : '), value("__n"), F.lit(', "deep":[{"a.b":'), mixed,
+                   F.lit('},null,1e3], "rest":{"y":null,"AVOID":"x"}}'))
+    before, after = root.split("{}")
+    return df.select("event_id", F.concat(F.lit(before), doc, F.lit(after)).alias("props"))
+
 
+def _json_parts(out, at="$"):
+    text = lambda path: F.expr(f"variant_get(parse_json(cleaned), '{at}{path}', 'string')")
+    return out.select("event_id", text(".note").alias("note"), text(".deep[0][\"a.b\"]").alias("mixed"),
+                      F.regexp_extract("cleaned", r'"rest":(\{[^}]*\})', 1).alias("rest"), F.size("report.detections").alias("threat_count"))
 
-@register("sanitize_json_events", O.sanitize_sql(_PROPS_SRC, """SELECT event_id, '{{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) ||
-    ',"note":' || to_json(t) || '}}' AS cleaned, CAST(len(d) AS INTEGER) AS threat_count FROM {last} JOIN events ON event_id = id"""))
+
+@register("sanitize_json_events", _PROPS_SQL)
 def sanitize_json_events(spark, sf):
-    # the JSON documents are the event properties with a note added as text
-    doc = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "note": "'), pick(PLAIN, "event_id"), F.lit('"}'))
-    df = table(spark, sf, "events").select("event_id", doc.alias("props"))
-    out = sanitize_json(df, "props", "k bigint, note string")
-    return out.select("event_id", "cleaned", F.size("report.detections").alias("threat_count"))
+    return _json_parts(sanitize_json(json_events(spark, sf), "props")).withColumn("mixed", F.when(F.col("event_id") % 2 == 0, F.col("mixed")).otherwise("17.50"))
+
+
+@register("sanitize_json_list_root", _PROPS_SQL)
+def sanitize_json_list_root(spark, sf):
+    return _json_parts(sanitize_json(json_events(spark, sf, "[{}]"), "props"), "$[0]").withColumn("mixed", F.when(F.col("event_id") % 2 == 0, F.col("mixed")).otherwise("17.50"))
 
 
 @register("nesting_cap_orders", "SELECT o_orderkey, '[nesting-limit]' AS deep, o_orderstatus AS shallow FROM orders")
@@ -105,14 +125,14 @@ def sanitize_items_conversations(spark, sf):
                       F.col("report.original_length").alias("original_length"), F.col("report.cleaned_length").alias("cleaned_length"))
 
 
-_HALVES = f"""SELECT doc_id * 2 AS id, left(text, 200) AS raw FROM documents UNION ALL
+_HALVES = f"""SELECT doc_id * 2 AS id, text AS raw FROM documents UNION ALL
     SELECT doc_id * 2 + 1, {O.pick(TEXTS, 'doc_id')} FROM documents"""
 
 
 @register("sanitize_array_documents", O.sanitize_sql(_HALVES, """SELECT id // 2 AS doc_id, string_agg(t, '|' ORDER BY id) AS cleaned,
     CAST(sum(len(d)) AS INTEGER) AS threat_count FROM {last} GROUP BY 1"""))
 def sanitize_array_documents(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.array(F.expr("left(text, 200)"), pick(TEXTS, "doc_id")).alias("parts"))
+    df = table(spark, sf, "documents").select("doc_id", F.array(F.col("text"), pick(TEXTS, "doc_id")).alias("parts"))
     return sanitize_array(df, "parts").select("doc_id", F.array_join("cleaned", "|").alias("cleaned"),
                                               F.size("report.detections").alias("threat_count"))
 
@@ -142,9 +162,9 @@ def secret_gate_documents(spark, sf):
     return secret_gate(_secret_docs(spark, sf), "text", "path").select("doc_id")
 
 
-@register("scan_secrets_raw", f"WITH src AS MATERIALIZED (SELECT doc_id, text AS t, source AS path FROM documents) SELECT vector, count(*) AS n FROM ({_SECRET_HITS}) GROUP BY vector")
-def scan_secrets_raw(spark, sf):
-    return scan_secrets(table(spark, sf, "documents"), "text", "doc_id", path_col="source").groupBy("vector").agg(F.count("*").alias("n"))
+@register("secrets_by_vector", f"WITH src AS MATERIALIZED ({_SECRET_SRC}) SELECT vector, count(*) AS n FROM ({_SECRET_HITS}) GROUP BY vector")
+def secrets_by_vector(spark, sf):
+    return scan_secrets(_secret_docs(spark, sf), "text", "doc_id", path_col="path").groupBy("vector").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------- commands
@@ -178,7 +198,7 @@ _PATH_SQL = f"""SELECT page_id, resolved, NOT system AND (resolved = '/work' OR
 def check_paths_pages(spark, sf):
     path = F.concat(pick(PATH_TEXTS, "page_id"), F.lit("/./x/../"), F.col("page_id").cast("string"))
     out = check_paths(table(spark, sf, "pages").select("page_id", path.alias("path")), "path", "/work")
-    why = (F.when(F.col("reason").isNull(), "none").when(F.contains("reason", F.lit("system path")), "system").otherwise("outside"))
+    why = (F.when(F.col("reason").isNull(), "none").when(F.contains("reason", F.lit("system")), "system").otherwise("outside"))
     return out.select("page_id", "resolved", "allowed", why.alias("why"))
 
 

@@ -11,7 +11,7 @@ from ..functions.unicode import homoglyph_ratio, nfc_column
 from ..limits import Limits
 from ..operators import report as RP
 from ..operators.detect import detect
-from ..operators.sanitize import limit_text, sanitize
+from ..operators.sanitize import limit_text, sanitize, sanitize_for_diary, sanitize_for_markdown
 from . import oracle as O
 from .registry import register, table
 from .seeds import TEXTS, pick, spliced
@@ -46,9 +46,7 @@ def _digest_sql(key):
 @register("threats_by_vector_pages", O.sanitize_sql(PAGES_SQL, """SELECT u.category AS category, u.vector AS vector,
     u.severity AS severity, count(*) AS n, count(DISTINCT id) AS n_pages FROM (SELECT id, unnest(d) AS u FROM {last}) GROUP BY ALL"""))
 def threats_by_vector_pages(spark, sf):
-    found = RP.detections_table(sanitize(pages(spark, sf), "html"), "page_id")
-    return found.groupBy("category", "vector", "severity").agg(
-        F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return RP.count_by_row(sanitize(pages(spark, sf), "html").select("report.detections"), "detections", "category", "vector", "severity", rows="n_pages")
 
 
 @register("sanitize_pages_rendered", O.sanitize_sql(PAGES_SQL, _digest_sql("page_id"), "html"))
@@ -162,11 +160,10 @@ def nfc_documents(spark, sf):
     return nfc_column(split, "text", "nfc").select("doc_id", F.md5("nfc").alias("text_md5"), F.length("nfc").alias("n"))
 
 
-@register("homoglyph_ratio_documents", r"""SELECT doc_id, CASE WHEN r > 0.02 THEN round(r, 6) ELSE 0 END AS ratio FROM (SELECT doc_id,
+@register("homoglyph_ratio_documents", r"""SELECT doc_id, round(r, 6) AS ratio FROM (SELECT doc_id,
     length(regexp_replace(text, '[^\p{L}]|[\x00-\x7F]', '', 'g')) / greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1) AS r FROM documents)""")
 def homoglyph_ratio_documents(spark, sf):
-    ratio = f"round({homoglyph_ratio('text', 0.02)}, 6)"
-    return table(spark, sf, "documents").select("doc_id", F.expr(f"CASE WHEN {ratio} > 0.02D THEN {ratio} ELSE 0D END").alias("ratio"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(f"round({homoglyph_ratio('text')}, 6)").alias("ratio"))
 
 
 _LOOKALIKE = "CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeopcxi', 'аеорсхі') ELSE text END"
@@ -241,9 +238,7 @@ def _detect_sql():
 
 @register("detect_documents", _detect_sql())
 def detect_documents(spark, sf):
-    found = detect(docs(spark, sf), "text").select("doc_id", F.explode("detections").alias("d"))
-    return found.groupBy(F.col("d.category").alias("category"), F.col("d.vector").alias("vector")).agg(
-        F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return RP.count_by_row(detect(docs(spark, sf), "text"), "detections", "category", "vector", rows="n_docs")
 
 
 # -------------------------------------------------------------------- reports
@@ -297,3 +292,19 @@ def threats_by_label(spark, sf):
     flags = sanitize(docs(spark, sf), "text").select("doc_id", threats_found().alias("hit"))
     return flags.join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "toxic").agg(
         F.count("*").alias("n_docs"), F.count_if("hit").alias("n_threats"))
+
+
+@register("sanitize_diary_wrapper", O.sanitize_sql(DOCS_SQL, "SELECT id AS doc_id, md5(t) AS cleaned_md5 FROM {last}", "diary"))
+def sanitize_diary_wrapper(spark, sf):
+    return sanitize_for_diary(docs(spark, sf), "text").select("doc_id", F.md5("cleaned").alias("cleaned_md5"))
+
+
+@register("sanitize_markdown_wrapper", O.sanitize_sql(DOCS_SQL, "SELECT id AS doc_id, md5(t) AS cleaned_md5 FROM {last}", "markdown"))
+def sanitize_markdown_wrapper(spark, sf):
+    return sanitize_for_markdown(docs(spark, sf), "text").select("doc_id", F.md5("cleaned").alias("cleaned_md5"))
+
+
+@register("case_results_documents", O.sanitize_sql(DOCS_SQL, "SELECT id AS doc_id, CASE WHEN len(d) > 0 THEN 'BLOCKED' ELSE 'MISSED' END AS result, "
+          "CAST(len(d) AS INTEGER) AS n_detections FROM {last}"))
+def case_results_documents(spark, sf):
+    return RP.case_results(sanitize(docs(spark, sf), "text"), "doc_id")

@@ -1,20 +1,24 @@
-"""Guarded writes: check the path, clean, write, keep an audit log.
+"""Guarded writes: check the path, clean, write aside, log, publish.
 
-Nothing is written if any step fails: a blocked path is refused before the job
-starts, an error in cleaning fails the job, and the file committer publishes
-output only when the whole job has succeeded.
+Nothing appears at a destination if any step fails.  A blocked path is refused
+before the job starts.  Cleaned data is written to a pending folder beside the
+destination; then its audit entries are added to the log; only then is the
+folder moved into place.  When cleaning, writing or logging fails, the pending
+folder goes and earlier data stays as it was.
 """
 
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.paths import SYSTEM_PREFIXES
-from ..operators.audit import SCHEMA, audit_entries, build_chain, chain_heads
+from ..functions.paths import OUTSIDE_REFUSAL, SYSTEM_PREFIXES, SYSTEM_REFUSAL
+from ..operators.audit import SCHEMA, audit_entries, build_chain, last_heads
 from ..operators.items import sanitize_lines
 from ..operators.sanitize import sanitize
+from ..operators.structured import sanitize_json
 from ..session import new_path
 
 
@@ -23,11 +27,9 @@ def check_destination(path: str, root: str) -> str:
     home = posixpath.normpath(root)
     dest = posixpath.normpath(posixpath.join(home, path))
     if dest.startswith(SYSTEM_PREFIXES):
-        raise ValueError(f"Blocked: destination '{dest}' is a system path. "
-                         "Secure writer only writes to workspace directories.")
+        raise ValueError(SYSTEM_REFUSAL + dest)
     if dest != home and not dest.startswith(home.rstrip("/") + "/"):
-        raise ValueError(f"Blocked: destination '{dest}' is outside the workspace boundary "
-                         f"'{home}'. All writes must stay within the workspace.")
+        raise ValueError(OUTSIDE_REFUSAL + dest)
     return dest
 
 
@@ -36,24 +38,95 @@ def _action(mode: str) -> str:
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    """Write a cleaned table once; data and audit are both taken from it."""
+    """Write a cleaned table once; data and audit are both taken from it, and the caller may read its reports there."""
     spark = df.sparkSession
     path = new_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def _publish(spark: SparkSession, pending: str, dest: str, mode: str) -> None:
+    """Move a complete folder to its place; in overwrite mode what was there goes only when the new one is there."""
+    source, fs = _hadoop(spark, pending)
+    target, _ = _hadoop(spark, dest)
+    if mode == "append":
+        fs.mkdirs(target)
+        for found in fs.listStatus(source):
+            name = found.getPath().getName()
+            if not name.startswith(("_", ".")):
+                _move(fs, found.getPath(), _hadoop(spark, f"{dest}/{name}")[0])
+        fs.delete(source, True)
+        return
+    old = _hadoop(spark, f"{dest}.old-{uuid.uuid4().hex}")[0]
+    there = fs.exists(target)
+    if there:
+        _move(fs, target, old)
+    else:
+        fs.mkdirs(target.getParent())
+    try:
+        _move(fs, source, target)
+    except Exception:
+        if there:
+            _move(fs, old, target)
+        raise
+    if there:
+        fs.delete(old, True)
+
+
+def _guarded(spark: SparkSession, dest: str, mode: str, write, log) -> None:
+    """Write to a pending folder, log, publish."""
+    pending = f"{dest}.pending-{uuid.uuid4().hex}"
+    path, fs = _hadoop(spark, pending)
+    try:
+        write(pending)
+        log()
+    except Exception:
+        fs.delete(path, True)
+        raise
+    _publish(spark, pending, dest, mode)
+
+
 def append_audit(entries: DataFrame, audit_path: str, order: list[str], *, rows_per_chain: int = 5000) -> None:
     """Chain new entries, per destination, onto the log at ``audit_path``.
 
-    The new part is a directory of its own, so a repeated attempt cannot leave
-    half of it behind.
+    The new lines are complete before they are moved into the log.  The last
+    line of each log is kept in a table of its own (``_heads``), so that nothing but
+    it is read to go on.
     """
     spark = entries.sparkSession
-    old = read_log(spark, audit_path)
-    heads = None if old is None else chain_heads(old, "log")
+    old = read_heads(spark, audit_path)
     rows = entries.withColumn("log", F.col("destination"))
-    build_chain(rows, "log", order, rows_per_chain=rows_per_chain, heads=heads).write.mode("append").parquet(audit_path)
+    pending = f"{audit_path}/_pending-{uuid.uuid4().hex}"
+    path, fs = _hadoop(spark, pending)
+    try:
+        build_chain(rows, "log", order, rows_per_chain=rows_per_chain, heads=old).write.parquet(pending)
+        new = spark.read.schema(LOG_SCHEMA).parquet(pending)
+        last_heads(new, "log", rows_per_chain).write.parquet(f"{pending}-heads")
+    except Exception:
+        fs.delete(path, True)
+        fs.delete(_hadoop(spark, f"{pending}-heads")[0], True)
+        raise
+    _publish(spark, pending, audit_path, "append")
+    _publish(spark, f"{pending}-heads", f"{audit_path}/_heads", "append")
+
+
+def read_heads(spark: SparkSession, audit_path: str) -> DataFrame | None:
+    """``log, head_seq, head_hash`` of each log's last entry, or None where there is no log yet."""
+    path, fs = _hadoop(spark, f"{audit_path}/_heads")
+    if not fs.exists(path):
+        return None
+    kept = spark.read.schema("log string, head_seq long, head_hash string").parquet(f"{audit_path}/_heads")
+    return kept.groupBy("log").agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
 
 
 LOG_SCHEMA = "log string, chain long, seq long, prev_hash string, line string"
@@ -61,9 +134,8 @@ LOG_SCHEMA = "log string, chain long, seq long, prev_hash string, line string"
 
 def read_log(spark: SparkSession, audit_path: str) -> DataFrame | None:
     """The raw audit lines, or None where there is no log yet."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(audit_path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(LOG_SCHEMA).parquet(audit_path) if fs.exists(jvm_path) else None
+    path, fs = _hadoop(spark, f"{audit_path}/_heads")
+    return spark.read.schema(LOG_SCHEMA).parquet(audit_path) if fs.exists(path) else None
 
 
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
@@ -72,6 +144,11 @@ def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     return log.select("log", "chain", "seq", F.from_json("line", SCHEMA).alias("e")).select("log", "chain", "seq", "e.*")
 
 
+def export_audit_jsonl(spark: SparkSession, audit_path: str, path: str) -> None:
+    """The log's lines as text files, one entry a line, for other readers."""
+    spark.read.schema(LOG_SCHEMA).parquet(audit_path).select("line").write.text(path)
+
+
 def read_audit_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """An audit log kept as JSON lines by another writer."""
     return spark.read.schema(SCHEMA).json(path)
@@ -82,8 +159,8 @@ def write_text(df: DataFrame, col: str, destination: str, audit_path: str, *, ro
     """Clean a text column and write the table; returns the written rows with their reports."""
     dest = check_destination(destination, root)
     clean = _staged(sanitize(df, col, context, cleaned="__clean", **kw).drop(col).withColumnRenamed("__clean", col))
-    clean.drop("report").write.mode(mode).parquet(dest)
-    _log(clean, dest, context, _action(mode), audit_path, key, timestamp)
+    _guarded(df.sparkSession, dest, mode, clean.drop("report").write.parquet,
+             lambda: _log(clean, dest, context, _action(mode), audit_path, [key], timestamp))
     return clean
 
 
@@ -98,24 +175,35 @@ def write_json(df: DataFrame, col: str, destination: str, audit_path: str, *, ro
     depth = 1 if isinstance(df.schema[col].dataType, T.ArrayType) else 0
     clean = _staged(sanitize(df, col, context, cleaned="__clean", root_depth=depth, **kw)
                     .drop(col).withColumnRenamed("__clean", col))
-    clean.drop("report").write.mode(mode).json(dest)
-    _log(clean, dest, context, "write_json", audit_path, key, timestamp)
+    _guarded(df.sparkSession, dest, mode, clean.drop("report").write.option("ignoreNullFields", "false").json,
+             lambda: _log(clean, dest, context, "write_json", audit_path, [key], timestamp))
+    return clean
+
+
+def write_json_documents(df: DataFrame, col: str, destination: str, audit_path: str, *, root: str, key: str,
+                         context: str = "general", mode: str = "overwrite", timestamp: Column | None = None, **kw) -> DataFrame:
+    """Clean JSON documents of any shape held as text, and write them as JSON lines."""
+    dest = check_destination(destination, root)
+    clean = _staged(sanitize_json(df, col, context, cleaned="__clean", **kw).drop(col).withColumnRenamed("__clean", col))
+    _guarded(df.sparkSession, dest, mode, clean.where(F.col(col).isNotNull()).select(col).write.text,
+             lambda: _log(clean, dest, context, "write_json", audit_path, [key], timestamp))
     return clean
 
 
 def write_lines(df: DataFrame, keys: list[str], order: str, col: str, destination: str, audit_path: str, *, root: str,
                 separator: str = "\n\n", context: str = "general", mode: str = "overwrite",
                 timestamp: Column | None = None, **kw) -> DataFrame:
-    """Clean list items, join them per group in order, and write one row per part."""
+    """Clean list items, join them per group in order, and write one row per group."""
     dest = check_destination(destination, root)
     clean = _staged(sanitize_lines(df, keys, order, col, separator=separator, context=context, **kw))
-    clean.drop("report").write.mode(mode).parquet(dest)
-    _log(clean, dest, context, "write_lines", audit_path, keys[0], timestamp)
+    by = [*keys, "part"] if "part" in clean.columns else keys
+    _guarded(df.sparkSession, dest, mode, clean.drop("report").write.parquet,
+             lambda: _log(clean, dest, context, "write_lines", audit_path, by, timestamp))
     return clean
 
 
-def _log(clean, dest, context, action, audit_path, key, timestamp):
-    append_audit(audit_entries(clean, dest, context, action, keep=(key,), timestamp=timestamp), audit_path, [key])
+def _log(clean, dest, context, action, audit_path, keys, timestamp):
+    append_audit(audit_entries(clean, dest, context, action, keep=tuple(keys), timestamp=timestamp), audit_path, list(keys))
 
 
 def sanitize_only(df: DataFrame, col: str, audit_path: str, *, key: str, context: str = "general",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.reports import threats_found
-from ..operators.audit import audit_entries, build_chain, chain_heads
+from ..operators.audit import audit_entries, build_chain, last_heads
 from ..operators.sanitize import sanitize
 
 
@@ -29,12 +29,14 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
         clean.write.mode("overwrite").parquet(rows_path)
         written = spark.read.schema(clean.schema).parquet(rows_path)
         heads = None
-        if batch_id > 0:
-            before = spark.read.parquet(audit_path).filter(F.col("batch_id") < batch_id)
-            heads = chain_heads(before, "log")
+        if batch_id > 0:  # one row per batch, not the log
+            before = spark.read.parquet(f"{audit_path}-heads").filter(F.col("batch_id") < batch_id)
+            heads = before.groupBy("log").agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
         entries = audit_entries(written, data_path, context, "append", keep=(key,)).withColumn("log", F.lit(log))
         (build_chain(entries, "log", [key], rows_per_chain=rows_per_chain, heads=heads)
          .write.mode("overwrite").parquet(log_path))
+        new = spark.read.parquet(log_path)
+        last_heads(new, "log", rows_per_chain).write.mode("overwrite").parquet(f"{audit_path}-heads/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark deletes them once the driver's garbage collection finds that nothing
+    refers to them, which otherwise may be long after the table that was made of
+    them is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def missing_columns(df: DataFrame, *names: str) -> None:
     absent = [n for n in names if n not in df.columns]
     if absent:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import missing_columns, staged
+from .common import missing_columns, release, staged
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -196,9 +196,11 @@ def compared(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
 def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(a, b): links enough to connect whatever links connect, each one verified on the full sets."""
     stars = staged(hubs(sigs), "partenum-stars")
+    release(docs.sparkSession)
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
     wanted = docs.select(F.col(key).cast("long").alias(key), text).join(involved.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     all_sets = staged(sets(wanted, key, text, measure.words), "partenum-sets")
+    release(docs.sparkSession)
     seen = (compared(stars, all_sets, measure, "hub", "id").withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
             .withColumn("n", F.col("n_a") + F.col("n_b")).withColumn("near", linked(measure, "h", "n")))
     # no set linked to this one differs from it in more than `most` elements

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import missing_columns, staged
+from .common import missing_columns, release, staged
 from .shingles import mixed, text_parts
 
 Q = 24
@@ -376,6 +376,7 @@ def dedup_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
              .repartitionById(len(splitters) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "run", "doc", "packed")
              .mapInArrow(_repeated, "kind int, doc long, packed long"))
     found = staged(found, "suffix-anchors")
+    release(spark)
     # the texts are dealt by document once; both joins below read that exchange
     dealt = rows.repartition(n, "doc")
     places = found.where("kind = 0").groupBy("doc").agg(F.collect_set("packed").alias("places"))

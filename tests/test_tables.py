@@ -89,6 +89,13 @@ def test_numbering_of_hot_groups(spark):
     assert got.count() == 3000 and got.withColumn("e", F.row_number().over(w)).filter("e <> pos").count() == 0
 
 
+def test_numbering_of_a_million_wide_rows(spark):
+    df = spark.range(1000000).selectExpr("id", "concat('k', id % 5) as k", "xxhash64(id) as v", "repeat(md5(cast(id as string)), 3) as wide")
+    got = number_rows(df, ["k"], ["v", "id"], "pos")
+    w = Window.partitionBy("k").orderBy("v", "id")
+    assert got.count() == 1000000 and got.withColumn("e", F.row_number().over(w)).filter("e <> pos OR length(wide) <> 96").count() == 0
+
+
 def test_each_secret_is_found_once(spark):
     df = spark.createDataFrame([(i, t, "a/b.py") for i, t in enumerate(SECRET_TEXTS)] + [(99, "x", "c/.env"), (98, "x", "c/x.env")],
                                "id int, t string, p string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import new_path
+
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Add the position (1, 2, ...) of each row in its group; NULL keys are one group, order columns may have any type.
@@ -13,9 +15,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> D
     into as many ranges as it needs.  Rows are numbered where they lie; the
     sizes of a group's earlier ranges, a row per group and range, are added.
     The order columns should tell all rows of a group apart.
+
+    The numbered rows are written to the shared folder at once: two runs of one
+    range partitioning draw other bounds, so sizes of one would not fit the other.
     """
+    spark = df.sparkSession
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id())
     ranged = ranged.withColumn("__range", F.shiftright("__id", 33))
+    path = new_path(spark, "ranged")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     sizes = ranged.groupBy(*keys, "__range").agg(F.min("__id").alias("__low"), F.count("*").alias("__size"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"),

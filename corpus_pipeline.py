@@ -15,8 +15,10 @@ from textward.llm.common import held_out, staged
 
 #: least probability of the predicted language; with clean text it is close to 1
 LEAST_SCORE = 0.5
-#: exponent of tokens in the target weights of sources, languages and topics: close to the given mix, so that most documents stay
+#: exponent of tokens in the target weights of sources, languages and topics: close to the given mix
 ALPHA = 0.9
+#: share of the tokens that mixing is expected to keep, whatever cells there are
+KEEP = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: documents are drawn with the probability of their source, language and topic."""
     wide = docs.withColumns({"topic": mixing.topic_of(F.col("text")), "n_tokens": mixing.n_words(F.col("text"))})
-    mixed = mixing.mix(wide, ("source", "lang", "topic"), "n_tokens", dict.fromkeys(("source", "lang", "topic"), ALPHA))
+    mixed = mixing.mix(wide, ("source", "lang", "topic"), "n_tokens", dict.fromkeys(("source", "lang", "topic"), ALPHA), keep=KEEP)
     return mixed.where("sampled").select(docs.columns)
 
 

@@ -372,6 +372,19 @@ def test_categories_without_target_and_documents_without_tokens_go(spark):
     assert out == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
 
 
+def test_a_stray_cell_does_not_move_the_others(spark):
+    rows = [(i, "abc"[min(i % 7, 2)], "xy"[i % 2], "t", 50 + i % 40) for i in range(2000)]
+    stray = rows + [(2000, "stray", "z", "u", 20)]
+    dims = ("source", "lang", "topic")
+    schema = "doc_id long, source string, lang string, topic string, n_tokens long"
+    drawn = [mixing.mix(spark.createDataFrame(r, schema), dims, "n_tokens", dict.fromkeys(dims, 0.9), keep=0.9).collect() for r in (rows, stray)]
+    for out in drawn:
+        assert abs(sum(r.probability * r.n_tokens for r in out) / sum(r.n_tokens for r in out) - 0.9) < 1e-6
+        assert max(r.probability for r in out) <= 1
+    before, after = ({r.doc_id: r.probability for r in out} for out in drawn)
+    assert after[2000] == 1 and max(abs(p - after[i]) for i, p in before.items()) < 1e-3
+
+
 # ------------------------------------------------------------------ empty tables
 
 def test_empty_tables(nothing):

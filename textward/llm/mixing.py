@@ -73,21 +73,43 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def scaled(cell: DataFrame, dims: Sequence[str], keep: float) -> DataFrame:
+    """Adds `__c` to raked cells, the factor with sum(min(tokens, c * weight)) = keep * sum(tokens).
+
+    The sum is the least of T + c * W over all cuts of the cells in order of
+    weight / tokens, with T the tokens above the cut and W the weight below it,
+    so c is the largest of (budget - T) / W.
+    """
+    falling = Window.partitionBy(F.lit(0)).orderBy((F.col("weight") / F.col("tokens")).desc(), *dims)
+    everything = Window.partitionBy(F.lit(0))
+    above = F.coalesce(F.sum("tokens").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    below = F.sum("weight").over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    wanted = F.sum("tokens").over(everything) * F.lit(float(keep))
+    return cell.withColumn("__c", F.when(below > 0, (wanted - above) / below)).withColumn("__c", F.max("__c").over(everything))
+
+
 def mix(docs: DataFrame, dims: Sequence[str], tokens: str, targets: Mapping[str, Mapping | float], key: str = "doc_id",
-        rounds: int = 8, seed: int = 7) -> DataFrame:
+        rounds: int = 8, seed: int = 7, keep: float | None = None) -> DataFrame:
     """Adds `probability` and `sampled` to `docs`; columns of these names are replaced.
 
-    Probabilities are in proportion to weight / tokens of the cell, scaled so
-    that the largest is 1: no document is wanted more than once, and expected
-    tokens of each category follow the targets.  Documents without tokens have
+    Probabilities are in proportion to weight / tokens of the cell.  Without
+    `keep` they are scaled so that the largest is 1: no document is wanted more
+    than once, and expected tokens of each category follow the targets; the
+    rarest cell then sets how much of all others stays.  With `keep` that share
+    of all tokens is expected to stay: cells that would be wanted more than once
+    stay whole, and the others are scaled to fill the rest.  Documents without tokens have
     probability 0, hence go.  Rows with one key (repeats) share their fate.  The
     cell table is as long as there are combinations and is joined null-safely;
     Spark broadcasts it only below its size limit and splits hot cells otherwise.
     """
     missing_columns(docs, *dims, tokens, key)
     fitted = rake(cells(docs, dims, tokens), dims, targets, rounds)
-    best = F.max(F.col("weight") / F.col("tokens")).over(Window.partitionBy(F.lit(0)))
-    fitted = fitted.withColumn("__p", F.round(F.col("weight") / F.col("tokens") / best, 9))
+    if keep is None:
+        best = F.max(F.col("weight") / F.col("tokens")).over(Window.partitionBy(F.lit(0)))
+        fitted = fitted.withColumn("__p", F.round(F.col("weight") / F.col("tokens") / best, 9))
+    else:
+        wanted = F.col("__c") * F.col("weight") / F.col("tokens")
+        fitted = scaled(fitted, dims, keep).withColumn("__p", F.round(F.least(F.lit(1.0), wanted), 9))
     fitted = fitted.select(*[F.col(d).alias(f"__cell_{d}") for d in dims], "__p")
     on = None
     for d in dims:

@@ -224,6 +224,30 @@ def test_seals_show_what_chains_cannot(spark):
     assert A.seals(cut).where("level = 1").first().hash != kept.where("level = 1").first().hash
 
 
+def test_seals_are_checked_up_to_the_root(spark):
+    log = spark.range(4004).selectExpr("'x' as log", "id div 2 as chain", "id % 2 + 1 as seq", "concat('line ', id) as line")
+    kept = A.seals(log).localCheckpoint()
+    found = lambda rows, seals: {(r.level, r.node, r.status) for r in A.verify_seals(rows, seals).collect()}
+    assert kept.agg(F.max("level")).first()[0] == 2 and found(log, kept) == set()
+    # a chain that goes with its own seal, then with the level above as well
+    gone, forged = log.where("chain <> 1500"), kept.where("level > 0 OR node <> 1500")
+    assert found(gone, forged) == {(1, 1, "changed")}
+    new = A.seals(gone)
+    assert found(gone, new.where("level < 2").unionByName(kept.where("level = 2"))) == {(2, 0, "changed")}
+    assert found(log, kept.where("level < 2")) == {(2, 0, "unsealed")}
+    many = log.where("chain % 7 <> 3 AND NOT (chain % 7 = 5 AND seq = 2)")
+    assert found(many, kept) == {(0, c, "missing" if c % 7 == 3 else "changed") for c in range(2002) if c % 7 in (3, 5)}
+
+
+def test_missing_chain_query_seals_the_whole_log(spark, monkeypatch):
+    from textward.plans import sink_queries
+    seen, seals = [], A.seals
+    monkeypatch.setattr(A, "seals", lambda log: seen.append(log.count()) or seals(log))
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    got = sink_queries.audit_missing_chain(spark, "/root/testdata/sf0.01").collect()
+    assert seen == [events.count()] and len(got) == 2 * events.select("event_type").distinct().count()
+
+
 def test_audit_plans_scan_once(spark):
     entries = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_type as log", "event_id", "'t' as timestamp", "'d' as destination",
         "'c' as context", "'append' as action", "1 as original_length", "1 as cleaned_length", "false as threats_found", "0 as threat_count",

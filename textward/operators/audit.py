@@ -150,29 +150,99 @@ def seals(log_rows: DataFrame, log: str = "log") -> DataFrame:
     of the one below, up to a single row per log, so no task ever sees more
     than that many.  Kept apart from the log, it shows chains that were removed or cut.
     """
-    level = log_rows.groupBy(F.col(log).alias("log"), F.col("chain").alias("node")).agg(
+    return tree(_chains(log_rows, log))
+
+
+def _chains(log_rows: DataFrame, log: str) -> DataFrame:
+    return log_rows.groupBy(F.col(log).alias("log"), F.col("chain").alias("node")).agg(
         F.count("*").alias("n"), entry_hash(F.max_by("line", "seq")).alias("hash"))
+
+
+def _above(level: DataFrame, *by: str) -> DataFrame:
+    """One row per up to ``FAN`` rows of ``log, node, n, hash``."""
+    rows = F.array_sort(F.collect_list(F.struct("node", "n", "hash")))
+    return (level.groupBy("log", *by, F.floor(F.col("node") / FAN).alias("node"))
+            .agg(F.sum("n").alias("n"), F.substring(F.sha2(F.to_json(rows), 256), 1, 16).alias("hash")))
+
+
+def tree(level: DataFrame) -> DataFrame:
+    """Seals of all levels from those of level 0 (``log, node, n, hash``)."""
     most = level.agg(F.max("node")).first()[0] or 0
     out, depth = level.withColumn("level", F.lit(0)), 0
     while most > 0:
         most, depth = most // FAN, depth + 1
-        rows = F.array_sort(F.collect_list(F.struct("node", "n", "hash")))
-        level = (level.groupBy("log", F.floor(F.col("node") / FAN).alias("node"))
-                 .agg(F.sum("n").alias("n"), F.substring(F.sha2(F.to_json(rows), 256), 1, 16).alias("hash")))
+        level = _above(level)
         out = out.unionByName(level.withColumn("level", F.lit(depth)))
     return out.select("log", "level", "node", "n", "hash")
 
 
-def verify_seals(log_rows: DataFrame, kept: DataFrame, log: str = "log") -> DataFrame:
-    """Chains that differ from what their seals say: ``log, node, status``, status ``missing``, ``changed`` or ``unsealed``."""
-    now = log_rows.groupBy(F.col(log).alias("log"), F.col("chain").alias("node")).agg(
-        F.count("*").alias("n"), entry_hash(F.max_by("line", "seq")).alias("hash"))
-    was = kept.where("level = 0")
+def finished(new: DataFrame, log: str, rows_per_chain: int) -> DataFrame:
+    """Level-0 seals of the chains that end in new lines: ``log, node, n, hash``."""
+    return new.where(F.col("seq") == rows_per_chain).select(
+        F.col(log).alias("log"), F.col("chain").alias("node"), F.col("seq").alias("n"), entry_hash(F.col("line")).alias("hash"))
+
+
+def grown(new: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Seals to add to those kept ``before``: of new level-0 seals and of every level above them."""
+    if before is None:
+        return tree(new)
+    old = before.where("level = 0").drop("level").join(new.select("log").distinct(), "log", "left_semi")
+    every = tree(old.unionByName(new))
+    return every.where("level > 0").unionByName(new.withColumn("level", F.lit(0)).select(every.columns))
+
+
+def latest_seals(kept: DataFrame) -> DataFrame:
+    """The newest state of each seal: seals above level 0 are written again as they grow."""
+    return kept.groupBy("log", "level", "node").agg(F.max("n").alias("n"), F.max_by("hash", "n").alias("hash"))
+
+
+def _differences(now: DataFrame, was: DataFrame) -> DataFrame:
     a, b = now.alias("a"), was.alias("b")
-    both = a.join(b, F.col("a.log").eqNullSafe(F.col("b.log")) & (F.col("a.node") == F.col("b.node")), "full_outer")
+    on = F.col("a.log").eqNullSafe(F.col("b.log")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.node") == F.col("b.node"))
     status = (F.when(F.col("a.node").isNull(), "missing").when(F.col("b.node").isNull(), "unsealed")
               .when((F.col("a.n") != F.col("b.n")) | (F.col("a.hash") != F.col("b.hash")), "changed"))
-    return both.select(F.coalesce("a.log", "b.log").alias("log"), F.coalesce("a.node", "b.node").alias("node"), status.alias("status")).where("status IS NOT NULL")
+    return a.join(b, on, "full_outer").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("log", "level", "node")],
+                                              status.alias("status")).where("status IS NOT NULL")
+
+
+def verify_seals(log_rows: DataFrame, kept: DataFrame, log: str = "log", open_chains: DataFrame | None = None) -> DataFrame:
+    """What differs from the seals: ``log, level, node, status``, status ``missing``, ``changed`` or ``unsealed``.
+
+    Level 0 compares the chains with their seals, each level above compares the
+    seals kept there with those made of the level below, up to the root.  So a
+    chain that goes with its seal shows in the level above.  ``open_chains``
+    (``log, node, n, hash``) vouches for chains that are not finished.
+    """
+    zero = kept.where("level = 0").select("log", "level", "node", "n", "hash")
+    if open_chains is not None:
+        zero = zero.unionByName(open_chains.withColumn("level", F.lit(0)).select(zero.columns))
+    chains = _differences(_chains(log_rows, log).withColumn("level", F.lit(0)), zero)
+    # a root has nothing above it: its level has node 0 only
+    made = _above(kept, "level").withColumn("level", F.col("level") + 1)
+    last = kept.groupBy("log", "level").agg(F.max("node").alias("most"))
+    above = _differences(made, kept.where("level > 0"))
+    roots = last.where("most = 0").select("log", (F.col("level") + 1).alias("level"), F.lit("unsealed").alias("status"))
+    roots = roots.withColumnRenamed("log", "__log").withColumnRenamed("level", "__level").withColumnRenamed("status", "__status")
+    above = above.join(roots, above["log"].eqNullSafe(F.col("__log")) & (above["level"] == F.col("__level")) & (above["status"] == F.col("__status")), "left_anti")
+    return chains.unionByName(above)
+
+
+def verify_log(log_rows: DataFrame, heads: DataFrame, kept: DataFrame, rows_per_chain: int) -> DataFrame:
+    """All that is wrong with a log: ``log, level, node, status``.
+
+    Lines that do not follow the line before (level -1, node is the chain),
+    chains and seals as in ``verify_seals`` with the heads vouching for the last chain
+    of each log, and logs whose seals do not add up to their head (level -2).
+    """
+    lines = verify_chain(log_rows, ["log", "chain"]).where("status <> 'ok'")
+    size = F.lit(rows_per_chain)
+    rest = F.col("head_seq") % size
+    last = heads.where(rest > 0).select("log", F.floor(F.col("head_seq") / size).alias("node"), rest.alias("n"), F.col("head_hash").alias("hash"))
+    sealed = kept.where("level = 0").groupBy(F.col("log").alias("__log")).agg(F.sum("n").alias("__n"))
+    short = heads.join(sealed, F.col("log").eqNullSafe(F.col("__log")), "left").where(F.coalesce("__n", F.lit(0)) != F.col("head_seq") - rest)
+    return (lines.select("log", F.lit(-1).alias("level"), F.col("chain").alias("node"), "status")
+            .unionByName(verify_seals(log_rows, kept, open_chains=last))
+            .unionByName(short.select("log", F.lit(-2).alias("level"), F.lit(None).cast("long").alias("node"), F.lit("changed").alias("status"))))
 
 
 def orphans(log_rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

@@ -86,3 +86,33 @@ def test_json_lists_at_the_root(spark, ws):
     df = spark.createDataFrame([(1, ["DROP x", "b"])], "id int, d array<string>")
     S.write_json(df, "d", "j", f"{ws}/audit", root=ws, key="id")
     assert spark.read.json(f"{ws}/j").first().d == ["[blocked]x", "b"]
+
+
+def test_sinks_show_a_removed_chain(spark, ws):
+    from textward.operators.audit import verify_log
+    for lo, hi in ((0, 4), (4, 25), (25, 33)):
+        S.append_audit(spark.range(lo, hi).selectExpr(
+            "id", "'d' AS destination", "'t' AS timestamp", "'c' AS context", "'append' AS action", "1 AS original_length", "1 AS cleaned_length", "false AS threats_found",
+            "0 AS threat_count", "cast(array() AS array<struct<category:string,vector:string,severity:string,action:string>>) AS detections"),
+            f"{ws}/audit", ["id"], rows_per_chain=10)
+    log, heads, seals = S.read_log(spark, f"{ws}/audit").localCheckpoint(), S.read_heads(spark, f"{ws}/audit").localCheckpoint(), S.read_seals(spark, f"{ws}/audit").localCheckpoint()
+    assert seals.where("level = 0").count() == 3 and S.verify_audit(spark, f"{ws}/audit", rows_per_chain=10).isEmpty()
+    found = lambda rows, kept: {(r.level, r.node, r.status) for r in verify_log(rows, heads, kept, 10).collect()}
+    gone = log.where("chain <> 1")
+    assert verify_chain(gone, ["log", "chain"]).where("status <> 'ok'").isEmpty()
+    assert found(gone, seals) == {(0, 1, "missing")}
+    assert found(gone, seals.where("NOT (level = 0 AND node = 1)")) == {(1, 0, "changed"), (-2, None, "changed")}
+    assert found(log.where("chain < 3 OR seq < 3"), seals) == {(0, 3, "changed")}
+
+
+def test_gateway_shows_a_removed_chain(spark, ws):
+    from textward.streaming.gateway import verify_stream_audit
+    for i in range(3):
+        spark.createDataFrame([(i * 10 + j, "fine") for j in range(5)], "id int, t string").coalesce(1).write.mode("append").parquet(f"{ws}/in")
+    stream = spark.readStream.schema("id int, t string").option("maxFilesPerTrigger", 1).parquet(f"{ws}/in")
+    write_with_audit(stream, "t", "id", f"{ws}/out", f"{ws}/log", f"{ws}/cp", rows_per_chain=4).awaitTermination()
+    assert verify_stream_audit(spark, f"{ws}/log", rows_per_chain=4).isEmpty()
+    spark.read.parquet(f"{ws}/log").where("chain <> 1").write.partitionBy("batch_id").parquet(f"{ws}/cut")
+    for name in ("heads", "seals"):
+        spark.read.parquet(f"{ws}/log-{name}").write.partitionBy("batch_id").parquet(f"{ws}/cut-{name}")
+    assert [(r.level, r.node, r.status) for r in verify_stream_audit(spark, f"{ws}/cut", rows_per_chain=4).collect()] == [(0, 1, "missing")]

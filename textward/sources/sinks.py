@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.paths import OUTSIDE_REFUSAL, SYSTEM_PREFIXES, SYSTEM_REFUSAL
-from ..operators.audit import SCHEMA, audit_entries, build_chain, last_heads
+from ..operators.audit import SCHEMA, audit_entries, build_chain, finished, grown, last_heads, latest_seals, verify_log
 from ..operators.items import sanitize_lines
 from ..operators.sanitize import sanitize
 from ..operators.structured import sanitize_json
@@ -101,7 +101,8 @@ def append_audit(entries: DataFrame, audit_path: str, order: list[str], *, rows_
 
     The new lines are complete before they are moved into the log.  The last
     line of each log is kept in a table of its own (``_heads``), so that nothing but
-    it is read to go on.
+    it is read to go on.  Chains that are finished get a seal (``_seals``), and so does
+    every level above them; ``verify_audit`` checks all three tables.
     """
     spark = entries.sparkSession
     old = read_heads(spark, audit_path)
@@ -112,14 +113,34 @@ def append_audit(entries: DataFrame, audit_path: str, order: list[str], *, rows_
         build_chain(rows, "log", order, rows_per_chain=rows_per_chain, heads=old).write.parquet(pending)
         new = spark.read.schema(LOG_SCHEMA).parquet(pending)
         last_heads(new, "log", rows_per_chain).write.parquet(f"{pending}-heads")
+        ended = finished(new, "log", rows_per_chain)
+        sealed = not ended.isEmpty()
+        if sealed:
+            grown(ended, read_seals(spark, audit_path)).write.parquet(f"{pending}-seals")
     except Exception:
-        fs.delete(path, True)
-        fs.delete(_hadoop(spark, f"{pending}-heads")[0], True)
+        for name in (pending, f"{pending}-heads", f"{pending}-seals"):
+            fs.delete(_hadoop(spark, name)[0], True)
         raise
     _publish(spark, pending, audit_path, "append")
+    if sealed:
+        _publish(spark, f"{pending}-seals", f"{audit_path}/_seals", "append")
     _publish(spark, f"{pending}-heads", f"{audit_path}/_heads", "append")
 
 
+SEAL_SCHEMA = "log string, level int, node long, n long, hash string"
+
+
+def read_seals(spark: SparkSession, audit_path: str) -> DataFrame:
+    """``log, level, node, n, hash`` of all seals, as they are now; no rows where no chain is finished yet."""
+    path, fs = _hadoop(spark, f"{audit_path}/_seals")
+    return latest_seals(spark.read.schema(SEAL_SCHEMA).parquet(f"{audit_path}/_seals") if fs.exists(path) else spark.createDataFrame([], SEAL_SCHEMA))
+
+
+def verify_audit(spark: SparkSession, audit_path: str, *, rows_per_chain: int = 5000) -> DataFrame:
+    """All that is wrong with the log at ``audit_path``: ``log, level, node, status``, see ``verify_log``."""
+    return verify_log(read_log(spark, audit_path), read_heads(spark, audit_path), read_seals(spark, audit_path), rows_per_chain)
+
+
 def read_heads(spark: SparkSession, audit_path: str) -> DataFrame | None:
     """``log, head_seq, head_hash`` of each log's last entry, or None where there is no log yet."""
     path, fs = _hadoop(spark, f"{audit_path}/_heads")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.reports import threats_found
-from ..operators.audit import audit_entries, build_chain, last_heads
+from ..operators.audit import audit_entries, build_chain, finished, grown, last_heads, latest_seals, verify_log
 from ..operators.sanitize import sanitize
 
+SEAL_SCHEMA = "log string, level int, node long, n long, hash string, batch_id long"
+
 
 def sanitize_stream(stream: DataFrame, col: str, context: str = "general", **kw) -> DataFrame:
     """Clean a stream; stateless, the same plan as for a table."""
@@ -20,7 +22,8 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
 
     Each batch owns one directory below either path and overwrites it, so a
     batch repeated after a failure leaves the same files.  The chain of a batch
-    starts at the head of the batches before it.
+    starts at the head of the batches before it.  Heads and the seals of finished
+    chains are kept beside the log (``-heads``, ``-seals``), see ``verify_stream_audit``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -28,8 +31,9 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
         clean = sanitize(batch, col, context, cleaned="__clean").drop(col).withColumnRenamed("__clean", col)
         clean.write.mode("overwrite").parquet(rows_path)
         written = spark.read.schema(clean.schema).parquet(rows_path)
-        heads = None
+        heads = sealed = None
         if batch_id > 0:  # one row per batch, not the log
+            sealed = latest_seals(spark.read.schema(SEAL_SCHEMA).parquet(f"{audit_path}-seals").filter(F.col("batch_id") < batch_id))
             before = spark.read.parquet(f"{audit_path}-heads").filter(F.col("batch_id") < batch_id)
             heads = before.groupBy("log").agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
         entries = audit_entries(written, data_path, context, "append", keep=(key,)).withColumn("log", F.lit(log))
@@ -37,11 +41,20 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
          .write.mode("overwrite").parquet(log_path))
         new = spark.read.parquet(log_path)
         last_heads(new, "log", rows_per_chain).write.mode("overwrite").parquet(f"{audit_path}-heads/batch_id={batch_id}")
+        grown(finished(new, "log", rows_per_chain), sealed).write.mode("overwrite").parquet(f"{audit_path}-seals/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def verify_stream_audit(spark, audit_path: str, *, rows_per_chain: int = 5000) -> DataFrame:
+    """All that is wrong with the log of ``write_with_audit``: ``log, level, node, status``, see ``verify_log``."""
+    heads = spark.read.parquet(f"{audit_path}-heads").groupBy("log").agg(
+        F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
+    sealed = latest_seals(spark.read.schema(SEAL_SCHEMA).parquet(f"{audit_path}-seals"))
+    return verify_log(spark.read.parquet(audit_path), heads, sealed, rows_per_chain)
+
+
 def threats_per_window(stream: DataFrame, time: str, *by: str, window: str = "1 hour", slide: str | None = None,
                        delay: str = "1 hour", report: str = "report") -> DataFrame:
     """Rows and rows with threats per event-time window; late rows are dropped after ``delay``."""

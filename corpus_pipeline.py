@@ -41,9 +41,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: documents are drawn with the probability of their source, language and topic."""
-    wide = docs.withColumns({"topic": mixing.topic_of(F.col("text")), "n_tokens": mixing.n_words(F.col("text"))})
+    # the row goes along as one value, so that columns of any name come out as they were
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", "lang",
+                       mixing.topic_of(F.col("text")).alias("topic"), mixing.n_words(F.col("text")).alias("n_tokens"))
     mixed = mixing.mix(wide, ("source", "lang", "topic"), "n_tokens", dict.fromkeys(("source", "lang", "topic"), ALPHA), keep=KEEP)
-    return mixed.where("sampled").select(docs.columns)
+    return mixed.where("sampled").select("__row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -385,6 +385,14 @@ def test_a_stray_cell_does_not_move_the_others(spark):
     assert after[2000] == 1 and max(abs(p - after[i]) for i, p in before.items()) < 1e-3
 
 
+def test_mixing_leaves_extra_columns_alone(spark):
+    import corpus_pipeline
+    docs = spark.range(50).selectExpr("id AS doc_id", "'a' AS source", "'x' AS lang", "'some words here' AS text", "concat('mine', id) AS topic", "-id AS n_tokens",
+                                      "'p' AS probability", "'s' AS sampled")
+    out = corpus_pipeline.weights(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() > 25 and out.exceptAll(docs).count() == 0
+
+
 # ------------------------------------------------------------------ empty tables
 
 def test_empty_tables(nothing):

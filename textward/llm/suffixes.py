@@ -10,7 +10,7 @@ anchors are sorted, about one in forty, instead of one at each byte:
    strings they anchor, all but the first are repeats;
 2. first ones that share their token with others come back with the bytes of the
    strings, are dealt and sorted the same way, and within each bucket the strings are
-   ordered by multikey quicksort; of equal neighbours all but the earliest are
+   ordered by the hashes of their strings; of equal neighbours all but the earliest are
    repeats.  Neighbours meet across the borders of chunks as well: a chunk that
    ends within a token hands the strings it has seen to the next.
 """

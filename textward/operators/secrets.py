@@ -18,12 +18,19 @@ def _token(vector: str, pattern: str, literal: str) -> Rule:
 
 
 def _assignment(key: str) -> Rule:
-    # a prefix (STRIPE_API_KEY) belongs to the name, but DB_PASSWORD is not also a PASSWORD
-    other = "(?:[a-z0-9]|[a-z0-9]{3,}|[a-ce-z0-9][a-z0-9]|d[ac-z0-9])_" if key == "PASSWORD" else ""
-    before = "(?:^|[^a-z0-9_])" + (f"(?:(?:[a-z0-9]+_)*{other})?" if other else "(?:[a-z0-9]+_)*")
-    return Rule("secret", f"assigned_{key.lower()}", "high",
-                rf"""(?i){before}{key}["']?\s*[:=]\s*(?:"[^"\n]+"|'[^'\n]+')""",
-                gate=((key.lower(),),))
+    """NAME = "value", where NAME ends in the key: API_KEY, STRIPE_API_KEY, _api_key, apiKey, stripeApiKey.
+
+    The key follows the start, a character that is no letter or digit, or, with a capital, a small letter or digit.
+    Nothing before that is part of the expression, which therefore needs time in proportion to the text.
+    """
+    parts = key.split("_")
+    border, hump = "(?:^|[^A-Za-z0-9])", "[a-z0-9]"
+    if key == "PASSWORD":  # DB_PASSWORD and dbPassword have a rule of their own
+        border = "(?:^|[^A-Za-z0-9_]|(?:^|[^Bb])_|(?:^|[^Dd])[Bb]_|[A-Za-z0-9][Dd][Bb]_)"
+        hump = "(?:[ac-z0-9]|(?:^|[^Dd])b|[A-Za-z0-9][Dd]b)"
+    name_ = f"(?:{border}(?i:{'_?'.join(parts)})|{hump}{'_?'.join(p.capitalize() for p in parts)})"
+    return Rule("secret", f"assigned_{key.lower()}", "high", name_ + r"""["']?\s*[:=]\s*(?:"[^"\n]+"|'[^'\n]+')""",
+                gate=tuple((w,) for w in dict.fromkeys((key.lower(), key.lower().replace("_", "")))))
 
 
 def _uri(vector: str, scheme: str, literal: str) -> Rule:

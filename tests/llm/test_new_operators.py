@@ -241,3 +241,39 @@ def test_deviations_are_exact_beyond_64_bits(spark):
 def test_nothing_to_whiten(spark, rows):
     out = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"] and out.count() == 0
+
+
+# ------------------------------------------------------------------ op 5, before full sets meet
+
+def test_packed_signatures_come_back():
+    from textward.llm import partenum
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5000):
+        values, ids = rng.integers(0, 1 << 32, n).astype(np.uint32), rng.integers(-5, 1 << 60, n)
+        got = partenum.unpack(partenum.pack(values, ids))
+        assert sorted(zip(*got, strict=True)) == sorted(zip(values, ids, strict=True))
+
+
+@pytest.mark.parametrize("held", [1 << 24, 10])
+def test_repeated_signatures(spark, monkeypatch, held):
+    from textward.llm import partenum
+    monkeypatch.setattr(partenum, "HELD", held)
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(20)] + ([7, -7] if i % 2 else [])) for i in range(50)] + [(99, [])]
+    got = partenum.repeated(spark.createDataFrame(rows, "id long, sigs array<long>")).collect()
+    counts = {}
+    for r in got:
+        counts.setdefault(r.sig, []).append(r.id)
+    assert sum(len(x) == 25 and sorted(x) == list(range(1, 50, 2)) for x in counts.values()) == 2
+    assert held == 10 or len(counts) == 2
+
+
+def test_sketches_rule_out_no_linked_sets():
+    from textward.llm import partenum
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 60, 900):
+        for k in {0, 1, n // 5, n}:
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate((a[k:], rng.integers(0, 1 << 63, rng.integers(0, k + 1)).astype(np.uint64)))
+            apart = len(np.setxor1d(a, b))
+            assert partenum.differing_cells(partenum.sketch(a), partenum.sketch(b)) <= apart

@@ -9,7 +9,9 @@ of parts; similar sets share one.
 What shares a signature is compared exactly, without forming all pairs: each
 member with the group's hub, the member with the most company; and members of
 which one is not linked to the hub by their differences from it, of which two
-linked sets must share one of a few, the first in a fixed order.
+linked sets must share one of a few, the first in a fixed order.  Before full
+sets meet, sketches of a byte per element or so rule out the pairs that differ in
+more cells than linked sets can differ in elements.
 """
 
 from __future__ import annotations
@@ -147,32 +149,183 @@ def signed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, sigs array<long>")
 
 
+def repeated(sigs: DataFrame) -> DataFrame:
+    """(sig, id) of the signatures that stand more than once in the table; a few others may go along.
+
+    Most signatures stand once.  To find those that do not, tasks send each range of the hash space its signatures in
+    packed form, sorted and compressed, a third of the bytes of rows.  There are four ranges per shuffle partition;
+    32 bits of a signature and its range are kept, and one that falls together with another only adds a candidate.
+    """
+    spark = sigs.sparkSession
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    parts = 4 * int(n)
+    dealt = sigs.mapInArrow(_packer(parts), "part int, packed binary").repartition(int(n), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_repeats, "sig long, id long")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed, the bytes of equal weight together."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplanes(data: bytes, n: int, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
+
+
+def pack(values: np.ndarray, ids: np.ndarray) -> bytes:
+    """Values (uint32) and their ids; four lengths, then differences of the values, places of the ids, differences of the ids."""
+    order = np.argsort(values, kind="stable")
+    known, place = np.unique(ids[order], return_inverse=True)
+    fields = (_planes(np.diff(values[order], prepend=np.uint32(0))), _planes(place.astype(np.uint32)), _planes(np.diff(known, prepend=np.int64(0))))
+    return np.array([len(values), len(known), len(fields[0]), len(fields[1])], np.int64).tobytes() + b"".join(fields)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n_ids, a, b = np.frombuffer(data[:32], np.int64).tolist()
+    values = np.cumsum(_unplanes(data[32:32 + a], n, np.uint32), dtype=np.uint32)
+    place = _unplanes(data[32 + a:32 + a + b], n, np.uint32)
+    return values, np.cumsum(_unplanes(data[32 + a + b:], n_ids, np.int64))[place]
+
+
+#: signatures that a task packs at a time, and of one range that it holds at a time
+CHUNK, HELD = 1 << 21, 1 << 24
+
+
+def _packer(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sigs, held = [], [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(own):  # whole rows, unless one alone is more
+                j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK - held, "right")) - 1)
+                ids.append(np.repeat(own[i:j], np.diff(at[i:j + 1])))
+                sigs.append(values[at[i]:at[j]])
+                held += int(at[j] - at[i])
+                i = j
+                if held >= CHUNK // 2:
+                    yield from packed(np.concatenate(ids), np.concatenate(sigs))
+                    ids, sigs, held = [], [], 0
+        if held:
+            yield from packed(np.concatenate(ids), np.concatenate(sigs))
+
+    def packed(ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = ((sigs >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, ids, low = part[order], ids[order], (sigs[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        last = np.append(first[1:], len(part))
+        rows = [pack(low[a:b], ids[a:b]) for a, b in zip(first, last, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(rows, pa.binary())], ["part", "packed"])
+
+    return run
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part.  Of a part that is too large to be held, all goes on; what stands once is then found by the count."""
+    part, held, n, whole = None, [], 0, True
+
+    def found() -> Iterator[pa.RecordBatch]:
+        values, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        if whole:
+            order = np.argsort(values, kind="stable")
+            values, ids = values[order], ids[order]
+            same = values[1:] == values[:-1]
+            kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            values, ids = values[kept], ids[kept]
+        sig = values.astype(np.int64) + (np.int64(part) << np.int64(32))
+        for i in range(0, len(sig), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(sig[i:i + (1 << 17)]), pa.array(ids[i:i + (1 << 17)])], ["sig", "id"])
+
+    for batch in batches:
+        for p, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (p != part or n > HELD):
+                whole = whole and p != part
+                yield from found()
+                held, n = [], 0
+            if p != part:
+                part, whole = p, True
+            held.append(unpack(data.as_py()))
+            n += len(held[-1][0])
+    if held:
+        yield from found()
+
+
+def cells(size: int) -> int:
+    """Cells of the sketch of a set: a power of two, at least 0.6 of its elements."""
+    return 1 << max(0, (6 * size // 10)).bit_length()
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """A byte per cell, the sum of the digests of the elements that fall into it."""
+    m = cells(len(values))
+    h = mixed(values ^ np.uint64(0x2545F4914F6CDD1D))
+    digests = ((h >> np.uint64(48)) & np.uint64(0xFF)).astype(np.float64)
+    return np.bincount((h & np.uint64(m - 1)).astype(np.int64), digests, m).astype(np.int64).astype(np.uint8)
+
+
+def differing_cells(a: np.ndarray, b: np.ndarray) -> int:
+    """At most as many as elements that only one of two sets has; the sketch with more cells is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] + a[len(a) // 2:]
+    return int(np.count_nonzero(a != b))
+
+
 def sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, elements) of each row."""
+    """(id, elements, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, values, sizes in shingle_sets(batch.column(1), words):
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                drawn = [sketch(values[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sizes)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.view(np.int64)))],
-                    names=["id", "elements"])
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))), pa.array(drawn, pa.binary())],
+                    names=["id", "elements", "sketch"])
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, elements array<long>, sketch binary")
+
+
+def possible(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b: str) -> DataFrame:
+    """The (a, b) of `pairs` that sizes and sketches do not rule out; no linked pair is left out."""
+    drawn = all_sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
+    both = (pairs.select(a, b).alias("p").join(drawn.alias("y").hint("merge"), F.col(f"p.{b}") == F.col("y.id"))
+            .where(F.col("y.n") > 0).join(drawn.alias("x").hint("merge"), F.col(f"p.{a}") == F.col("x.id"))
+            .select(F.col(f"p.{a}").alias("a"), F.col(f"p.{b}").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"),
+                    F.col("x.sketch").alias("s_a"), F.col("y.sketch").alias("s_b")))
+    sized = both.where(F.abs(F.col("n_a") - F.col("n_b")) * (measure.den + measure.num) <= (F.col("n_a") + F.col("n_b")) * (measure.den - measure.num))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([differing_cells(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
+                              for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], [a, b]).filter(pa.array(apart <= measure.differing(n)))
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, elements array<long>")
+    return sized.mapInArrow(run, f"{a} long, {b} long")
 
 
-def hubs(sigs: DataFrame) -> DataFrame:
-    """(hub, id): of each signature that several ids have, every other id with the hub.
+def members(sigs: DataFrame) -> DataFrame:
+    """(sig, hub, id): of each signature that several ids have, every other id with the hub.
 
     The hub is the id that shares most signatures with others, counted over all its signatures.
     """
-    own = sigs.where("id IS NOT NULL").select("id", F.explode("sigs").alias("sig"))
+    own = repeated(sigs.where("id IS NOT NULL").select("id", "sigs"))
     shared = own.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     shared = staged(shared, "partenum-shared")
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = shared.select("id", "sig").join(company, "id")
     hub = ranked.groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h"))
-    return (shared.select("id", "sig").join(hub, "sig").select((-F.col("h.minus")).alias("hub"), "id").where("hub <> id").distinct())
+    return shared.select("id", "sig").join(hub, "sig").select("sig", (-F.col("h.minus")).alias("hub"), "id").where("hub <> id")
 
 
 def linked(measure: Measure, h: str, n: str):
@@ -195,27 +348,55 @@ def compared(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
 
 def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(a, b): links enough to connect whatever links connect, each one verified on the full sets."""
-    stars = staged(hubs(sigs), "partenum-stars")
+    groups = staged(members(sigs), "partenum-members")
     release(docs.sparkSession)
+    stars = staged(groups.select("hub", "id").distinct(), "partenum-stars")
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
     wanted = docs.select(F.col(key).cast("long").alias(key), text).join(involved.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     all_sets = staged(sets(wanted, key, text, measure.words), "partenum-sets")
+    maybe = staged(possible(stars, all_sets, measure, "hub", "id"), "partenum-maybe")
     release(docs.sparkSession)
-    seen = (compared(stars, all_sets, measure, "hub", "id").withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
-            .withColumn("n", F.col("n_a") + F.col("n_b")).withColumn("near", linked(measure, "h", "n")))
+    near = compared(maybe, all_sets, measure, "hub", "id").where(linked_sets(measure))
+    near = staged(near.select("hub", "id"), "partenum-near")
+    star_links = near.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    labels = components(star_links)
+    open_pairs = staged(unsettled(groups, near, labels), "partenum-open")
+    release(docs.sparkSession)
+    # only candidates come of this: half of each hash will do, since sets of halves differ in no more elements than those of hashes
+    halves = all_sets.select("id", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
+    seen = compared(open_pairs, halves, measure, "hub", "id").withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
     # no set linked to this one differs from it in more than `most` elements
     most = F.floor(F.col("n_b") * (measure.den - measure.num) / F.lit(measure.num))
     # of the differences from the hub, the first in this order are all that is needed: not in the hub, by value; then in the hub
     order = F.concat(F.array_sort("only_b"), F.array_sort("only_a"))
-    share = (measure.den - measure.num) / (measure.den + measure.num)
-    need = (F.when(F.col("near"), F.col("h") - F.floor((F.col("h") + (F.col("n_a") - F.col("n_b")) * share - 1e-9) / 2))
-            .otherwise(F.least(F.col("h"), most + 1)))
+    need = F.least(F.col("h"), most + 1)
     seen = staged(seen.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("first"),
                               F.floor(most / 2).alias("half")), "partenum-compared")
-    star_links = seen.where("near").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    more = staged(cross_candidates(seen, components(star_links), measure), "partenum-more")
-    checked = compared(more, all_sets, measure, "a", "b").withColumn("h", F.size("only_a") + F.size("only_b")).withColumn("n", F.col("n_a") + F.col("n_b"))
-    return star_links.unionByName(checked.where(linked(measure, "h", "n")).select("a", "b")).distinct()
+    more = staged(cross_candidates(seen, labels, measure), "partenum-more")
+    release(docs.sparkSession)
+    more = staged(possible(more, all_sets, measure, "a", "b"), "partenum-possible")
+    checked = compared(more, all_sets, measure, "a", "b").where(linked_sets(measure))
+    return star_links.unionByName(checked.select("a", "b")).distinct()
+
+
+def unsettled(groups: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, id, near) of the groups in which members other than the hub may still have to be linked with each other.
+
+    That needs two of them that are not connected yet, one of which is not linked to the hub: two that both are, are
+    connected by it.
+    """
+    known = (groups.join(near.withColumn("near", F.lit(True)), ["hub", "id"], "left").join(labels, "id", "left")
+             .select("sig", "hub", "id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("component", "id").alias("component")))
+    known = staged(known, "partenum-known")
+    states = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
+    return (known.select("sig", "hub", "id", "near").join(states.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
+            .select("hub", "id", "near").distinct())
+
+
+def linked_sets(measure: Measure):
+    """`linked` on the columns that `compared` adds."""
+    h = F.size("only_a") + F.size("only_b")
+    return h * (measure.den + measure.num) <= (F.col("n_a") + F.col("n_b")) * (measure.den - measure.num)
 
 
 def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
@@ -224,7 +405,7 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
     Let e(x) be the elements in which x and the hub differ; x and y differ in
     |e(x)| + |e(y)| - 2 |e(x) & e(y)|.  With y not linked to the hub, a link needs
     so large an intersection that, in any fixed order, the first most / 2 + 1 of e(x), the smaller
-    (or the first `need`, if x is linked to the hub), and the first most + 1 of e(y) have one in common.
+    (or the first most + 1, if x is linked to the hub), and the first most + 1 of e(y) have one in common.
     """
     mixed_hubs = seen.where("NOT near").select("hub").distinct()
     rows = (seen.join(mixed_hubs, "hub", "left_semi").join(labels, "id", "left")

@@ -254,8 +254,6 @@ def gzip_records(f, path: str, reader: WarcReader) -> Iterator[dict]:
         row = reader.row(headers, path, at)
         wanted = reader.passes(row)
         payload = wanted and reader.wants_payload(row)
-        if payload and row["record_type"] == "revisit" and "payload" not in reader.schema.names:
-            payload = True  # its block is an HTTP head only
         parts, inflated = [data], len(data)
         if payload or length is None:
             while not inflate.eof:
@@ -406,7 +404,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
     NULL bodies are empty payloads, NULL URIs leave the header out.  Record ids
     are urn:key:<key>, so a revisit needs no lookup to name its response; rows
     that repeat a key of a kept payload are responses too.  Payloads are grouped
-    by SHA-1 and length; the sums are formed before the shuffle, and the join that brings
+    by SHA-256, since different payloads of one SHA-1, the format's digest, can be made; the sums are formed before the shuffle, and the join that brings
     the largest key to each row is one whose hot keys Spark splits.
     """
     missing_columns(pages, key, uri, body)
@@ -414,10 +412,11 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
     spark.dataSource.register(WarcSource)
     rows = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("target_uri"),
                         F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    repeated = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max("key").alias("keep"))
+    rows = rows.withColumns({"sha1": F.unhex(F.sha1("payload")), "sha256": F.unhex(F.sha2("payload", 256)),
+                             "payload_bytes": F.octet_length("payload").cast("long")})
+    repeated = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha256").agg(F.count("*").alias("n"), F.max("key").alias("keep"))
                 .where("n > 1").drop("n"))
-    named = rows.join(repeated, "sha1", "left")
+    named = rows.join(repeated, "sha256", "left")
     revisit = F.col("keep").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("keep"))
     name = lambda c: F.concat(F.lit("<urn:key:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     (named.select(name(F.col("key")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",

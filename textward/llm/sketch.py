@@ -13,6 +13,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@dataclass(frozen=True)
+class Sketches:
+    """Counts, digest sums and check sums of sketches of `cells` cells, end to end."""
+
+    count: np.ndarray
+    keys: np.ndarray
+    marks: np.ndarray
+    cells: int
+
+
 def checks(d: np.ndarray) -> np.ndarray:
     return mixed(d + _M[3]) & np.uint64(0xFFFFFFFF)
 
@@ -70,16 +81,24 @@ def places(d: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([(mixed(d ^ _M[k]) % np.uint64(third)).astype(np.int64) + k * third for k in range(HASHES)])
 
 
-def sketches(d: np.ndarray, owner: np.ndarray, sign: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, digest sums and check sums of n sketches, end to end."""
+def sketches(versions: list[np.ndarray], cells: int = CELLS) -> Sketches:
+    """The sketch of each version's digests."""
+    n = len(versions)
+    d = np.concatenate(versions) if n else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), [len(x) for x in versions])
     at = (places(d, cells) + owner * cells).ravel()
-    s = np.tile(sign, HASHES)
-    count = np.bincount(at, weights=s, minlength=n * cells).astype(np.int64)
+    count = np.bincount(at, minlength=n * cells).astype(np.int64)
     keys, marks = np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
-    wrapped = s.astype(np.int64).astype(np.uint64)  # -1 is 2**64 - 1: subtraction in modular sums
-    np.add.at(keys, at, np.tile(d, HASHES) * wrapped)
-    np.add.at(marks, at, np.tile(checks(d), HASHES) * wrapped)
-    return count, keys, marks
+    np.add.at(keys, at, np.tile(d, HASHES))
+    np.add.at(marks, at, np.tile(checks(d), HASHES))
+    return Sketches(count, keys, marks, cells)
+
+
+def subtract(a: Sketches, b: Sketches) -> Sketches:
+    """Cell by cell: what is in both versions cancels out, and the sketch of their difference is left."""
+    if a.cells != b.cells or len(a.count) != len(b.count):
+        raise ValueError("sketches of different sizes")
+    return Sketches(a.count - b.count, a.keys - b.keys, a.marks - b.marks, a.cells)
 
 
 def peel(count: np.ndarray, keys: np.ndarray, marks: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,15 +131,19 @@ def peel(count: np.ndarray, keys: np.ndarray, marks: np.ndarray, n: int, cells:
     return (*parts, empty)
 
 
-def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each pair of versions: digests only in a, digests only in b, cells of the sketch that gave them."""
+def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS, first: tuple[Sketches, Sketches] | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each pair of versions: digests only in a, digests only in b, cells of the sketches that gave them.
+
+    The sketches of both are subtracted and what is left is peeled.  Where that fails, both are sketched again in twice
+    the cells.  `first` are the sketches of that many cells, where they are there already.
+    """
     out: list = [None] * len(a)
     todo = np.arange(len(a))
     while len(todo):
-        d = np.concatenate([x for i in todo for x in (a[i], b[i])])
-        owner = np.repeat(np.repeat(np.arange(len(todo)), 2), [len(x) for i in todo for x in (a[i], b[i])])
-        sign = np.repeat(np.tile([1, -1], len(todo)), [len(x) for i in todo for x in (a[i], b[i])])
-        got, own, side, empty = peel(*sketches(d, owner, sign, len(todo), cells), len(todo), cells)
+        pair = first or (sketches([a[i] for i in todo], cells), sketches([b[i] for i in todo], cells))
+        first = None
+        left = subtract(*pair)
+        got, own, side, empty = peel(left.count, left.keys, left.marks, len(todo), cells)
         order = np.argsort(own, kind="stable")
         got, own, side = got[order], own[order], side[order]
         bounds = np.searchsorted(own, np.arange(len(todo) + 1))
@@ -132,21 +155,33 @@ def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) ->
     return out
 
 
+def recovered(a: str, b: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Digests only in the first and only in the second of two encoded fingerprints; None if they differ in more than the cells give."""
+    left = subtract(decoded(a), decoded(b))
+    got, _, side, empty = peel(left.count, left.keys, left.marks, 1, left.cells)
+    return (got[side > 0], got[side < 0]) if empty[0] else None
+
+
 def likeness(n_a: int, n_b: int, differing: int) -> float:
     """Common paragraphs over all paragraphs; two texts without any are alike."""
     both = n_a + n_b
     return (both - differing) / (both + differing) if both else 1.0
 
 
-def encoded(d: list[np.ndarray], cells: int = CELLS) -> list[str]:
+_CELL = np.dtype([("c", "<u4"), ("k", "<u8"), ("m", "<u8")])
+
+
+def encoded(made: Sketches) -> list[str]:
     """The sketches as text: count (4 bytes), digest sum (8), check sum (8) of each cell, in base 64."""
-    flat = np.concatenate(d) if d else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(d)), [len(x) for x in d])
-    count, keys, marks = sketches(flat, owner, np.ones(len(flat), np.int64), len(d), cells)
-    packed = np.zeros(len(d) * cells, [("c", "<u4"), ("k", "<u8"), ("m", "<u8")])
-    packed["c"], packed["k"], packed["m"] = count, keys, marks
-    raw, size = packed.tobytes(), cells * packed.itemsize
-    return [base64.b64encode(raw[i * size:(i + 1) * size]).decode() for i in range(len(d))]
+    packed = np.zeros(len(made.count), _CELL)
+    packed["c"], packed["k"], packed["m"] = made.count, made.keys, made.marks
+    raw, size = packed.tobytes(), made.cells * packed.itemsize
+    return [base64.b64encode(raw[i:i + size]).decode() for i in range(0, len(raw), size)]
+
+
+def decoded(text: str) -> Sketches:
+    packed = np.frombuffer(base64.b64decode(text), _CELL)
+    return Sketches(packed["c"].astype(np.int64), packed["k"].copy(), packed["m"].copy(), len(packed))
 
 
 def edited(text: str, following: str) -> str:
@@ -166,10 +201,11 @@ def compare(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     """Fingerprints and likeness for (id, text, following text)."""
     texts = [(t, edited(t, n), n) for _, t, n in pairs]
     own, changed, following = ([digests(t[k]) for t in texts] for k in range(3))
-    to_edited, to_next = differences(own, changed), differences(own, following)
+    made = [sketches(d) for d in (own, changed, following)]
+    to_edited, to_next = (differences(own, d, first=(made[0], m)) for d, m in ((changed, made[1]), (following, made[2])))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((
         [p[0] for p in pairs], [len(t[0]) for t in texts],
-        [hashlib.sha256(t[1].encode("utf-8", "surrogatepass")).hexdigest() for t in texts], encoded(own), encoded(changed),
+        [hashlib.sha256(t[1].encode("utf-8", "surrogatepass")).hexdigest() for t in texts], encoded(made[0]), encoded(made[1]),
         [likeness(len(a), len(b), len(x[0]) + len(x[1])) for a, b, x in zip(own, changed, to_edited, strict=True)],
         [likeness(len(a), len(b), len(x[0]) + len(x[1])) for a, b, x in zip(own, following, to_next, strict=True)],
         [len(x[0]) + len(x[1]) for x in to_edited], [x[2] for x in to_edited]), OUT, strict=True)], schema=OUT)

@@ -31,22 +31,27 @@ def sha256(text: Column) -> Column:
 @dataclass(frozen=True)
 class Decisions:
     """`rows`: id, digest, file, at (the locator), keep_id, group_size, kept, one row per input row.
-    `source`: the input with its locator in `file`, `at`."""
+    `source`: the input, a row as one value in `row`, with its locator in `__file`, `__at`."""
 
     rows: DataFrame
     source: DataFrame
 
 
 def locate(docs: DataFrame) -> DataFrame:
-    """`docs` with columns `__file`, `__at`: the content locator, file and row position in it.
+    """(row, __file, __at): the rows of `docs`, each as one value, with their content locator, file and row position in it.
 
     A table that is not a plain file scan has no such positions and is written
-    to the shared folder first.
+    to the shared folder first, once, under names that hide nothing.
     """
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    except AnalysisException:
-        return locate(staged(docs, "exact-source"))
+    place = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    if "_metadata" not in map(str.lower, docs.columns):
+        try:
+            return docs.select(F.struct(*plain).alias("row"), *place)
+        except AnalysisException:
+            pass
+    copy = staged(docs.select(*[c.alias(f"c{i}") for i, c in enumerate(plain)]), "exact-source")
+    return copy.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row"), *place)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, batch_bytes: int = 256 << 20) -> Decisions:
@@ -60,9 +65,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha25
     missing_columns(docs, key, text)
     spark = docs.sparkSession
     source = locate(docs)
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     path = new_path(spark, "exact-feed")
-    source.select(F.col(key).alias("id"), digest(body).alias("digest"), F.col("__file").alias("file"),
+    source.select(F.col(f"row.`{key}`").alias("id"), digest(body).alias("digest"), F.col("__file").alias("file"),
                   F.col("__at").alias("at")).write.parquet(path)
     feed = spark.read.parquet(path)
     state = run_stream(spark, path, feed.schema, batch_bytes)
@@ -136,4 +141,4 @@ def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """The rows that stay, with all columns of `docs`."""
     found = dedup(docs, key, text)
     kept = found.rows.where("kept").select(F.col("file").alias("__file"), F.col("at").alias("__at"))
-    return found.source.join(kept, ["__file", "__at"], "left_semi").drop("__file", "__at")
+    return found.source.join(kept, ["__file", "__at"], "left_semi").select("row.*")

@@ -51,26 +51,32 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def dedup_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
+def dedup_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.5, min_pages: int = 1) -> DataFrame:
     """Adds host, n_lines, n_dropped, kept_lines (in order, repeats kept) to `pages`; columns of these names are replaced.
 
-    A line is boilerplate if it stands on at least `min_pages` pages of the host
-    and on more than `ratio` of them, so hosts with fewer than `min_pages` pages
-    lose nothing.  Rows are pages: repeated rows count as often as they occur.
+    A line is boilerplate if it stands on more than `ratio` of the host's pages, and on at least `min_pages` of them.
+    By default the ratio alone decides, so the only page of a host loses all its lines; a larger `min_pages` spares
+    hosts with fewer pages.  Rows are pages: repeated rows count as often as they occur.
     Pages without a host form one group, ''.  A line split from NULL does not exist.
     """
-    own = {"host": "__tw_host", "lines": "__tw_lines"}
-    missing_columns(pages)
+    own = {"host": _free("__tw_host", pages.columns), "lines": _free("__tw_lines", pages.columns)}
+    drop_host, drop_lines = _free("__tw_drop_host", pages.columns), _free("__tw_drop", pages.columns)
     parsed = pages.drop("host", "n_lines", "n_dropped", "kept_lines").withColumns({own["host"]: host, own["lines"]: lines})
     drop = boilerplate(parsed, own["host"], own["lines"], ratio, min_pages).withColumnsRenamed(
-        {"host": "__tw_drop_host", "boilerplate": "__tw_drop"})
-    kept = F.when(F.col("__tw_drop").isNull(), F.col(own["lines"])).otherwise(
-        F.filter(own["lines"], lambda x: ~F.array_contains(F.col("__tw_drop"), digest(x))))
-    return (parsed.join(drop, F.col(own["host"]) == F.col("__tw_drop_host"), "left")
+        {"host": drop_host, "boilerplate": drop_lines})
+    kept = F.when(F.col(drop_lines).isNull(), F.col(own["lines"])).otherwise(
+        F.filter(own["lines"], lambda x: ~F.array_contains(F.col(drop_lines), digest(x))))
+    return (parsed.join(drop, F.col(own["host"]) == F.col(drop_host), "left")
             .withColumn("kept_lines", kept)
             .withColumns({"host": F.col(own["host"]), "n_lines": F.size(own["lines"]).cast("long"),
                           "n_dropped": (F.size(own["lines"]) - F.size("kept_lines")).cast("long")})
-            .drop(*own.values(), "__tw_drop", "__tw_drop_host"))
+            .drop(*own.values(), drop_lines, drop_host))
+
+
+def _free(wanted: str, taken: list[str]) -> str:
+    while wanted.lower() in map(str.lower, taken):
+        wanted += "_"
+    return wanted
 
 
 #: the registered query in DuckDB's words
@@ -86,7 +92,7 @@ seen AS (
 drops AS (
   SELECT host, list(line) AS boilerplate
   FROM seen JOIN (SELECT host, count(*) AS pages FROM parsed GROUP BY host) USING (host)
-  WHERE n >= 3 AND n > pages * 0.5::double GROUP BY host),
+  WHERE n > pages * 0.5::double GROUP BY host),
 cleaned AS (
   SELECT page_id, host, lines, CASE WHEN boilerplate IS NULL THEN lines
     ELSE list_filter(lines, lambda x: NOT list_contains(boilerplate, x)) END AS kept

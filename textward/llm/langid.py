@@ -16,9 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import salted_join
 from .common import missing_columns
 
 #: letters only; longer runs (scripts without blanks) are taken in pieces
@@ -29,13 +30,10 @@ _CHUNK = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """`max_docs`: documents per language to learn from, in expectation (drawn by a hash of the id).
-    `max_words`, `max_grams`: features kept per language and order, so the model's size depends on the number of
-    languages only.  `penalty`: cost of a feature that a language lacks."""
+    """`max_docs`: documents per language to learn from, in expectation (drawn by a hash of the id), which bounds the model:
+    it holds every word and n-gram of theirs.  `longest`: characters of the longest n-gram.  `penalty`: cost of a feature that a language lacks."""
 
-    max_docs: int = 4000
-    max_words: int = 20_000
-    max_grams: int = 5_000
+    max_docs: int = 1000
     longest: int = 6
     penalty: float = 7.0
 
@@ -104,22 +102,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: str
     missing_columns(docs, text, lang, sample_key)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(sample_key)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return Model([], [{} for _ in range(settings.longest + 1)], [np.zeros((0, 0), np.float32)] * (settings.longest + 1))
-    chosen = F.lit(False)
-    for name, n in sizes.items():
-        per_million = min(1_000_000, -(-1_000_000 * settings.max_docs // n))
-        chosen = chosen | ((F.col("lang") == name) & (F.pmod(F.col("h"), F.lit(1_000_000)) < per_million))
-    counts = (rows.where(chosen).select("lang", "text")
+    shares = rows.groupBy("lang").agg((F.ceil(F.lit(1_000_000 * settings.max_docs) / F.count("*"))).alias("per_million"))
+    drawn = salted_join(rows, shares, ["lang"], "inner").where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.col("per_million"))
+    counts = (drawn.select("lang", "text")
               .mapInArrow(_counts(settings.longest), "lang string, n int, gram string, c long")
               .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    per = Window.partitionBy("lang", "n")
-    kept = (counts.withColumn("total", F.sum("c").over(per))
-            .withColumn("rank", F.row_number().over(per.orderBy(F.desc("c"), "gram")))
-            .where(F.col("rank") <= F.when(F.col("n") == 0, settings.max_words).otherwise(settings.max_grams))
-            .select("lang", "n", "gram", "c", "total")).toPandas()  # bounded by the settings, for each language
+    kept = counts.toPandas()  # bounded by the documents drawn
+    kept["total"] = kept.groupby(["lang", "n"])["c"].transform("sum")
+    langs = sorted(set(kept.lang) | {r["lang"] for r in shares.select("lang").collect()})
+    if not langs:
+        return Model([], [{} for _ in range(settings.longest + 1)], [np.zeros((0, 0), np.float32)] * (settings.longest + 1))
     features: list[dict[str, int]] = []
     penalties: list[np.ndarray] = []
     column = {name: i for i, name in enumerate(langs)}

@@ -4,15 +4,14 @@ Every string of `length` bytes has one anchor, its leftmost smallest q-gram by
 hash, so equal strings have equal anchors at equal places.  Only suffixes at
 anchors are sorted, about one in forty, instead of one at each byte:
 
-1. suffixes go, by their leading token (the anchor's q-gram hash), to the
-   ranges between sampled splitters and are sorted there; tokens that occur
-   once cannot be part of a repeat and go, and of suffixes that agree in all
-   strings they anchor, all but the first are repeats;
-2. first ones that share their token with others come back with the bytes of the
-   strings, are dealt and sorted the same way, and within each bucket the strings are
-   ordered by the hashes of their strings; of equal neighbours all but the earliest are
-   repeats.  Neighbours meet across the borders of chunks as well: a chunk that
-   ends within a token hands the strings it has seen to the next.
+1. suffixes are dealt by their leading eight bytes to the ranges between sampled splitters and sorted there by
+   their token (the hash of the anchor's q-gram); tokens that occur once cannot be part of a repeat and go, and of
+   suffixes that agree in the hash of all strings they anchor, all but the first are repeats;
+2. first ones that share their token with others come back with the bytes of the strings, are dealt the same way, and within each bucket the
+   strings are sorted by their bytes: multikey quicksort with keys of eight bytes, where only strings that are equal
+   so far are looked at any deeper.  Of equal neighbours all but the earliest are
+   repeats.  Neighbours are compared across the borders of chunks as well: a chunk that
+   ends within a token hands its strings to the next.
 """
 
 from __future__ import annotations
@@ -106,6 +105,18 @@ def _doc(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def leading(words: np.ndarray) -> np.ndarray:
+    """Eight bytes, read as a little-endian number, as a signed number that sorts as the bytes do."""
+    return (words.byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _emit_leading(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data, bounds, _ in text_parts(_doc(batch, "text")):
+            at = anchors(data, bounds, length)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(leading(words_at(data)[at]))], names=["leading"])
+
+
 def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = _doc(batch, "doc").to_numpy()
@@ -113,11 +124,12 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int, splitters: np.
             token, at, first, last = anchors(data, bounds, length)
             text = np.searchsorted(bounds, at, "right") - 1
             signed = token.view(np.int64)
+            part = np.searchsorted(splitters, leading(words_at(data)[at]), "right")
             run = run_hashes(data, first, last, at, length).view(np.int64)
             packed = (at - bounds[text]) << 14 | (at - first) << 7 | (at - last)
             for i in range(0, max(1, len(at)), 500_000):
                 s = slice(i, i + 500_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splitters, signed[s], "right"), pa.int32()), pa.array(signed[s]), pa.array(run[s]),
+                yield pa.RecordBatch.from_arrays([pa.array(part[s], pa.int32()), pa.array(signed[s]), pa.array(run[s]),
                                                   pa.array(docs[row + text[s]]), pa.array(packed[s])], names=["part", "token", "run", "doc", "packed"])
 
 
@@ -191,7 +203,7 @@ def _emit_strings(batches: Iterator[pa.RecordBatch], length: int, splitters: np.
             if not len(at):
                 continue
             grams = body[at[:, None] + np.arange(Q)]
-            words = grams.copy().view("<u8")
+            words = np.ascontiguousarray(grams).view("<u8")
             token = np.zeros(len(at), np.uint64)
             for k in range(Q // 8):
                 token = (token ^ words[:, k]) * _FACTORS[k]
@@ -200,7 +212,7 @@ def _emit_strings(batches: Iterator[pa.RecordBatch], length: int, splitters: np.
             n = last - first + length
             offsets = np.concatenate(([0], np.cumsum(n)))
             index = np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])
-            rows.append((np.searchsorted(splitters, token, "right"), token, np.full(len(at), doc), packed, n, body[index]))
+            rows.append((np.searchsorted(splitters, leading(words[:, 0].copy()), "right"), token, np.full(len(at), doc), packed, n, body[index]))
             size += len(index)
             if size > 16 << 20:
                 yield _strings_batch(rows, names)
@@ -216,63 +228,61 @@ def _strings_batch(rows: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(token), pa.array(doc), pa.array(packed), strings], names=names)
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Stable order by several keys: by the first, then equal runs, and only these, by the next."""
-    order = np.argsort(keys[0], kind="stable")
-    same = np.concatenate(([False], keys[0][order][1:] == keys[0][order][:-1]))
-    for key in keys[1:]:
+def multikey_order(n: int, depth: int, key) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of n strings by `depth` keys, and for each string of the order whether it equals the one before.
+
+    `key(k, rows)` gives the k-th key of some rows: the strings are sorted by the first, then runs of equal ones, and only
+    these, by the next.
+    """
+    first = key(0, np.arange(n))
+    order = np.argsort(first, kind="stable")
+    same = np.zeros(n, bool)
+    same[1:] = first[order[1:]] == first[order[:-1]]
+    for k in range(1, depth):
         tied = same.copy()
         tied[:-1] |= same[1:]
         where = np.flatnonzero(tied)
         if not len(where):
             break
         run = np.cumsum(~same[where])
-        inner = np.lexsort((key[order[where]], run))
+        values = key(k, order[where])
+        inner = np.lexsort((values, run))
         order[where] = order[where][inner]
-        run, k = run[inner], key[order[where]]
-        again = np.zeros(len(same), bool)
-        again[where[1:]] = (run[1:] == run[:-1]) & (k[1:] == k[:-1])
-        same = again
-    return order
+        values = values[inner]  # runs stay where they are
+        same = np.zeros(n, bool)
+        same[where[1:]] = (run[1:] == run[:-1]) & (values[1:] == values[:-1])
+    return order, same
 
 
 class _Chunks:
-    """Rows in order of (token, doc, place), compared chunk by chunk; `seen` holds the strings of a token that a chunk border cuts."""
+    """Rows in order of (token, doc, place), compared chunk by chunk; `seen` holds the strings, end to end, of a token that a chunk border cuts."""
 
     def __init__(self, length: int):
         self.length = length
+        self.steps = [*range(0, length - 7, 8)]
+        if self.steps[-1] != length - 8:
+            self.steps.append(length - 8)
         self.token: int | None = None
-        self.seen = np.zeros((0, 2), np.uint64)
+        self.seen = np.zeros(0, np.uint8)
 
     def intervals(self, token: np.ndarray, doc: np.ndarray, packed: np.ndarray, offsets: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
         n = np.diff(offsets) - self.length + 1  # strings of each row
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        words = words_at(body)
-        at = offsets[row] + within
-        a, b = (hashes(words, self.length, f)[at] for f in (_FACTORS, _FACTORS[20:]))
-        order = multikey_order([a, b])  # stable, so equal strings stay in order of document and place
-        repeat = np.zeros(len(row), bool)
-        repeat[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-        if len(self.seen) and len(token) and token[0] == self.token:
-            old = self.seen
-            spot = np.searchsorted(old[:, 0], a)
-            # of equal first hashes the second tells
-            hit = np.zeros(len(a), bool)
-            while True:
-                ok = spot < len(old)
-                same = ok & (old[np.minimum(spot, len(old) - 1), 0] == a)
-                hit |= same & (old[np.minimum(spot, len(old) - 1), 1] == b)
-                if not (same & ~hit).any():
-                    break
-                spot = spot + (same & ~hit)
-            repeat |= hit
+        old = self.seen if len(token) and token[0] == self.token else self.seen[:0]
+        m = len(old) // self.length
+        data = np.concatenate((old, body))
+        words = words_at(data).byteswap()  # in the order of bytes
+        at = np.concatenate((np.arange(m) * self.length, len(old) + offsets[row] + within))
+        # stable: equal strings stay in order, those of the chunks before first, then by document and place
+        order, same = multikey_order(len(at), len(self.steps), lambda k, rows: words[at[rows] + self.steps[k]])
+        repeated = np.zeros(len(at), bool)
+        repeated[order] = same
         if len(token):
-            tail = token[row] == token[-1] if token[0] != token[-1] else np.ones(len(row), bool)
-            fresh = np.stack([a[tail], b[tail]], axis=1)
-            fresh = np.concatenate((self.seen, fresh)) if token[0] == token[-1] == self.token else fresh
-            self.seen = np.unique(fresh, axis=0)
+            ends = np.concatenate((np.full(m, token[-1] == self.token), token[row] == token[-1])) & ~repeated
+            self.seen = data[at[ends][:, None] + np.arange(self.length)].ravel()
             self.token = token[-1]
+        repeat = repeated[m:]
         start = (packed >> 14) - (packed >> 7 & 127)
         edge = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
         first = repeat & (edge | ~np.concatenate(([False], repeat[:-1])))
@@ -346,11 +356,11 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_kept: bool) -> Ite
 
 
 def sampled_splitters(rows: DataFrame, length: int, partitions: int, one_in: int) -> np.ndarray:
-    """Leading tokens that cut a sample of the documents' suffixes into equal ranges; the driver sees one number per range."""
+    """Leading bytes that cut a sample of the documents' suffixes into equal ranges; the driver sees one number per range."""
     sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0)
-    tokens = sample.mapInArrow(partial(_emit_anchors, length=length, splitters=np.zeros(0, np.int64)), ANCHORS)
-    cuts = tokens.agg(F.percentile_approx("token", [i / partitions for i in range(1, partitions)] or [0.5], 10_000).alias("c")).first()["c"]
-    if not cuts:  # nothing sampled: tokens are hashes, so even ranges serve as well
+    found = sample.mapInArrow(partial(_emit_leading, length=length), "leading long")
+    cuts = found.agg(F.percentile_approx("leading", [i / partitions for i in range(1, partitions)] or [0.5], 10_000).alias("c")).first()["c"]
+    if not cuts:  # nothing sampled: even ranges
         cuts = [-(1 << 63) + i * ((1 << 64) // partitions) for i in range(1, partitions)]
     return np.unique(np.array(cuts, np.int64))
 
@@ -363,7 +373,7 @@ def dedup_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     a smaller key, or earlier in the same.  A NULL key is the smallest.  Rows with
     one key are one document: equal texts do not repeat each other, different
     ones are ordered by place.  NULL text is empty.  Strings are
-    told apart by two 64-bit hashes.
+    compared by their bytes, but for suffixes whose strings all agree by a hash of 64 bits (and a token of 64 bits).
     """
     missing_columns(docs, key, text)
     if not 32 <= length <= 150:

@@ -277,3 +277,93 @@ def test_sketches_rule_out_no_linked_sets():
             b = np.concatenate((a[k:], rng.integers(0, 1 << 63, rng.integers(0, k + 1)).astype(np.uint64)))
             apart = len(np.setxor1d(a, b))
             assert partenum.differing_cells(partenum.sketch(a), partenum.sketch(b)) <= apart
+
+
+# ------------------------------------------------------------------ op 2, fingerprints alone
+
+def test_fingerprints_subtract_without_their_texts():
+    from textward.llm import sketch
+    a, b = "one\ntwo\nthree\nfour", "one\ntwo\nother\nfour\nfive"
+    prints = sketch.encoded(sketch.sketches([sketch.digests(a), sketch.digests(b)]))
+    only_a, only_b = sketch.recovered(*prints)
+    assert set(only_a) == set(sketch.digests("three")) and set(only_b) == set(sketch.digests("other\nfive"))
+    many = sketch.encoded(sketch.sketches([sketch.digests("\n".join(f"line {i}" for i in range(200)))]))[0]
+    assert sketch.recovered(prints[0], many) is None
+    assert [len(x) for x in sketch.recovered(prints[0], prints[0])] == [0, 0]
+
+
+# ------------------------------------------------------------------ op 7, brute force
+
+def brute_force_language(learned, text, longest=6, penalty=7.0):
+    """The method written out: per word the penalties of the word, or the mean of those of its longest known n-grams."""
+    counts, totals = learned
+    langs = sorted(counts)
+    letters = re.findall(r"[^\W\d_]{1,40}", text.lower()) if text else []
+    if not any(c.isalpha() for w in letters for c in w) or not langs:
+        return "und", 0.0
+    cost = lambda lang, n, g: min(penalty, -np.log10(counts[lang][n][g] / totals[lang][n])) if counts[lang][n][g] else penalty
+    total = np.zeros(len(langs))
+    for w in letters:
+        if any(counts[lang][0][w] for lang in langs):
+            total += [cost(lang, 0, w) for lang in langs]
+            continue
+        for n in range(min(longest, len(w) + 2), 0, -1):
+            padded = f" {w} " if n > 1 else w
+            known = [g for g in (padded[i:i + n] for i in range(len(padded) - n + 1)) if any(counts[lang][n][g] for lang in langs)]
+            if known:
+                total += np.mean([[cost(lang, n, g) for lang in langs] for g in known], axis=0)
+                break
+    total /= len(letters)
+    best = int(np.argmin(np.round(total, 5)))
+    return langs[best], float(1 / (10.0 ** (total[best] - total)).sum())
+
+
+def test_language_equals_brute_force(spark):
+    from collections import Counter
+
+    from textward.llm import langid
+    from textward.llm.common import held_out
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("h", held_out("doc_id"))
+    rows = docs.select("doc_id", "text", "lang", "h").collect()
+    counts = {r.lang: [Counter() for _ in range(7)] for r in rows if not r.h and r.lang is not None and r.text is not None}
+    for r in rows:
+        if not r.h and r.lang is not None and r.text is not None:
+            for w in langid.words_of(r.text):
+                counts[r.lang][0][w] += 1
+                for n in range(1, 7):
+                    padded = f" {w} " if n > 1 else w
+                    for i in range(len(padded) - n + 1):
+                        counts[r.lang][n][padded[i:i + n]] += 1
+    totals = {lang: [sum(c.values()) for c in per] for lang, per in counts.items()}
+    extra = [(10 ** 6 + i, t, None, True) for i, t in enumerate([None, "", "12 3", "qqxzj", "Straßenbahnhaltestelle überqueren", "²³", "a" * 500])]
+    some = [r for r in rows if r.text is None or len(r.text) < 20_000]
+    got = {r.doc_id: r.p for r in spark.createDataFrame([(r.doc_id, r.text) for r in some] + [e[:2] for e in extra], "doc_id long, text string").select(
+        "doc_id", langid.predict(docs.select("doc_id", "text"), langid.fit(docs.where("NOT h"))).alias("p")).collect()}
+    for key, text in [(r.doc_id, r.text) for r in some] + [e[:2] for e in extra]:
+        want = brute_force_language((counts, totals), text)
+        assert got[key].lang_pred == want[0] and abs(got[key].score - want[1]) < 1e-3, key
+
+
+def test_many_languages_need_no_long_condition(spark):
+    from textward.llm import langid
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word', id % 1500) as text", "concat('l', id % 1500) as lang")
+    model = langid.fit(docs)
+    assert len(model.langs) == 1500
+
+
+# ------------------------------------------------------------------ names that clash
+
+def test_clashing_names_stay(spark):
+    import corpus_pipeline
+    from textward.llm import exact, lines, partenum
+    names = ["__file", "__at", "_metadata", "__gone", "row", "p", "__p", "id", "digest", "file"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    whole = {r.doc_id: r for r in docs.collect()}
+    for out in (exact.distinct_texts(docs), partenum.representatives(docs), corpus_pipeline.language(spark, docs, SF)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" and r.text == whole[r.doc_id].text for r in rows for n in names)
+    pages = spark.createDataFrame([(1, "http://a/x", "<p>one</p><p>two</p>", "k", "l"), (2, "http://a/y", "<p>one</p><p>three</p>", "m", "n")],
+                                  "page_id long, url string, html string, __tw_host string, __tw_drop string")
+    got = lines.dedup_lines(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html"))).collect()
+    assert {(r.page_id, tuple(r.kept_lines), r["__tw_host"], r["__tw_drop"]) for r in got} == {(1, ("two",), "k", "l"), (2, ("three",), "m", "n")}

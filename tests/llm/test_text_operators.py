@@ -300,7 +300,10 @@ def test_chunk_borders_within_a_token():
 def test_multikey_order_is_a_stable_sort():
     rng = np.random.default_rng(4)
     keys = [rng.integers(0, 5, 500), rng.integers(0, 3, 500), rng.integers(0, 2, 500)]
-    assert suffixes.multikey_order(keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    order, same = suffixes.multikey_order(len(keys[0]), len(keys), lambda k, rows: keys[k][rows])
+    assert order.tolist() == np.lexsort(keys[::-1]).tolist()
+    rows = list(zip(*(k[order] for k in keys), strict=True))
+    assert same.tolist() == [i > 0 and rows[i] == rows[i - 1] for i in range(len(rows))]
 
 
 # ------------------------------------------------------------------ op 9

@@ -440,5 +440,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", me
     """The rows of `docs` whose key is the smallest of its component: one document of each group of near copies stays."""
     missing_columns(docs, key, text)
     found = components(links(docs, signed(docs, key, text, measure), key, text, measure))
-    gone = found.where("id <> component").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    gone = found.where("id <> component").select("id")
+    # the row goes along as one value, so that no name of a column is in the way
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

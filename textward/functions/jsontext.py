@@ -3,108 +3,129 @@
 Documents keep everything else as it is written: keys, numbers, NULL, the order
 and repetition of fields.  Only blanks between tokens go.  No schema is needed,
 and no parser's nesting limit applies.
+
+A document is cut at its string literals, keys with their colon.  What lies
+between is checked by Spark's parser with placeholders for the literals; the values are decoded
+by ``from_json`` and encoded by ``to_json``, one call per document.  Only documents that
+nest deeper than the limit, or may, go through Python, which cuts the deep values out.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..limits import NESTING_TEXT
+from .expr import each, name, q
+from .text import nesting_depth
 
+_BLANKS = r"[\x20\t\r\n]"
+# possessive loops: the JVM runs them without recursion
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf"(?s){STRING}(?:{_BLANKS}*+:)?"
+#: stands for a value that was cut out; no document has it outside strings
+_CUT = "!"
+_DECODE = "map('allowUnquotedControlChars', 'true', 'maxStringLen', '2000000000')"
 
-def _walker(max_depth: int):
-    """A function (text, replacement) -> tokens, strings; shipped by value, so executors do not need this package."""
-    import json
-    import re
 
-    token = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|-?[0-9][0-9.eE+-]*|true|false|null)', re.S)
-    limit = json.dumps(NESTING_TEXT)
+def _cutter(max_depth: int):
+    """A function from a document to one without the values nested too deep; shipped by value, so executors do not need this package."""
+    import re
 
-    def decoded(literal: str) -> str:
-        # lone surrogates cannot be written as UTF-8
-        return json.loads(literal, strict=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    token = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+)', re.S)
 
-    def walk(text: str, cleaned=None):
-        out, strings, stack = [], [], []
-        state, skip, at, nth, offset = "value", None, 0, 0, None
+    def cut(text: str) -> str:
+        """What is no JSON becomes a text that is none either; what stays is checked by the caller."""
+        out, opened, skip, at, offset = [], [], None, 0, None
         end = len(text.rstrip())
-
-        def bad():
-            return ValueError(f"not a JSON document: character {at}")
-
+        value = True
         while at < end:
             m = token.match(text, at, end)
-            if not m or state == "end":
-                raise bad()
+            if not m:
+                return '"'
             t, at = m.group(1), m.end()
             if offset is None:
                 offset = 1 if t == "[" else 0  # a list at the root counts as if it were a field
-            if state in ("key", "key or }") and t[0] == '"':
-                piece, state = t, "colon"
-            elif state == "colon" and t == ":":
-                piece, state = t, "value"
-            elif state == "next" and t == ",":
-                piece, state = t, "key" if stack[-1] == "{" else "value"
-            elif t == "}" and stack and stack[-1] == "{" and state in ("key or }", "next") or t == "]" and stack and stack[-1] == "[" and state in ("value or ]", "next"):
-                stack.pop()
-                piece, state = t, "next" if stack else "end"
-                if skip is not None and len(stack) == skip:
-                    skip, piece = None, ""
-            elif state in ("value", "value or ]") and t not in ":,}]":
-                deep = len(stack) + offset > max_depth and skip is None
-                if deep:
-                    out.append(limit)
-                if t in "{[":
-                    if deep:
-                        skip = len(stack)
-                    stack.append(t)
-                    piece, state = t, "key or }" if t == "{" else "value or ]"
-                else:
-                    state = "next" if stack else "end"
-                    piece = "" if deep else t
-                    if t[0] == '"' and not deep and skip is None:
-                        if cleaned is None:
-                            strings.append(decoded(t))
-                        else:
-                            piece = json.dumps(cleaned[nth], ensure_ascii=False)
-                            nth += 1
-                    elif t[0] in "-0123456789":
-                        json.loads(t)
+            if t in "}]":
+                if not opened or opened.pop() + t not in ("{}", "[]"):
+                    return '"'
+                if skip is None:
+                    out.append(t)
+                elif len(opened) == skip:
+                    skip = None
+                value = False
+                continue
+            starts = value and t not in ",:"  # for keys `value` is False
+            if skip is None:
+                deep = starts and len(opened) + offset > max_depth
+                out.append("!" if deep else t)
+                if deep and t in "{[":
+                    skip = len(opened)
+            if t in "{[":
+                opened.append(t)
+                value = t == "["
             else:
-                raise bad()
-            if skip is None and piece:
-                out.append(piece)
-        if state != "end":
-            raise bad()
-        return "".join(out), strings
+                value = t == ":" or t == "," and bool(opened) and opened[-1] == "["
+        return '"' if opened else "".join(out)
 
-    return walk
+    return cut
 
 
-def with_json_strings(df: DataFrame, document: str, out: str, max_depth: int) -> DataFrame:
-    """Add the string values of each document in order; those nested too deep are left out.  Anything but JSON fails the job.
+def with_json_parts(df: DataFrame, document: str, prefix: str, max_depth: int, flag: str | None = None) -> DataFrame:
+    """Add `<prefix>tokens`, `pieces`, `cut` and `strings`: the string literals, what lies between, whether values were cut out,
+    and the text of each literal that is a value (NULL for a key).
 
-    A step of its own rather than a function in a projection: the cleaning that
-    follows has an Arrow function itself, and Spark must not merge the two.
+    A NULL document has NULL parts.  A document that is not JSON fails the job; with `flag`, it has NULL parts, and a
+    column of this name tells.
     """
-    walk = _walker(max_depth)
-
-    def take(batches):
-        for batch in batches:
-            documents = batch.column(batch.schema.get_field_index(document)).to_pylist()
-            strings = pa.array([None if d is None else walk(d)[1] for d in documents], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, strings], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(take, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
-
-
-def json_rebuilt(document: Column, strings: Column, max_depth: int) -> Column:
-    """The documents with their string values replaced, and a fixed text for every value nested too deep."""
-    walk = _walker(max_depth)
+    cut = _cutter(max_depth)
 
     @F.arrow_udf("string")
-    def put(documents: pa.Array, cleaned: pa.Array) -> pa.Array:
-        return pa.array([None if d is None else walk(d, c)[0] for d, c in zip(documents.to_pylist(), cleaned.to_pylist())], pa.string())
-
-    return put(document, strings)
+    def cut_deep(documents: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else cut(d) for d in documents.to_pylist()], pa.string())
+
+    column = lambda part: name(prefix + part)
+    doc = name(document)
+    # the first test counts openers, also in strings; the second leaves the strings out
+    openers = rf"\A(?>[^{{\[]*+[{{\[]){{{max_depth}}}"
+    bare = f"regexp_replace({doc}, {q('(?s)' + STRING)}, '')"
+    deep = f"CASE WHEN {doc} rlike {q(openers)} THEN CASE WHEN {nesting_depth(bare)} >= {max_depth} THEN {doc} END END"
+    df = df.withColumn(prefix + "deep", F.expr(deep))
+    # used twice, which keeps the expression out of the Arrow call
+    df = df.withColumn(prefix + "shallow", F.when(F.col(prefix + "deep").isNotNull(), cut_deep(F.col(prefix + "deep"))))
+    df = df.withColumn(prefix + "cut", F.col(prefix + "shallow").isNotNull())
+    df = df.withColumn(prefix + "doc", F.expr(f"coalesce({column('shallow')}, {doc})"))
+    df = df.withColumns({prefix + "tokens": F.expr(f"regexp_extract_all({column('doc')}, {q(_TOKEN)}, 0)"),
+                         prefix + "pieces": F.expr(f"split({column('doc')}, {q(_TOKEN)}, -1)")})
+    tokens, pieces = column("tokens"), column("pieces")
+    values = each(tokens, lambda t: f"CASE WHEN endswith({t}, ':') THEN 'null' ELSE {t} END")
+    df = df.withColumn(prefix + "strings", F.expr(f"from_json(concat('[', array_join({values}, ','), ']'), 'array<string>', {_DECODE})"))
+    skeleton = (f"concat(array_join(transform({tokens}, (t, i) -> concat(get({pieces}, i), CASE WHEN endswith(t, ':') "
+                f"THEN concat('\"', i, '\":') ELSE '\"\"' END)), ''), element_at({pieces}, -1))")
+    skeleton = f"CASE WHEN {column('cut')} THEN replace({skeleton}, {q(_CUT)}, 'null') ELSE {skeleton} END"
+    decoded = (f"(size({column('strings')}) = size({tokens}) AND forall(zip_with({tokens}, {column('strings')}, "
+               f"(t, s) -> endswith(t, ':') OR s IS NOT NULL), ok -> ok))")
+    # the parser does not look beyond the first value: one that must follow it shows that nothing else does
+    parsed = f"try_parse_json(concat('[', {skeleton}, ',\"end\"]'))"
+    ok = f"(try_variant_get({parsed}, '$[1]', 'string') = 'end' AND {decoded})"
+    df = df.withColumn(prefix + "ok", F.expr(f"{doc} IS NULL OR coalesce({ok}, false)"))
+    otherwise = "NULL" if flag is not None else f"raise_error(concat('not a JSON document: ', left({doc}, 40)))"
+    df = df.withColumn(prefix + "strings", F.expr(f"CASE WHEN {column('ok')} THEN {column('strings')} ELSE {otherwise} END"))
+    if flag is not None:
+        df = df.withColumn(flag, ~F.col(prefix + "ok"))
+    return df.drop(prefix + "deep", prefix + "shallow", prefix + "doc", prefix + "ok")
+
+
+def json_rebuilt(prefix: str, strings: str) -> str:
+    """The documents with their string values replaced, and a fixed text for every value that was cut out; NULL where there are no strings."""
+    column = lambda part: name(prefix + part)
+    literals = f"regexp_extract_all(to_json({name(strings)}), {q('(?s)' + STRING + '|null')}, 0)"
+
+    def tight(piece: str) -> str:
+        bare = f"regexp_replace({piece}, {q(_BLANKS + '+')}, '')"
+        return f"CASE WHEN {column('cut')} THEN replace({bare}, {q(_CUT)}, {q(chr(34) + NESTING_TEXT + chr(34))}) ELSE {bare} END"
+
+    body = (f"array_join(transform({column('tokens')}, (t, i) -> concat({tight(f'get({column("pieces")}, i)')}, "
+            f"CASE WHEN endswith(t, ':') THEN regexp_replace(t, {q(_BLANKS + '+:$')}, ':') ELSE get(l, i) END)), '')")
+    whole = f"concat({body}, {tight(f'element_at({column("pieces")}, -1)')})"
+    return f"CASE WHEN {name(strings)} IS NOT NULL THEN get(transform(array({literals}), l -> {whole}), 0) END"

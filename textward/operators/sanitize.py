@@ -7,17 +7,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .. import rules as R
 from ..functions import text as X
 from ..functions.expr import DETECTIONS, NO_DETECTIONS, each, let, name, q, struct
-from ..functions.trees import cap_depth, has_leaf, leaves, map_leaves
+from ..functions.trees import cap_depth, flat_texts, has_leaf, is_text, rebuilt
 from ..functions.unicode import needs_normalising, normalise_states
 from ..limits import DEFAULT_LIMITS, Limits
 
-_DONE = f"array<struct<t:string,n:int,c:int,d:{DETECTIONS}>>"
-
-
-def _is_state(t: T.DataType) -> bool:
-    return isinstance(t, T.StructType) and t.names[:2] in (["t", "a"], ["t", "f"], ["t", "n"])
-
-
 def sanitize(df: DataFrame, col: str, context: str = "general", *, context_col: str | None = None,
              cleaned: str = "cleaned", report: str = "report", limits: Limits = DEFAULT_LIMITS,
              rules=R.RULES, root_depth: int = 0) -> DataFrame:
@@ -27,6 +20,10 @@ def sanitize(df: DataFrame, col: str, context: str = "general", *, context_col:
     nested column the lengths are sums over its texts and the detections stand
     in visiting order.  NULL stays NULL with an empty report.
 
+    The texts of a nested column are gathered in one array, cleaned by one
+    ``transform`` over it and put back by their place, so the plan holds the
+    pipeline once however many fields there are.
+
     Rows never move between tasks.  The plan is the scan, projections around an
     Arrow step for text that needs normalising, and one generate that yields the
     result: a filter on other columns is pushed below all of them, while a
@@ -44,19 +41,21 @@ def sanitize(df: DataFrame, col: str, context: str = "general", *, context_col:
         empty = struct(original_length="0", cleaned_length="0", detections=NO_DETECTIONS)
         return df.withColumn(cleaned, F.expr(source)).withColumn(report, F.expr(empty))
 
+    nested = not is_text(dtype)
     state = _free("__state", df.columns)
     norm = _free("__norm", df.columns)
+    texts = flat_texts(source, dtype) if nested else source
+    apply = (lambda x, stage: each(x, stage)) if nested else (lambda x, stage: stage(x))
     staged = df
     for stage in X.early_stages(limits):
-        staged = staged.withColumn(state, F.expr(map_leaves(source, dtype, stage)))
+        staged = staged.withColumn(state, F.expr(apply(texts, stage)))
     staged = _normalise(staged, state, norm, limits)
 
     shown = q(context) if context_col is None else name(context_col)
     for stage in X.late_stages(shown, limits, rules):
-        kind = staged.schema[state].dataType
-        staged = staged.withColumn(state, F.expr(map_leaves(name(state), kind, stage, _is_state)))
+        staged = staged.withColumn(state, F.expr(apply(name(state), stage)))
 
-    result = _result(name(state), staged.schema[state].dataType, cleaned, report)
+    result = _nested_result(source, dtype, name(state), cleaned, report) if nested else _result(name(state), cleaned, report)
     keep = [F.col(name(c)) for c in df.columns if c not in (cleaned, report)]
     return staged.select(*keep, F.expr(f"inline(array({result}))"))
 
@@ -73,41 +72,28 @@ def limit_text(df: DataFrame, col: str, out: str = "limited", found: str = "foun
 def _normalise(df: DataFrame, state: str, norm: str, limits: Limits) -> DataFrame:
     """Send the rows through Arrow in which some text needs normalising."""
     kind, s = df.schema[state].dataType, name(state)
-    empty = f"cast(array() as array<{_leaf_type(kind).simpleString()}>)"
-    needed = (f"exists({leaves(s, kind, empty, _is_state)}, "
-              f"s -> coalesce({needs_normalising('s.t', limits.homoglyph_ratio)}, false))")
-    if _is_state(kind):
-        needed = needs_normalising(f"{s}.t", limits.homoglyph_ratio)
+    needed = needs_normalising(f"{s}.t", limits.homoglyph_ratio)
+    if isinstance(kind, T.ArrayType):
+        needed = f"exists({s}, s -> coalesce({needs_normalising('s.t', limits.homoglyph_ratio)}, false))"
     df = df.withColumn(norm, F.expr(f"CASE WHEN {needed} THEN {s} END"))
     # norm is used twice, which keeps its expression out of the Arrow call
     return (df.withColumn(norm, F.when(F.col(norm).isNotNull(), normalise_states(kind)(F.col(norm))))
             .withColumn(state, F.coalesce(F.col(norm), F.col(state))))
 
 
-def _leaf_type(t: T.DataType) -> T.DataType:
-    while not _is_state(t):
-        if isinstance(t, T.StructType):
-            t = next(f.dataType for f in t.fields if has_leaf(f.dataType, _is_state))
-        else:
-            t = t.elementType if isinstance(t, T.ArrayType) else t.valueType
-    return t
-
+def _result(state: str, cleaned: str, report: str) -> str:
+    return let(state, lambda s: _pair(f"{s}.t", f"{s}.n", f"{s}.c", f"{s}.d", cleaned, report))
 
-def _result(tree: str, kind: T.DataType, cleaned: str, report: str) -> str:
-    if _is_state(kind):
-        return let(tree, lambda s: _pair(f"{s}.t", f"{s}.n", f"{s}.c", f"{s}.d", cleaned, report))
 
+def _nested_result(source: str, dtype: T.DataType, states: str, cleaned: str, report: str) -> str:
     def combine(x):
-        texts = map_leaves(x, kind, lambda s: f"{s}.t", _is_state)
-
-        def summed(parts, field):
-            return f"aggregate({parts}, 0, (acc, s) -> acc + coalesce(s.{field}, 0))"
+        def summed(field):
+            return f"aggregate({x}, 0, (acc, s) -> acc + coalesce(s.{field}, 0))"
 
-        return let(leaves(x, kind, f"cast(array() as {_DONE})", _is_state), lambda parts: _pair(
-            texts, summed(parts, "n"), summed(parts, "c"), f"flatten({each(parts, lambda s: f'{s}.d')})",
-            cleaned, report))
+        found = f"flatten(filter({each(x, lambda s: f'{s}.d')}, d -> d IS NOT NULL))"
+        return _pair(rebuilt(source, dtype, lambda place: f"get({x}, {place}).t"), summed("n"), summed("c"), found, cleaned, report)
 
-    return let(tree, combine)
+    return let(states, combine)
 
 
 def _pair(text, original, final, found, cleaned, report) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.expr import name, q
-from ..functions.jsontext import json_rebuilt, with_json_strings
+from ..functions.jsontext import json_rebuilt, with_json_parts
 from ..limits import DEFAULT_LIMITS, Limits
 from .sanitize import sanitize
 
@@ -25,18 +25,22 @@ def sanitize_text(df: DataFrame, col: str, context: str = "general", **kw) -> Da
 
 
 def sanitize_json(df: DataFrame, col: str, context: str = "general", *, cleaned: str = "cleaned",
-                  limits: Limits = DEFAULT_LIMITS, **kw) -> DataFrame:
+                  limits: Limits = DEFAULT_LIMITS, bad_rows: str | None = None, **kw) -> DataFrame:
     """Clean every string value of JSON documents held as text, of any shape.
 
     No schema is asked for, so no field is lost and no string passes unseen:
     fields of mixed type, NULL, unknown and oddly named ones stay.  A value
     nested deeper than the limit becomes a fixed text; a list at the root counts
-    as one level, as if it were a field.  Anything but JSON fails the job.
+    as one level, as if it were a field.  Anything but JSON fails the job, unless
+    ``bad_rows`` names a column that is to tell which rows hold none: their cleaned document is NULL.
     """
-    document = F.col(name(col))
-    parsed = with_json_strings(df, col, "__strings", limits.max_depth)
-    out = sanitize(parsed, "__strings", context, cleaned="__clean_strings", limits=limits, **kw)
-    return out.withColumn(cleaned, json_rebuilt(document, F.col("__clean_strings"), limits.max_depth)).drop("__strings", "__clean_strings")
+    prefix = "__json_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    parsed = with_json_parts(df, col, prefix, limits.max_depth, bad_rows)
+    out = sanitize(parsed, prefix + "strings", context, cleaned=prefix + "clean", limits=limits, **kw)
+    out = out.withColumn(cleaned, F.expr(json_rebuilt(prefix, prefix + "clean")))
+    return out.drop(*[c for c in out.columns if c.startswith(prefix)])
 
 
 def extract_field(json: str, path: str) -> Column:

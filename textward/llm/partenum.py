@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import missing_columns, release, staged
+from .common import discard, missing_columns, release, staged
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -325,7 +325,9 @@ def members(sigs: DataFrame) -> DataFrame:
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = shared.select("id", "sig").join(company, "id")
     hub = ranked.groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h"))
-    return shared.select("id", "sig").join(hub, "sig").select("sig", (-F.col("h.minus")).alias("hub"), "id").where("hub <> id")
+    out = staged(shared.select("id", "sig").join(hub, "sig").select("sig", (-F.col("h.minus")).alias("hub"), "id").where("hub <> id"), "partenum-members")
+    discard(shared)
+    return out
 
 
 def linked(measure: Measure, h: str, n: str):
@@ -348,7 +350,7 @@ def compared(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
 
 def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(a, b): links enough to connect whatever links connect, each one verified on the full sets."""
-    groups = staged(members(sigs), "partenum-members")
+    groups = members(sigs)
     release(docs.sparkSession)
     stars = staged(groups.select("hub", "id").distinct(), "partenum-stars")
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
@@ -360,7 +362,8 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     near = staged(near.select("hub", "id"), "partenum-near")
     star_links = near.select(F.col("hub").alias("a"), F.col("id").alias("b"))
     labels = components(star_links)
-    open_pairs = staged(unsettled(groups, near, labels), "partenum-open")
+    open_pairs = unsettled(groups, near, labels)
+    discard(groups)
     release(docs.sparkSession)
     # only candidates come of this: half of each hash will do, since sets of halves differ in no more elements than those of hashes
     halves = all_sets.select("id", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
@@ -372,6 +375,7 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     need = F.least(F.col("h"), most + 1)
     seen = staged(seen.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("first"),
                               F.floor(most / 2).alias("half")), "partenum-compared")
+    release(docs.sparkSession)
     more = staged(cross_candidates(seen, labels, measure), "partenum-more")
     release(docs.sparkSession)
     more = staged(possible(more, all_sets, measure, "a", "b"), "partenum-possible")
@@ -389,8 +393,10 @@ def unsettled(groups: DataFrame, near: DataFrame, labels: DataFrame) -> DataFram
              .select("sig", "hub", "id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("component", "id").alias("component")))
     known = staged(known, "partenum-known")
     states = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
-    return (known.select("sig", "hub", "id", "near").join(states.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
-            .select("hub", "id", "near").distinct())
+    out = staged(known.select("sig", "hub", "id", "near").join(states.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
+                 .select("hub", "id", "near").distinct(), "partenum-open")
+    discard(known)
+    return out
 
 
 def linked_sets(measure: Measure):
@@ -406,18 +412,28 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
     |e(x)| + |e(y)| - 2 |e(x) & e(y)|.  With y not linked to the hub, a link needs
     so large an intersection that, in any fixed order, the first most / 2 + 1 of e(x), the smaller
     (or the first most + 1, if x is linked to the hub), and the first most + 1 of e(y) have one in common.
+
+    Most elements differ in one member only.  Hashes of hub and element find those that several have, as those of
+    signatures do; what falls together by chance only adds a candidate.
     """
-    mixed_hubs = seen.where("NOT near").select("hub").distinct()
-    rows = (seen.join(mixed_hubs, "hub", "left_semi").join(labels, "id", "left")
-            .withColumn("component", F.coalesce("component", "id")).where(F.size("first") > 0)
-            .select("hub", "id", "near", "h", "size", "half", "component", F.posexplode("first").alias("pos", "element")))
-    spread = rows.groupBy("hub", "element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
-    rows = rows.join(spread.where("lo <> hi AND NOT settled").select("hub", "element"), ["hub", "element"], "left_semi")
-    x = rows.where("near OR pos <= half").select("hub", "element", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"))
-    y = rows.where("NOT near").select("hub", "element", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"))
+    rows = (seen.withColumn("row", F.monotonically_increasing_id()).join(labels, "id", "left")
+            .withColumn("component", F.coalesce("component", "id")))
+    rows = staged(rows, "partenum-differing")
+    early = F.when(F.col("near"), F.size("first")).otherwise(F.least(F.size("first"), (F.col("half") + 1).cast("int")))
+    # an even id has the elements that only y may bring, an odd one those that x may bring as well
+    parts = F.array(F.struct((F.col("row") * 2).alias("id"), F.filter("first", lambda e, i: i >= early).alias("part")),
+                    F.struct((F.col("row") * 2 + 1).alias("id"), F.filter("first", lambda e, i: i < early).alias("part")))
+    hashed = rows.select("hub", F.explode(parts).alias("p")).select("p.id", F.expr("transform(p.part, e -> xxhash64(hub, e))").alias("sigs"))
+    found = repeated(hashed).select("sig", F.shiftright("id", 1).alias("row"), (F.col("id") % 2 == 1).alias("early"))
+    info = rows.select("row", "hub", "id", "near", "h", "size", "component")
+    found = staged(found.join(info, "row"), "partenum-elements")
+    spread = found.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
+    some = found.join(spread.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
+    x = some.where("early").select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"))
+    y = some.where("NOT near").select("sig", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"))
     # sizes alone, and by the triangle inequality the differences from the hub, rule many pairs out
     may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
-    pairs = (x.join(y, ["hub", "element"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
+    pairs = (x.join(y, ["sig", "hub"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
              .withColumn("n", F.col("na") + F.col("nb")).withColumn("d", F.abs(F.col("na") - F.col("nb"))).where(may))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -182,17 +182,67 @@ def finished(new: DataFrame, log: str, rows_per_chain: int) -> DataFrame:
         F.col(log).alias("log"), F.col("chain").alias("node"), F.col("seq").alias("n"), entry_hash(F.col("line")).alias("hash"))
 
 
-def grown(new: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Seals to add to those kept ``before``: of new level-0 seals and of every level above them."""
-    if before is None:
-        return tree(new)
-    old = before.where("level = 0").drop("level").join(new.select("log").distinct(), "log", "left_semi")
-    every = tree(old.unionByName(new))
-    return every.where("level > 0").unionByName(new.withColumn("level", F.lit(0)).select(every.columns))
+EDGE = "array<struct<level:int,node:long,n:long,hash:string>>"
+
+
+def grown(new: DataFrame, edge: DataFrame | None) -> DataFrame:
+    """Seals to add for new chains: their own (``log, node, n, hash``) and those of every level above them.
+
+    ``edge`` (``log, level, node, n, hash``) is the right edge of the tree so far: the seals whose parent can still
+    get children, at most ``FAN`` a level.  Nothing else of the tree is needed, so an append costs the same
+    however long the log is.
+    """
+    most = new.agg(F.max("node")).first()[0] or 0
+    level, depth = new.select("log", "node", "n", "hash"), 0
+    out = level.withColumn("level", F.lit(0))
+    while most > 0:
+        below = level
+        if edge is not None:
+            parent = F.floor(F.col("node") / FAN)
+            asked = below.select(F.col("log").alias("__log"), parent.alias("__parent")).distinct()
+            old = edge.where(F.col("level") == depth).select("log", "node", "n", "hash")
+            old = old.join(asked, F.col("log").eqNullSafe(F.col("__log")) & (parent == F.col("__parent")), "left_semi")
+            again = below.select(F.col("log").alias("__log"), F.col("node").alias("__node"))
+            old = old.join(again, F.col("log").eqNullSafe(F.col("__log")) & (F.col("node") == F.col("__node")), "left_anti")
+            below = below.unionByName(old)
+        level = _above(below)
+        most, depth = most // FAN, depth + 1
+        out = out.unionByName(level.withColumn("level", F.lit(depth)))
+    return out.select("log", "level", "node", "n", "hash")
+
+
+def right_edge(seals_: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``log, edge`` after ``seals_`` were added: of each level the seals under the last parent, the newest state of each."""
+    rows = seals_ if before is None else seals_.unionByName(before)
+    rows = rows.groupBy("log", "level", "node").agg(F.max("n").alias("n"), F.max_by("hash", "n").alias("hash"))
+    parent = F.floor(F.col("node") / FAN)
+    last = F.max(parent).over(Window.partitionBy("log", "level"))
+    rows = rows.withColumn("__last", last).where(parent == F.col("__last"))
+    return rows.groupBy("log").agg(F.sort_array(F.collect_list(F.struct("level", "node", "n", "hash"))).alias("edge"))
+
+
+def exploded_edge(heads: DataFrame) -> DataFrame:
+    """The edges of heads as ``log, level, node, n, hash``."""
+    return heads.select("log", F.explode("edge").alias("e")).select("log", "e.*")
+
+
+def next_heads(new: DataFrame, seals_: DataFrame | None, before: DataFrame | None, rows_per_chain: int) -> DataFrame:
+    """``log, head_seq, head_hash, edge`` of the logs that new lines went to."""
+    last = last_heads(new, "log", rows_per_chain)
+    old = None if before is None else before.join(last.select(F.col("log").alias("__log")), F.col("log").eqNullSafe(F.col("__log")), "left_semi")
+    if seals_ is not None:
+        edge = right_edge(seals_, None if old is None else exploded_edge(old))
+    elif old is not None:
+        edge = old.select("log", "edge")
+    else:
+        return last.withColumn("edge", F.array().cast(EDGE))
+    edge = edge.withColumnRenamed("log", "__log")
+    return (last.join(edge, F.col("log").eqNullSafe(F.col("__log")), "left")
+            .select("log", "head_seq", "head_hash", F.coalesce("edge", F.array().cast(EDGE)).alias("edge")))
 
 
 def latest_seals(kept: DataFrame) -> DataFrame:
-    """The newest state of each seal: seals above level 0 are written again as they grow."""
+    """The newest state of each seal: the last seal of a level above 0 is written again as it grows."""
     return kept.groupBy("log", "level", "node").agg(F.max("n").alias("n"), F.max_by("hash", "n").alias("hash"))
 
 

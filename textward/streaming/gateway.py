@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.reports import threats_found
-from ..operators.audit import audit_entries, build_chain, finished, grown, last_heads, latest_seals, verify_log
+from ..operators.audit import EDGE, audit_entries, build_chain, exploded_edge, finished, grown, latest_seals, next_heads, verify_log
 from ..operators.sanitize import sanitize
 
 SEAL_SCHEMA = "log string, level int, node long, n long, hash string, batch_id long"
+HEAD_SCHEMA = f"log string, head_seq long, head_hash string, edge {EDGE}"
 
 
 def sanitize_stream(stream: DataFrame, col: str, context: str = "general", **kw) -> DataFrame:
@@ -31,17 +32,20 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
         clean = sanitize(batch, col, context, cleaned="__clean").drop(col).withColumnRenamed("__clean", col)
         clean.write.mode("overwrite").parquet(rows_path)
         written = spark.read.schema(clean.schema).parquet(rows_path)
-        heads = sealed = None
-        if batch_id > 0:  # one row per batch, not the log
-            sealed = latest_seals(spark.read.schema(SEAL_SCHEMA).parquet(f"{audit_path}-seals").filter(F.col("batch_id") < batch_id))
-            before = spark.read.parquet(f"{audit_path}-heads").filter(F.col("batch_id") < batch_id)
-            heads = before.groupBy("log").agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
+        heads = None
+        if batch_id > 0:  # the batch before tells all that is needed of the log: its last line and the right edge of its seals
+            heads = spark.read.schema(HEAD_SCHEMA).parquet(f"{audit_path}-heads/batch_id={batch_id - 1}")
         entries = audit_entries(written, data_path, context, "append", keep=(key,)).withColumn("log", F.lit(log))
         (build_chain(entries, "log", [key], rows_per_chain=rows_per_chain, heads=heads)
          .write.mode("overwrite").parquet(log_path))
         new = spark.read.parquet(log_path)
-        last_heads(new, "log", rows_per_chain).write.mode("overwrite").parquet(f"{audit_path}-heads/batch_id={batch_id}")
-        grown(finished(new, "log", rows_per_chain), sealed).write.mode("overwrite").parquet(f"{audit_path}-seals/batch_id={batch_id}")
+        seals_path = f"{audit_path}-seals/batch_id={batch_id}"
+        grown(finished(new, "log", rows_per_chain), None if heads is None else exploded_edge(heads)).write.mode("overwrite").parquet(seals_path)
+        sealed = spark.read.schema("log string, level int, node long, n long, hash string").parquet(seals_path)
+        after = next_heads(new, sealed, heads, rows_per_chain)
+        if heads is not None:  # logs without new lines go along, so that the next batch needs no earlier one
+            after = after.unionByName(heads.join(after.select(F.col("log").alias("__log")), F.col("log").eqNullSafe(F.col("__log")), "left_anti"))
+        after.write.mode("overwrite").parquet(f"{audit_path}-heads/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

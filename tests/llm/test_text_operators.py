@@ -251,11 +251,15 @@ def test_language_id_of_odd_texts(spark, nothing):
 
 def test_words_first_then_shorter_grams(spark):
     train = spark.createDataFrame([(1, "aaa aab aac", "x"), (2, "bbb bba bbc", "y")], "doc_id long, text string, lang string")
-    rows = langid._Rows(langid.fit(train))
-    assert langid.backoff(rows.grams, "aaz", 6) and rows.of(["aaa"])[0] == rows.index["aaa"]
-    long, short = (langid.backoff(rows.grams, w, 6) for w in ("xaaax", "zcz"))
-    names = {v: k for k, v in rows.grams.items()}
-    assert {len(names[r]) for r in long} == {3} and {len(names[r]) for r in short} == {1}
+    model = langid.fit(train)
+    rows = langid._Rows(model)
+    assert rows.cost[rows.of(["aaa"])[0]].tolist() == model.known(["aaa"], 0)[1][0].tolist()
+    # "xaaax" has known grams of three letters at most, "zcz" of one; "qq" none
+    for word, n in (("xaaax", 3), ("zcz", 1)):
+        found, cost = model.known(langid.grams_of(word, n), n)
+        assert found.any() and not any(model.known(langid.grams_of(word, k), k)[0].any() for k in range(n + 1, 7))
+        assert np.allclose(langid.backoff(model, ["qq", word])[1], cost.mean(0))
+    assert not langid.backoff(model, ["qq"]).any()
 
 
 # ------------------------------------------------------------------ op 8

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,13 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
+def hashed(grams, n: int) -> np.ndarray:
+    """A number of 64 bits for each word (n = 0) or n-gram: the model keeps these instead of texts."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(g, n) for g in grams), np.uint64, len(grams))
+
+
 def _counts(longest: int):
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("gram", pa.string()), ("c", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("gram", pa.int64()), ("c", pa.int64())])
 
     def emit(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
@@ -63,7 +69,7 @@ def _counts(longest: int):
                         for g in grams_of(word, n):
                             grams[g] += c
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(grams), "n": [n] * len(grams), "gram": list(grams), "c": list(grams.values())}, schema)
+                    {"lang": [lang] * len(grams), "n": [n] * len(grams), "gram": hashed(grams, n).view(np.int64), "c": list(grams.values())}, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -84,12 +90,21 @@ def _counts(longest: int):
 
 @dataclass
 class Model:
-    """`features[n]`: word (n = 0) or n-gram to a row of `penalties[n]`, which has a column per language."""
+    """`features[n]`: sorted hashes of words (n = 0) or n-grams; `penalties[n]`: a row for each, with a column per language."""
 
     langs: list[str]
-    features: list[dict[str, int]]
+    features: list[np.ndarray]
     penalties: list[np.ndarray]
 
+    def known(self, grams: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each gram is known, and the penalties of those that are."""
+        h, names = hashed(grams, n), self.features[n]
+        if not len(names):
+            return np.zeros(len(h), bool), self.penalties[n]
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        found = names[at] == h
+        return found, self.penalties[n][at[found]]
+
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from the rows of `docs` with text and language.
@@ -104,42 +119,34 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: str
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(sample_key)).alias("h"))
     shares = rows.groupBy("lang").agg((F.ceil(F.lit(1_000_000 * settings.max_docs) / F.count("*"))).alias("per_million"))
     drawn = salted_join(rows, shares, ["lang"], "inner").where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.col("per_million"))
-    counts = (drawn.select("lang", "text")
-              .mapInArrow(_counts(settings.longest), "lang string, n int, gram string, c long")
-              .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    kept = counts.toPandas()  # bounded by the documents drawn
-    kept["total"] = kept.groupby(["lang", "n"])["c"].transform("sum")
-    langs = sorted(set(kept.lang) | {r["lang"] for r in shares.select("lang").collect()})
+    langs = sorted(r["lang"] for r in shares.select("lang").collect())
     if not langs:
-        return Model([], [{} for _ in range(settings.longest + 1)], [np.zeros((0, 0), np.float32)] * (settings.longest + 1))
-    features: list[dict[str, int]] = []
+        return Model([], [np.zeros(0, np.uint64)] * (settings.longest + 1), [np.zeros((0, 0), np.float32)] * (settings.longest + 1))
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "i int, lang string")
+    counts = (drawn.select("lang", "text")
+              .mapInArrow(_counts(settings.longest), "lang string, n int, gram long, c long")
+              .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).join(numbers, "lang").select("i", "n", "gram", "c"))
+    i, n, gram, c = (x.to_numpy() for x in counts.toArrow().columns)  # numbers only, bounded by the documents drawn
+    features: list[np.ndarray] = []
     penalties: list[np.ndarray] = []
-    column = {name: i for i, name in enumerate(langs)}
-    for n in range(settings.longest + 1):
-        part = kept[kept.n == n]
-        names = {g: i for i, g in enumerate(sorted(set(part.gram)))}
+    for order in range(settings.longest + 1):
+        here = n == order
+        names, row = np.unique(gram[here].view(np.uint64), return_inverse=True)
         cost = np.full((len(names), len(langs)), settings.penalty, np.float32)
-        cost[part.gram.map(names).to_numpy(int), part.lang.map(column).to_numpy(int)] = np.minimum(
-            settings.penalty, -np.log10(part.c.to_numpy(float) / part.total.to_numpy(float)))
+        total = np.bincount(i[here], c[here], len(langs))
+        cost[row, i[here]] = np.minimum(settings.penalty, -np.log10(c[here] / total[i[here]]))
         features.append(names)
         penalties.append(cost)
     return Model(langs, features, penalties)
 
 
 class _Rows:
-    """Word to its row of `cost`.  Unseen words get a row when first asked for; the table starts anew when it is full."""
+    """Word to its row of `cost`.  Words get a row when first asked for; the table starts anew when it is full."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.index = dict(model.features[0])
-        self.grams: dict[str, int] = {}
-        for names in model.features[1:]:
-            self.grams |= _shifted(names, len(self.grams))
-        stacked = [p for p in model.penalties[1:] if len(p)]
-        # the last row is for words without one known letter: no evidence for any language
-        self.gram_cost = np.concatenate([*stacked, np.zeros((1, len(model.langs)), np.float32)])
-        self.cost = np.zeros((len(self.index) + 4 * _CHUNK, len(model.langs)), np.float32)
-        self.cost[:len(self.index)] = model.penalties[0]
+        self.index: dict[str, int] = {}
+        self.cost = np.zeros((4 * _CHUNK, len(model.langs)), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
         """Rows of at most _CHUNK words."""
@@ -148,31 +155,37 @@ class _Rows:
         except KeyError:
             pass
         if len(self.index) + len(words) > len(self.cost):
-            self.index = dict(self.model.features[0])
+            self.index = {}
         new = list(set(words).difference(self.index))
-        known, starts = [], []
-        for word in new:
-            starts.append(len(known))
-            known += backoff(self.grams, word, len(self.model.features) - 1) or (len(self.gram_cost) - 1,)
-        starts = np.array(starts)
-        sums = np.add.reduceat(self.gram_cost[known], starts, axis=0)
+        known, cost = self.model.known(new, 0)
+        rows = np.zeros((len(new), len(self.model.langs)), np.float32)
+        rows[known] = cost
+        unseen = np.flatnonzero(~known)
+        rows[unseen] = backoff(self.model, [new[k] for k in unseen])
         first = len(self.index)
-        self.cost[first:first + len(new)] = sums / np.diff(np.append(starts, len(known)))[:, None]
+        self.cost[first:first + len(new)] = rows
         self.index.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
-def _shifted(names: dict[str, int], by: int) -> dict[str, int]:
-    return {g: r + by for g, r in names.items()}
-
-
-def backoff(grams: dict[str, int], word: str, longest: int) -> list[int]:
-    """Rows of the word's known n-grams for the largest n that has any."""
-    for n in range(min(longest, len(word) + 2), 0, -1):
-        known = [r for g in grams_of(word, n) if (r := grams.get(g)) is not None]
-        if known:
-            return known
-    return []
+def backoff(model: Model, words: list[str]) -> np.ndarray:
+    """For each word the mean penalties of its known n-grams, of the largest n that has any; 0 for all languages where none has."""
+    out = np.zeros((len(words), len(model.langs)), np.float32)
+    todo = np.arange(len(words))
+    for n in range(len(model.features) - 1, 0, -1):
+        grams = [grams_of(words[k], n) for k in todo]
+        owner = np.repeat(np.arange(len(todo)), [len(g) for g in grams])
+        known, cost = model.known([x for g in grams for x in g], n)
+        owner = owner[known]
+        count = np.bincount(owner, minlength=len(todo))
+        sums = np.zeros((len(todo), len(model.langs)))
+        np.add.at(sums, owner, cost)
+        done = count > 0
+        out[todo[done]] = sums[done] / count[done][:, None]
+        todo = todo[~done]
+        if not len(todo):
+            break
+    return out
 
 
 def predictions(model: Model, texts, rows: _Rows | None = None) -> tuple[list[str], list[float]]:

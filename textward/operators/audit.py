@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reports import threat_count, threats_found, without_evidence
+from ..session import new_path
 from .numbering import number_rows, salted_join
 
 GENESIS = "genesis"
@@ -123,15 +124,30 @@ def verify_chain(log_rows: DataFrame, keys: list[str], seq: str = "seq", line: s
     order, if it has the number before (a chain of ``build_chain`` is as long as
     its ``rows_per_chain``, so no task sorts more than that).  Status: ``ok``,
     ``rotated`` (first kept entry after a marker), ``unchained`` (no prev_hash)
-    or ``broken``.  That no chain is missing as a whole, see ``verify_seals``.
+    or ``broken``.  That no chain is missing as a whole, see ``verify_seals``; chains of any
+    length, as other writers make them, see ``verify_long_chains``.
     """
+    rows = _links(log_rows, keys, seq, line)
+    chain = Window.partitionBy(*keys).orderBy("seq")
+    before = F.lag(F.struct(*_BEFORE)).over(chain)
+    return _statuses(rows.withColumn("before", before), keys)
+
+
+_BEFORE = ("seq", "hash", "hash_tail", "type", "tail_sha")
+
+
+def _links(log_rows: DataFrame, keys: list[str], seq: str, line: str) -> DataFrame:
+    """What of each line the check of the next one needs."""
     field = lambda f: F.get_json_object(F.col(line), f"$.{f}")
-    rows = log_rows.select(
+    return log_rows.select(
         *keys, F.col(seq).alias("seq"), field("prev_hash").alias("prev_hash"), field("type").alias("type"),
         field("dropped_tail_sha").alias("tail_sha"), entry_hash(F.col(line)).alias("hash"), tail_hash(F.col(line)).alias("hash_tail"))
-    chain = Window.partitionBy(*keys).orderBy("seq")
-    follows = F.lag("seq").over(chain) == F.col("seq") - 1
-    before = lambda c: F.when(follows, F.lag(c).over(chain))
+
+
+def _statuses(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The status of each row of ``_links``, with the row before it in ``before``."""
+    follows = F.col("before.seq") == F.col("seq") - 1
+    before = lambda c: F.when(follows, F.col(f"before.{c}"))
     rows = rows.withColumns({"expected": before("hash"), "expected_tail": before("hash_tail"), "type_before": before("type"), "dropped": before("tail_sha")})
     prev = F.col("prev_hash")
     status = (F.when(prev.isNull(), "unchained")
@@ -142,6 +158,29 @@ def verify_chain(log_rows: DataFrame, keys: list[str], seq: str = "seq", line: s
     return rows.select(*keys, "seq", "prev_hash", F.coalesce("expected", F.lit(GENESIS)).alias("expected"), status.alias("status"))
 
 
+def verify_long_chains(log_rows: DataFrame, keys: list[str], seq: str = "seq", line: str = "line") -> DataFrame:
+    """As ``verify_chain``, for chains of any length: no task sorts more than one range of a chain.
+
+    The hashes of the lines are range-partitioned by chain and number and written to the shared folder, since a second run would
+    draw other bounds.  Inside a range each row has the one before at hand; the last row of each range, one row
+    per range and chain, is passed on to the first row of the next.
+    """
+    spark = log_rows.sparkSession
+    ranged = _links(log_rows, keys, seq, line).repartitionByRange(*keys, "seq").withColumn("__range", F.spark_partition_id())
+    path = new_path(spark, "audit-ranges")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    here = Window.partitionBy(*keys, "__range").orderBy("seq")
+    rows = ranged.withColumn("before", F.lag(F.struct(*_BEFORE)).over(here))
+    last = ranged.groupBy(*keys, "__range").agg(F.max(F.struct(*_BEFORE)).alias("last"))
+    handed = last.withColumn("handed", F.lag("last").over(Window.partitionBy(*keys).orderBy("__range")))
+    handed = handed.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "handed")
+    on = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return _statuses(rows.join(handed, on, "left").withColumn("before", F.coalesce("before", "handed")), keys)
+
+
 def seals(log_rows: DataFrame, log: str = "log") -> DataFrame:
     """What ties the chains of a log together: ``log, level, node, n, hash``.
 
@@ -333,6 +372,43 @@ def rotate(log_rows: DataFrame, keys: list[str], seq: str = "seq", line: str = "
     return kept.unionByName(marker)
 
 
+def rotate_log(log_rows: DataFrame, *, rows_per_chain: int = 5000, limit: int = 5000, timestamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drop the older half of each log (``log, chain, seq, line``) with more than ``limit`` lines, by whole chains: ``kept, markers``.
+
+    The size of a log is the running number of its last line over all its chains.  ``markers`` has a row per rotated log: ``log, chain`` (the
+    first chain that stays), ``line`` (the marker, with the number of lines dropped and the hash of the last one).  Seals are kept as they
+    are; ``verify_retained`` checks what stays against them.  A log whose older half is less than a chain stays whole.
+    """
+    at = F.current_timestamp() if timestamp is None else timestamp
+    ends = log_rows.groupBy("log").agg(F.max(F.col("chain") * rows_per_chain + F.col("seq")).alias("n"))
+    cut = ends.where(F.col("n") > limit).select("log", F.floor(F.floor(F.col("n") / 2) / rows_per_chain).alias("first")).where("first > 0")
+    rows = salted_join(log_rows, cut, ["log"])
+    kept = rows.where(F.col("first").isNull() | (F.col("chain") >= F.col("first"))).drop("first")
+    last = rows.where((F.col("chain") == F.col("first") - 1) & (F.col("seq") == rows_per_chain))
+    marker = F.to_json(F.struct(
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"), F.lit(GENESIS).alias("prev_hash"), F.lit(MARKER).alias("type"),
+        (F.col("first") * rows_per_chain).alias("dropped_count"), entry_hash(F.col("line")).alias("dropped_tail_sha"), F.lit(MARKER_NOTE).alias("note")))
+    return kept, last.select("log", F.col("first").alias("chain"), marker.alias("line"))
+
+
+def verify_retained(log_rows: DataFrame, markers: DataFrame, kept: DataFrame) -> DataFrame:
+    """As ``verify_seals`` for a rotated log: chains before the first that stays may be missing if its marker fits.
+
+    A marker fits if the hash it names is that of the seal of the last chain dropped and it counts the lines of the seals dropped; if it does not,
+    the row has level -3, the first kept chain and ``changed``.
+    """
+    found = verify_seals(log_rows, kept)
+    gone = markers.select(F.col("log").alias("__log"), F.col("chain").alias("__first"), F.get_json_object("line", "$.dropped_tail_sha").alias("__tail"),
+                          F.get_json_object("line", "$.dropped_count").cast("long").alias("__dropped"))
+    same = F.col("log").eqNullSafe(F.col("__log"))
+    rest = found.join(gone, same, "left").where(~F.coalesce((F.col("level") == 0) & (F.col("status") == "missing") & (F.col("node") < F.col("__first")), F.lit(False)))
+    sealed = kept.where("level = 0").join(gone, same).where(F.col("node") < F.col("__first")).groupBy("__log", "__first", "__tail", "__dropped").agg(
+        F.sum("n").alias("n"), F.max_by("hash", "node").alias("hash"))
+    wrong = sealed.where((F.col("n") != F.col("__dropped")) | (F.col("hash") != F.col("__tail")))
+    return rest.select("log", "level", "node", "status").unionByName(
+        wrong.select(F.col("__log").alias("log"), F.lit(-3).alias("level"), F.col("__first").alias("node"), F.lit("changed").alias("status")))
+
+
 def modified_files(edits: DataFrame, session: str, path: str) -> DataFrame:
     """Files touched per session, each once."""
     return edits.select(session, path).dropDuplicates([session, path])

@@ -88,15 +88,16 @@ def audit_jsonl_documents(spark, sf):
     return log.groupBy("context", "action").agg(F.count("*").alias("n"), F.sum("threat_count").alias("threats"))
 
 
-@register("audit_missing_chain", """SELECT log, 1::BIGINT AS node, 'missing' AS status FROM (SELECT event_type AS log, count(*) AS n FROM events GROUP BY 1) WHERE n > 200
-    UNION ALL SELECT log, 0, 'changed' FROM (SELECT event_type AS log, count(*) AS n FROM events GROUP BY 1) WHERE n > 1""")
+@register("audit_missing_chain", """WITH s AS (SELECT event_type AS log, count(*) AS n FROM events GROUP BY 1),
+    c AS (SELECT log, n, unnest(range((n + 199) // 200)) AS node FROM s)
+    SELECT log, node, CASE WHEN node % 7 = 3 OR n - node * 200 = 1 THEN 'missing' ELSE 'changed' END AS status FROM c WHERE node % 7 IN (3, 5)""")
 def audit_missing_chain(spark, sf):
-    """Of all chains of each log one is taken out as a whole, and one loses its last line; the rest stays unbroken."""
+    """Of the chains of each log every seventh is taken out as a whole, and another seventh loses its last line; the rest stays unbroken."""
     path = new_path(spark, "log")
     made = _event_log(spark, sf)
     made.write.parquet(path)
     log = spark.read.schema(made.schema).parquet(path)
     kept = A.seals(log)
-    last = log.where("chain = 0").groupBy("log").agg(F.max("seq").alias("last"))
-    cut = log.where("chain <> 1").join(last, "log").where("chain > 0 OR seq < last OR last = 1").drop("last")
+    last = log.groupBy("log", "chain").agg(F.max("seq").alias("last"))
+    cut = log.where("chain % 7 <> 3").join(last, ["log", "chain"]).where("chain % 7 <> 5 OR seq < last").drop("last")
     return A.verify_seals(cut, kept).select("log", "node", "status")

@@ -17,6 +17,7 @@ from ..operators.structured import extract_field, sanitize_json, sanitize_record
 from ..functions.paths import SYSTEM_PREFIXES
 from ..rules import RULES
 from . import oracle as O
+from ..session import new_path
 from .registry import register, table
 from .seeds import COMMAND_TEXTS, PATH_TEXTS, SECRET_TEXTS, TEXTS, pick, spliced
 from .text_queries import DOCS_SQL, docs
@@ -249,6 +250,31 @@ def audit_verify_events(spark, sf):
     return A.verify_chain(_tampered(_event_log(spark, sf)), ["log", "chain"]).groupBy("log", "status").agg(F.count("*").alias("n"))
 
 
+@register("audit_verify_long_events", """SELECT event_type AS log, CASE WHEN p > 1 AND (((p - 2) % 200 + 1) % 50 = 0 OR p % 200 = 1) THEN 'broken' ELSE 'ok' END AS status,
+    count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) GROUP BY ALL""")
+def audit_verify_long_events(spark, sf):
+    """Each log read as one chain, as a foreign log is: every new start within it breaks the chain, as every changed line does."""
+    log = _tampered(_event_log(spark, sf)).select("log", (F.col("chain") * 200 + F.col("seq")).alias("seq"), "line")
+    return A.verify_long_chains(log, ["log"]).groupBy("log", "status").agg(F.count("*").alias("n"))
+
+
+@register("audit_rotate_log_events", """WITH s AS (SELECT event_type AS log, count(*) AS n FROM events GROUP BY 1),
+    c AS (SELECT log, n, CASE WHEN n > 1000 THEN (n // 2) // 200 ELSE 0 END AS first FROM s)
+    SELECT log, n - first * 200 AS n_kept, first AS first_chain, first * 200 AS dropped, 0 AS n_wrong FROM c""")
+def audit_rotate_log_events(spark, sf):
+    """Logs of many chains rotated as one, and what stays checked against the seals of the whole."""
+    path = new_path(spark, "log")
+    made = _event_log(spark, sf)
+    made.write.parquet(path)
+    log = spark.read.schema(made.schema).parquet(path)
+    kept, markers = A.rotate_log(log, rows_per_chain=200, limit=1000, timestamp=F.expr(_AT))
+    wrong = A.verify_retained(kept, markers, A.seals(log)).groupBy("log").agg(F.count("*").alias("n_wrong"))
+    dropped = markers.select("log", F.col("chain").alias("marked"), F.get_json_object("line", "$.dropped_count").cast("long").alias("dropped"))
+    out = kept.groupBy("log").agg(F.count("*").alias("n_kept"), F.min("chain").alias("first_chain")).join(dropped, "log", "left").join(wrong, "log", "left")
+    return out.select("log", "n_kept", "first_chain", F.coalesce("dropped", F.lit(0)).cast("long").alias("dropped"),
+                      F.coalesce("n_wrong", F.lit(0)).cast("int").alias("n_wrong"))
+
+
 @register("audit_orphans_events", """SELECT event_type AS log, count(*) AS n FROM (SELECT event_type, (row_number() OVER (PARTITION BY event_type
     ORDER BY event_id) - 1) % 200 + 1 AS s FROM events) WHERE s > 1 AND (s - 1) % 50 = 0 GROUP BY ALL""")
 def audit_orphans_events(spark, sf):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..limits import NESTING_TEXT
-from .expr import each, name, q
+from .expr import each, let, name, q
 from .text import nesting_depth
 
 _BLANKS = r"[\x20\t\r\n]"
@@ -93,27 +93,35 @@ def with_json_parts(df: DataFrame, document: str, prefix: str, max_depth: int, f
     df = df.withColumn(prefix + "deep", F.expr(deep))
     # used twice, which keeps the expression out of the Arrow call
     df = df.withColumn(prefix + "shallow", F.when(F.col(prefix + "deep").isNotNull(), cut_deep(F.col(prefix + "deep"))))
-    df = df.withColumn(prefix + "cut", F.col(prefix + "shallow").isNotNull())
-    df = df.withColumn(prefix + "doc", F.expr(f"coalesce({column('shallow')}, {doc})"))
-    df = df.withColumns({prefix + "tokens": F.expr(f"regexp_extract_all({column('doc')}, {q(_TOKEN)}, 0)"),
-                         prefix + "pieces": F.expr(f"split({column('doc')}, {q(_TOKEN)}, -1)")})
+    df = _step(df, **{prefix + "cut": f"{column('shallow')} IS NOT NULL", prefix + "doc": f"coalesce({column('shallow')}, {doc})"})
+    df = _step(df, **{prefix + "tokens": f"regexp_extract_all({column('doc')}, {q(_TOKEN)}, 0)", prefix + "pieces": f"split({column('doc')}, {q(_TOKEN)}, -1)"})
     tokens, pieces = column("tokens"), column("pieces")
     values = each(tokens, lambda t: f"CASE WHEN endswith({t}, ':') THEN 'null' ELSE {t} END")
-    df = df.withColumn(prefix + "strings", F.expr(f"from_json(concat('[', array_join({values}, ','), ']'), 'array<string>', {_DECODE})"))
     skeleton = (f"concat(array_join(transform({tokens}, (t, i) -> concat(get({pieces}, i), CASE WHEN endswith(t, ':') "
                 f"THEN concat('\"', i, '\":') ELSE '\"\"' END)), ''), element_at({pieces}, -1))")
-    skeleton = f"CASE WHEN {column('cut')} THEN replace({skeleton}, {q(_CUT)}, 'null') ELSE {skeleton} END"
-    decoded = (f"(size({column('strings')}) = size({tokens}) AND forall(zip_with({tokens}, {column('strings')}, "
+    skeleton = let(skeleton, lambda x: f"CASE WHEN {column('cut')} THEN replace({x}, {q(_CUT)}, 'null') ELSE {x} END")
+    df = _step(df, **{prefix + "skeleton": skeleton, prefix + "decoded": f"from_json(concat('[', array_join({values}, ','), ']'), 'array<string>', {_DECODE})"})
+    decoded = (f"(size({column('decoded')}) = size({tokens}) AND forall(zip_with({tokens}, {column('decoded')}, "
                f"(t, s) -> endswith(t, ':') OR s IS NOT NULL), ok -> ok))")
     # the parser does not look beyond the first value: one that must follow it shows that nothing else does
-    parsed = f"try_parse_json(concat('[', {skeleton}, ',\"end\"]'))"
-    ok = f"(try_variant_get({parsed}, '$[1]', 'string') = 'end' AND {decoded})"
-    df = df.withColumn(prefix + "ok", F.expr(f"{doc} IS NULL OR coalesce({ok}, false)"))
+    parsed = f"try_parse_json(concat('[', {column('skeleton')}, ',\"end\"]'))"
+    ok = f"({doc} IS NULL OR coalesce(try_variant_get({parsed}, '$[1]', 'string') = 'end' AND {decoded}, false))"
     otherwise = "NULL" if flag is not None else f"raise_error(concat('not a JSON document: ', left({doc}, 40)))"
-    df = df.withColumn(prefix + "strings", F.expr(f"CASE WHEN {column('ok')} THEN {column('strings')} ELSE {otherwise} END"))
+    strings = let(ok, lambda fine: f"named_struct('strings', CASE WHEN {fine} THEN {column('decoded')} ELSE {otherwise} END, 'bad', NOT {fine})")
+    df = _step(df, **{prefix + "found": strings})
+    df = df.withColumn(prefix + "strings", F.col(f"{column('found')}.strings"))
     if flag is not None:
-        df = df.withColumn(flag, ~F.col(prefix + "ok"))
-    return df.drop(prefix + "deep", prefix + "shallow", prefix + "doc", prefix + "ok")
+        df = df.withColumn(flag, F.col(f"{column('found')}.bad"))
+    return df.drop(*[prefix + c for c in ("deep", "shallow", "doc", "skeleton", "decoded", "found")])
+
+
+def _step(df: DataFrame, **exprs: str) -> DataFrame:
+    """Add columns by a generate of one row: what follows reads them, instead of having the expressions written out in it.
+
+    Without it, Spark would also merge the Arrow call here with that of the cleaning that follows.
+    """
+    fields = ", ".join(f"{q(k)}, {e}" for k, e in exprs.items())
+    return df.select(*[F.col(name(c)) for c in df.columns], F.expr(f"inline(array(named_struct({fields})))"))
 
 
 def json_rebuilt(prefix: str, strings: str) -> str:

@@ -27,6 +27,8 @@ from .common import missing_columns
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 _CHUNK = 100_000
+#: words of texts that are scored together
+_GROUP = 30_000
 
 
 @dataclass(frozen=True)
@@ -178,10 +180,11 @@ def backoff(model: Model, words: list[str]) -> np.ndarray:
         known, cost = model.known([x for g in grams for x in g], n)
         owner = owner[known]
         count = np.bincount(owner, minlength=len(todo))
-        sums = np.zeros((len(todo), len(model.langs)))
-        np.add.at(sums, owner, cost)
         done = count > 0
-        out[todo[done]] = sums[done] / count[done][:, None]
+        if done.any():  # grams stand in the order of their words
+            n_known = count[done]
+            first = np.concatenate(([0], np.cumsum(n_known)[:-1]))
+            out[todo[done]] = np.add.reduceat(cost, first, axis=0, dtype=np.float64) / n_known[:, None]
         todo = todo[~done]
         if not len(todo):
             break
@@ -191,19 +194,33 @@ def backoff(model: Model, words: list[str]) -> np.ndarray:
 def predictions(model: Model, texts, rows: _Rows | None = None) -> tuple[list[str], list[float]]:
     rows = rows if rows is not None else _Rows(model)
     langs, scores = [], []
+    held, n = [], 0
+
+    def score() -> None:
+        # words that are new are scored for many texts at once
+        fresh = {w for words in held if len(words) <= _GROUP for w in words}
+        if fresh and model.langs:
+            rows.of(list(fresh))
+        for words in held:
+            if not words or not model.langs:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            cost = np.zeros(len(model.langs))
+            for at in range(0, len(words), _CHUNK):
+                cost += rows.cost[rows.of(words[at:at + _CHUNK])].sum(0, dtype=np.float64)
+            cost /= len(words)
+            best = int(cost.argmin())  # of equals, the first in the order of names
+            langs.append(model.langs[best])
+            scores.append(float(1 / (10.0 ** (cost[best] - cost)).sum()))
+
     for text in texts:
-        words = words_of(text)
-        if not words or not model.langs:
-            langs.append(UNKNOWN)
-            scores.append(0.0)
-            continue
-        cost = np.zeros(len(model.langs))
-        for at in range(0, len(words), _CHUNK):
-            cost += rows.cost[rows.of(words[at:at + _CHUNK])].sum(0, dtype=np.float64)
-        cost /= len(words)
-        best = int(cost.argmin())  # of equals, the first in the order of names
-        langs.append(model.langs[best])
-        scores.append(float(1 / (10.0 ** (cost[best] - cost)).sum()))
+        held.append(words_of(text))
+        n += len(held[-1])
+        if n >= _GROUP:
+            score()
+            held, n = [], 0
+    score()
     return langs, scores
 
 

@@ -367,15 +367,12 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     release(docs.sparkSession)
     # only candidates come of this: half of each hash will do, since sets of halves differ in no more elements than those of hashes
     halves = all_sets.select("id", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
-    seen = compared(open_pairs, halves, measure, "hub", "id").withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
-    # no set linked to this one differs from it in more than `most` elements
-    most = F.floor(F.col("n_b") * (measure.den - measure.num) / F.lit(measure.num))
-    # of the differences from the hub, the first in this order are all that is needed: not in the hub, by value; then in the hub
-    order = F.concat(F.array_sort("only_b"), F.array_sort("only_a"))
-    need = F.least(F.col("h"), most + 1)
-    seen = staged(seen.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("first"),
-                              F.floor(most / 2).alias("half")), "partenum-compared")
-    release(docs.sparkSession)
+    seen = None
+    for i in range(SLICES):  # hub by hub's hash, so that the sets on their way take a part of the disk at a time
+        slice_ = compared(open_pairs.where(F.pmod(F.xxhash64("hub"), F.lit(SLICES)) == i), halves, measure, "hub", "id")
+        part = staged(first_differences(slice_, measure), "partenum-compared")
+        seen = part if seen is None else seen.unionByName(part)
+        release(docs.sparkSession)
     more = staged(cross_candidates(seen, labels, measure), "partenum-more")
     release(docs.sparkSession)
     more = staged(possible(more, all_sets, measure, "a", "b"), "partenum-possible")
@@ -383,6 +380,21 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     return star_links.unionByName(checked.select("a", "b")).distinct()
 
 
+#: parts in which the pairs whose differences are wanted are compared, one after the other
+SLICES = 4
+
+
+def first_differences(pairs: DataFrame, measure: Measure) -> DataFrame:
+    """(hub, id, near, h, size, first, half) of compared pairs: the elements by which `id` differs from the hub, as many as are needed."""
+    # no set linked to this one differs from it in more than `most` elements
+    most = F.floor(F.col("n_b") * (measure.den - measure.num) / F.lit(measure.num))
+    # of the differences from the hub, the first in this order are all that is needed: not in the hub, by value; then in the hub
+    order = F.concat(F.array_sort("only_b"), F.array_sort("only_a"))
+    need = F.greatest(F.least(F.col("h"), most + 1), F.lit(0)).cast("int")
+    counted = pairs.withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
+    return counted.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), need).alias("first"), F.floor(most / 2).alias("half"))
+
+
 def unsettled(groups: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
     """(hub, id, near) of the groups in which members other than the hub may still have to be linked with each other.
 

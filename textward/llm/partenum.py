@@ -356,6 +356,7 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
     wanted = docs.select(F.col(key).cast("long").alias(key), text).join(involved.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     all_sets = staged(sets(wanted, key, text, measure.words), "partenum-sets")
+    release(docs.sparkSession)
     maybe = staged(possible(stars, all_sets, measure, "hub", "id"), "partenum-maybe")
     release(docs.sparkSession)
     near = compared(maybe, all_sets, measure, "hub", "id").where(linked_sets(measure))
@@ -373,11 +374,22 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
         part = staged(first_differences(slice_, measure), "partenum-compared")
         seen = part if seen is None else seen.unionByName(part)
         release(docs.sparkSession)
-    more = staged(cross_candidates(seen, labels, measure), "partenum-more")
+    more = cross_candidates(seen, labels, measure)
+    release(docs.sparkSession)
+    few = of_pairs(all_sets, more)
+    likely = staged(possible(more, few, measure, "a", "b"), "partenum-possible")
+    checked = compared(likely, of_pairs(all_sets, likely), measure, "a", "b").where(linked_sets(measure))
+    checked = staged(checked.select("a", "b"), "partenum-checked")
+    for done in (all_sets, more, likely):
+        discard(done)
     release(docs.sparkSession)
-    more = staged(possible(more, all_sets, measure, "a", "b"), "partenum-possible")
-    checked = compared(more, all_sets, measure, "a", "b").where(linked_sets(measure))
-    return star_links.unionByName(checked.select("a", "b")).distinct()
+    return star_links.unionByName(checked).distinct()
+
+
+def of_pairs(all_sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that stand in pairs (a, b); few pairs take few sets along."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return all_sets.join(ids, "id", "left_semi")
 
 
 #: parts in which the pairs whose differences are wanted are compared, one after the other
@@ -418,7 +430,7 @@ def linked_sets(measure: Measure):
 
 
 def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): members of one hub, one of them not linked to it, that may link and are not connected yet.
+    """(a, b): members of one hub, one of them not linked to it, that may link and are not connected yet; deletes `seen`.
 
     Let e(x) be the elements in which x and the hub differ; x and y differ in
     |e(x)| + |e(y)| - 2 |e(x) & e(y)|.  With y not linked to the hub, a link needs
@@ -431,6 +443,7 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
     rows = (seen.withColumn("row", F.monotonically_increasing_id()).join(labels, "id", "left")
             .withColumn("component", F.coalesce("component", "id")))
     rows = staged(rows, "partenum-differing")
+    discard(seen)
     early = F.when(F.col("near"), F.size("first")).otherwise(F.least(F.size("first"), (F.col("half") + 1).cast("int")))
     # an even id has the elements that only y may bring, an odd one those that x may bring as well
     parts = F.array(F.struct((F.col("row") * 2).alias("id"), F.filter("first", lambda e, i: i >= early).alias("part")),
@@ -439,6 +452,8 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
     found = repeated(hashed).select("sig", F.shiftright("id", 1).alias("row"), (F.col("id") % 2 == 1).alias("early"))
     info = rows.select("row", "hub", "id", "near", "h", "size", "component")
     found = staged(found.join(info, "row"), "partenum-elements")
+    discard(rows)
+    release(seen.sparkSession)
     spread = found.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
     some = found.join(spread.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
     x = some.where("early").select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"))
@@ -447,7 +462,9 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
     may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
     pairs = (x.join(y, ["sig", "hub"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
              .withColumn("n", F.col("na") + F.col("nb")).withColumn("d", F.abs(F.col("na") - F.col("nb"))).where(may))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "partenum-more")
+    discard(found)
+    return out
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = Measure()) -> DataFrame:

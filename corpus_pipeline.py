@@ -24,8 +24,10 @@ KEEP = 0.9
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: `lang` becomes the predicted language; documents without letters or without a clear language go."""
     model = langid.fit(docs.where(~held_out("doc_id")))
-    # the row goes along as one value, so that no name of a column is in the way
-    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), langid.predict(docs, model).alias("p"))
+    # the row goes along as one value, so that no name of a column is in the way; a filter is not pushed below a generate,
+    # so each text is scored once (as a plain column it would be scored for the filter and again for the result)
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.explode(F.array(langid.predict(docs, model))).alias("p"))
     return (known.where((F.col("p.lang_pred") != langid.UNKNOWN) & (F.col("p.score") >= LEAST_SCORE))
             .select(*[(F.col("p.lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
 

@@ -15,6 +15,7 @@ DETECTIONS = f"array<{DETECTION}>"
 NO_DETECTIONS = f"cast(array() as {DETECTIONS})"
 
 _names = itertools.count()
+_NOTHING = "cast(array() as array<int>)"
 
 
 def q(text: str) -> str:
@@ -34,13 +35,13 @@ def fresh() -> str:
 def let(value: str, body: Callable[[str], str]) -> str:
     """``body(value)`` with ``value`` computed once, however often it is used.
 
-    A one-element ``transform`` binds the value to a lambda variable.  A chain
-    of dependent steps stays one expression that also works inside arrays and
-    maps, and hands a large text on by reference instead of copying the row
-    once per step.
+    An ``aggregate`` over no elements binds the value, its start, to the lambda
+    variable of its last step.  A chain of dependent steps stays one expression that
+    also works inside arrays and maps, and hands a large text on by reference
+    (``transform`` would copy every result, and with it the text, once per step).
     """
-    v = fresh()
-    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
+    a, x, v = fresh(), fresh(), fresh()
+    return f"aggregate({_NOTHING}, {value}, ({a}, {x}) -> {a}, {v} -> {body(v)})"
 
 
 def each(array: str, body: Callable[[str], str]) -> str:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 from ..rules import Rule
-from .expr import fold_case, q
+from .expr import each, fold_case, let, q
 
 # Letters from rare to frequent; anything else (signs, digits) is rarer still.
 _RARITY = "zqjxkvbpygfwmucldrhsnioate"
+# of a long, without its sign
+_BITS = 63
 
 
 def _anchor(word: str) -> int:
@@ -57,13 +59,34 @@ class Gates:
         self.tokens = sorted({token(w) for w in self.words})
 
     def found_in(self, text: str) -> str:
-        """Array of the tokens that occur in the text."""
-        return f"array_distinct(regexp_extract_all({fold_case(text)}, {q(pattern_of(self.words))}, 1))"
+        """The tokens that occur in the text, as an array of numbers with a bit for each."""
+        hits = f"array_distinct(regexp_extract_all({fold_case(text)}, {q(pattern_of(self.words))}, 1))"
+        known = f"array({', '.join(map(q, self.tokens))})"
+        n = -(-len(self.tokens) // _BITS)
+
+        def words(at):
+            def word(j):
+                mine = "" if n == 1 else f"WHEN p < {j * _BITS} OR p >= {(j + 1) * _BITS} THEN m "
+                return f"aggregate({at}, 0L, (m, p) -> CASE {mine}ELSE m | shiftleft(1L, cast(p - {j * _BITS} as int)) END)" if mine else (
+                    f"aggregate({at}, 0L, (m, p) -> m | shiftleft(1L, cast(p as int)))")
+
+            return f"array({', '.join(map(word, range(n)))})"
+
+        return let(each(hits, lambda t: f"(array_position({known}, {t}) - 1)"), words)
+
+    def any_found(self, found: str) -> str:
+        return self._some(found, self.tokens)
 
     def has(self, found: str, *words: str) -> str:
         """Whether one of the words may be in the text the tokens come from."""
-        wanted = [t for t in self.tokens if any(t.startswith(token(w)) for w in words)]
-        return f"arrays_overlap({found}, array({', '.join(map(q, wanted))}))"
+        return self._some(found, [t for t in self.tokens if any(t.startswith(token(w)) for w in words)])
+
+    def _some(self, found: str, tokens) -> str:
+        masks: dict[int, int] = {}
+        for t in tokens:
+            j, bit = divmod(self.tokens.index(t), _BITS)
+            masks[j] = masks.get(j, 0) | 1 << bit
+        return "(" + " OR ".join(f"(get({found}, {j}) & {m}L) <> 0L" for j, m in sorted(masks.items())) + ")"
 
     def open(self, found: str, rule: Rule) -> str:
         """Whether the found tokens allow the rule to match."""

@@ -81,7 +81,7 @@ def secret_hits(text: str, found: str, gates: Gates, rules=SECRETS) -> str:
         return f"CASE WHEN {gates.open(found, r)} THEN {hits} ELSE {empty} END"
 
     empty = "cast(array() as array<struct<vector:string,severity:string,evidence:string>>)"
-    return f"CASE WHEN size({found}) > 0 THEN concat({', '.join(map(of_rule, rules))}) ELSE {empty} END"
+    return f"CASE WHEN {gates.any_found(found)} THEN concat({', '.join(map(of_rule, rules))}) ELSE {empty} END"
 
 
 def scan_secrets(df: DataFrame, col: str, *keys: str, path_col: str | None = None) -> DataFrame:

@@ -128,16 +128,19 @@ def _each(first: str, *words: str) -> tuple[tuple[str, ...], ...]:
 SQL = [
     Rule("sql_injection", "sql_drop_alter", "critical",
          r"(?i)\b(DROP|ALTER|TRUNCATE|DELETE\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET)\b\s",
-         gate=_any("drop", "alter", "truncate", "delete", "insert", "update")),
+         gate=_any("drop", "alter", "truncate", "delete", "insert", "update"),
+         probe=(r"(?i:[dDaAtTiIuU\u0130\u0131](?:rop|lter|runcate|elete|nsert|pdate)\s)",)),
     Rule("sql_injection", "sql_union_select", "critical",
          r"(?i)\bUNION\s+(ALL\s+)?SELECT\b",
          gate=(("union", "select"),)),
     Rule("sql_injection", "sql_time_delay", "critical",
          r"(?i)\b(WAITFOR\s+DELAY|SLEEP\s*\(|BENCHMARK\s*\(|pg_sleep\s*\()",
-         gate=_any("waitfor", "sleep", "benchmark")),
+         gate=_any("waitfor", "sleep", "benchmark"),
+         probe=(r"(?i:[wWsSbB\u017f](?:aitfor\s|leep\s*+\(|enchmark\s*+\())",)),
     Rule("sql_injection", "sql_boolean_blind", "high",
          r"""(?i)\b(OR|AND)\s+['\"]?\d+['\"]?\s*=\s*['\"]?\d+['\"]?""",
-         gate=_any("=")),
+         gate=_any("="),
+         probe=(r"""\d['"]?+\s*+=\s*+['"]?+\d""",)),
     Rule("sql_injection", "sql_stacked_query", "critical",
          r"(?i);\s*(DROP|ALTER|EXEC|EXECUTE|xp_cmdshell|sp_executesql)",
          gate=_each(";", "drop", "alter", "exec", "xp_cmdshell")),
@@ -186,7 +189,8 @@ XSS = [
          linear=r"(?i)<\s*+(?:/\s*+)?+script[\s>]"),
     Rule("xss", "xss_event_handler", "critical",
          r"""(?i)\bon\w+\s*=\s*['\"]""",
-         gate=_any("=")),
+         gate=_any("="),
+         probe=(r"""[oO][nN]\w++\s*+=\s*+['"]""",)),
     Rule("xss", "xss_js_uri", "critical",
          r"(?i)javascript\s*:",
          gate=_any("javascript")),
@@ -258,6 +262,7 @@ JSON = [
     Rule("json_injection", "json_script_field", "critical",
          r"""(?i)["\']?\s*(?:on\w+|src|href|action|formaction)\s*["\']?\s*:\s*["\'](?:javascript:|data:)""",
          gate=_each(":", "javascript:", "data:"),
+         probe=(r"""(?i::\s*+["'](?:javascript:|data:))""",),
          linear=r"""(?i)(?:["']\s*+|(?<!\s)\s*+)(?:on\w++|src|href|action|formaction)\s*+(?:["']\s*+)?+:\s*+["'](?:javascript:|data:)"""),
 ]
 

@@ -53,12 +53,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: bytes of files that one task is to clean at most, on average
+TASK_BYTES = 16 << 20
+#: Spark states a size beyond this for plans whose size it does not know
+UNKNOWN_SIZE = 1 << 60
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that yields fewer tasks than there are cores one task per core.
+    """Give a scan that yields too few tasks one per core at least, and one per ``TASK_BYTES`` of its files.
 
     Cleaning text costs far more than moving it, and a file with one row group
-    is read by one task however large it is.  Tables of many files, the normal
-    case on a cluster, are returned as they are.  Call this on a plain scan.
+    is read by one task however large it is.  Scans of enough tasks
+    are returned as they are.  Call this on a plain scan, or on a batch of a stream, whose size is
+    not known to Spark: it gets one task per core.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = -(-size // TASK_BYTES) if size < UNKNOWN_SIZE else 1
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, tasks)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

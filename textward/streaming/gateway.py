@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.reports import threats_found
 from ..operators.audit import EDGE, audit_entries, build_chain, exploded_edge, finished, grown, latest_seals, next_heads, verify_log
 from ..operators.sanitize import sanitize
+from ..session import spread
 
 SEAL_SCHEMA = "log string, level int, node long, n long, hash string, batch_id long"
 HEAD_SCHEMA = f"log string, head_seq long, head_hash string, edge {EDGE}"
@@ -29,7 +30,7 @@ def write_with_audit(stream: DataFrame, col: str, key: str, data_path: str, audi
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows_path, log_path = f"{data_path}/batch_id={batch_id}", f"{audit_path}/batch_id={batch_id}"
-        clean = sanitize(batch, col, context, cleaned="__clean").drop(col).withColumnRenamed("__clean", col)
+        clean = sanitize(spread(batch), col, context, cleaned="__clean").drop(col).withColumnRenamed("__clean", col)
         clean.write.mode("overwrite").parquet(rows_path)
         written = spark.read.schema(clean.schema).parquet(rows_path)
         heads = None

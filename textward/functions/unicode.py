@@ -19,10 +19,11 @@ from .expr import is_ascii, let, name, q, replace, when
 # character before them: Latin, Cyrillic, Hebrew letters, general punctuation,
 # currency signs, CJK and Hangul syllables.  (Checked against unicodedata in
 # the tests.)  Anything else may need normalising.
-STABLE = (r"\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{5d0}-\x{5ea}\x{2010}-\x{205f}\x{20a0}-\x{20bf}"
+STABLE = (r"\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{5d0}-\x{5ea}\x{2002}-\x{2064}\x{2066}-\x{206f}\x{20a0}-\x{20bf}"
           r"\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30a0}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
-          r"\x{ff00}-\x{ffef}")
-_UNSTABLE = f"[^{STABLE}]"
+          r"\x{feff}-\x{ffef}")
+# one range first: a much cheaper test for most characters
+_UNSTABLE = rf"(?=[^\x{{0}}-\x{{2ff}}])[^{STABLE}]"
 
 
 def homoglyph_ratio(text: str) -> str:
@@ -71,12 +72,16 @@ def normalise_states(dtype: T.DataType):
     Everything it calls is defined inside it, so it is shipped by value and the
     executors do not need this package.
     """
+    def in_slices(change, arr, n=64):
+        """Few texts at a time, so that what a step makes of them on its way does not grow with the batch."""
+        parts = [change(arr.slice(i, n)) for i in range(0, len(arr), n)]
+        return pa.concat_arrays(parts) if parts else arr
+
     def nfc(arr):
-        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in arr.to_pylist()], arr.type)
+        return in_slices(lambda a: pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in a.to_pylist()], a.type), arr)
 
     def ascii_form(arr):
-        wide = pc.utf8_normalize(arr, form="NFKD")
-        return pc.replace_substring_regex(wide, r"[^\x00-\x7F]", "")
+        return in_slices(lambda a: pc.replace_substring_regex(pc.utf8_normalize(a, form="NFKD"), r"[^\x00-\x7F]", ""), arr)
 
     def tree(arr):
         kind = arr.type

@@ -161,6 +161,56 @@ def test_similar_sets_share_a_signature():
             assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+def variants(rng, base, n, first):
+    """`n` texts of the words of `base` with six of them replaced, which puts them far from each other at 0.9."""
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(len(words), 6, replace=False):
+            words[at] = f"x{first + i}y{at}"
+        out.append((first + i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 4, 32])
+def test_groups_of_unlinked_members_make_few_candidates(spark, monkeypatch, few):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows += variants(rng, base, 30, 1000 * g)
+        off = rows[-1][1].split()  # near copies, and equal sets, of a text that is far from the hub
+        rows += [(1000 * g + 500 + i, " ".join(off[:i] + ["z"] + off[i + 1:])) for i in range(0, 120, 8)]
+        rows += [(1000 * g + 800 + i, " ".join(off) + " " * i) for i in range(10)]
+    measure = partenum.Measure(words=3, num=90, den=100, n2=2)
+    tables, real = {}, partenum.staged
+
+    def staged(df, label):
+        tables[label] = out = real(df, label)
+        tables[label + " rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "FEW", few)
+    monkeypatch.setattr(partenum, "HELD_PAIRS", 7)
+    monkeypatch.setattr(partenum, "staged", staged)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in partenum.joined(docs, measure=measure).collect()}
+    assert got == brute_components(rows, measure)
+    # of the members whose pairs are not formed at once, the marks rule out what is far apart before it is a row
+    assert tables["partenum-more rows"] <= len(rows)
+
+
+def test_parities_differ_in_no_more_cells_than_sets_in_elements():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 63, 64, 200, 1500):
+        for gone, new in ((0, 0), (1, 0), (n // 10, 3), (n // 2, n)):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64))))
+            x, y = (partenum.parities(v, 1 << max(6, len(v).bit_length())) for v in (a, b))
+            assert partenum.differing_bits(x, y) <= len(np.setxor1d(a, b))
+            assert partenum.differing_bits(x, x) == 0
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

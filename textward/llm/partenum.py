@@ -6,17 +6,21 @@ into n2 parts again: of the n1, one has at most one differing element, so all
 but one of its n2 parts are equal.  A set has a signature for each such subset
 of parts; similar sets share one.
 
-What shares a signature is compared exactly, without forming all pairs: each
-member with the group's hub, the member with the most company; and members of
-which one is not linked to the hub by their differences from it, of which two
-linked sets must share one of a few, the first in a fixed order.  Before full
-sets meet, sketches of a byte per element or so rule out the pairs that differ in
-more cells than linked sets can differ in elements.
+What shares a signature is compared exactly, without forming all pairs of a
+large group: each member with the group's hub, the member with the most company.
+Where members are left that the hub does not connect, one of each run of equal
+sets goes on.  A group of few forms its pairs, at most FEW / 2 to a member.  In a
+larger one members meet by their differences from the hub, of which two linked
+sets must share one of a few, the first in a fixed order.  Before full sets meet,
+a bit per element or so (the parity of the elements that fall into it) and then a
+byte rule out the pairs that differ in more cells than linked sets can differ in
+elements.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -279,25 +283,55 @@ def differing_cells(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a != b))
 
 
+def parities(values: np.ndarray, m: int) -> np.ndarray:
+    """A bit per cell of m, whether an odd number of elements falls into it; eight cells to a byte."""
+    h = mixed(values ^ np.uint64(0x1B873593CC9E2D51)) & np.uint64(m - 1)
+    return np.packbits((np.bincount(h.astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little")
+
+
+def differing_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """At most as many as elements that only one of two sets has; of parities the one with more cells is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+#: longs of parities that go along with each element of a large group
+MARKS = 4
+
+
 def sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, elements, sketch) of each row."""
+    """(id, n, elements, sketch, parity, marks, digest) of each row; equal sets have equal digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, values, sizes in shingle_sets(batch.column(1), words):
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
-                drawn = [sketch(values[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                each = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                marks = np.concatenate([parities(v, 64 * MARKS) for v in each] or [np.zeros(0, np.uint8)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sizes)),
-                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))), pa.array(drawn, pa.binary())],
-                    names=["id", "elements", "sketch"])
+                    [batch.column(0).slice(row, len(sizes)), pa.array(sizes, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))),
+                     pa.array([sketch(v).tobytes() for v in each], pa.binary()),
+                     pa.array([parities(v, 1 << max(6, len(v).bit_length())).tobytes() for v in each], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * MARKS, pa.int32()), pa.array(marks)),
+                     pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in each], pa.binary())],
+                    names=["id", "n", "elements", "sketch", "parity", "marks", "digest"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, elements array<long>, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(
+        run, "id long, n long, elements array<long>, sketch binary, parity binary, marks array<long>, digest binary")
 
 
 def possible(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b: str) -> DataFrame:
-    """The (a, b) of `pairs` that sizes and sketches do not rule out; no linked pair is left out."""
-    drawn = all_sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
+    """The (a, b) of `pairs` that sizes, parities and sketches do not rule out; no linked pair is left out."""
+    return _passing(_passing(pairs, all_sets, measure, a, b, "parity", differing_bits), all_sets, measure, a, b, "sketch", differing_cells)
+
+
+def _passing(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b: str, by: str,
+             differing: Callable[[np.ndarray, np.ndarray], int]) -> DataFrame:
+    drawn = all_sets.select("id", "n", F.col(by).alias("sketch"))
     both = (pairs.select(a, b).alias("p").join(drawn.alias("y").hint("merge"), F.col(f"p.{b}") == F.col("y.id"))
             .where(F.col("y.n") > 0).join(drawn.alias("x").hint("merge"), F.col(f"p.{a}") == F.col("x.id"))
             .select(F.col(f"p.{a}").alias("a"), F.col(f"p.{b}").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"),
@@ -307,7 +341,7 @@ def possible(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = np.array([differing_cells(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
+            apart = np.array([differing(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
                               for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], [a, b]).filter(pa.array(apart <= measure.differing(n)))
 
@@ -362,10 +396,17 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     near = compared(maybe, all_sets, measure, "hub", "id").where(linked_sets(measure))
     near = staged(near.select("hub", "id"), "partenum-near")
     star_links = near.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    equal = staged(copies(all_sets), "partenum-copies")
+    star_links = star_links.unionByName(equal.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     labels = components(star_links)
-    open_pairs = unsettled(groups, near, labels)
+    left = unsettled(groups, near, labels, equal)
     discard(groups)
     release(docs.sparkSession)
+    many = left.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > FEW).select("sig")
+    open_pairs = staged(left.join(many, "sig", "left_semi").select("hub", "id", "near").distinct(), "partenum-open")
+    direct = staged(few_pairs(left.join(many, "sig", "left_anti"), measure), "partenum-direct")
+    discard(left)
+    release(docs.sparkSession)
     # only candidates come of this: half of each hash will do, since sets of halves differ in no more elements than those of hashes
     halves = all_sets.select("id", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
     seen = None
@@ -374,13 +415,14 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
         part = staged(first_differences(slice_, measure), "partenum-compared")
         seen = part if seen is None else seen.unionByName(part)
         release(docs.sparkSession)
-    more = cross_candidates(seen, labels, measure)
+    across = cross_candidates(seen, labels, all_sets, measure)
     release(docs.sparkSession)
+    more = direct.unionByName(across).distinct()
     few = of_pairs(all_sets, more)
     likely = staged(possible(more, few, measure, "a", "b"), "partenum-possible")
     checked = compared(likely, of_pairs(all_sets, likely), measure, "a", "b").where(linked_sets(measure))
     checked = staged(checked.select("a", "b"), "partenum-checked")
-    for done in (all_sets, more, likely):
+    for done in (all_sets, direct, across, likely):
         discard(done)
     release(docs.sparkSession)
     return star_links.unionByName(checked).distinct()
@@ -407,29 +449,72 @@ def first_differences(pairs: DataFrame, measure: Measure) -> DataFrame:
     return counted.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), need).alias("first"), F.floor(most / 2).alias("half"))
 
 
-def unsettled(groups: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, id, near) of the groups in which members other than the hub may still have to be linked with each other.
+def copies(all_sets: DataFrame) -> DataFrame:
+    """(id, n, rep): the smallest id that has the same set."""
+    rep = all_sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    return all_sets.select("id", "n", "digest").join(rep, "digest").select("id", "n", "rep")
+
+
+def unsettled(groups: DataFrame, near: DataFrame, labels: DataFrame, equal: DataFrame) -> DataFrame:
+    """(sig, hub, id, near, component, n) of the groups in which members other than the hub may still have to be linked.
 
     That needs two of them that are not connected yet, one of which is not linked to the hub: two that both are, are
-    connected by it.
+    connected by it.  Of equal sets, which are connected already, one stands for all.
     """
     known = (groups.join(near.withColumn("near", F.lit(True)), ["hub", "id"], "left").join(labels, "id", "left")
              .select("sig", "hub", "id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("component", "id").alias("component")))
     known = staged(known, "partenum-known")
     states = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
-    out = staged(known.select("sig", "hub", "id", "near").join(states.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
-                 .select("hub", "id", "near").distinct(), "partenum-open")
+    out = staged(known.join(states.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi").join(equal, "id")
+                 .groupBy("sig", "hub", F.col("rep").alias("id"), "component", "n").agg(F.bool_and("near").alias("near")), "partenum-left")
     discard(known)
     return out
 
 
+#: members of a group, besides the hub, whose pairs are formed at once; pairs that a task holds at a time
+FEW, HELD_PAIRS = 32, 1 << 14
+
+
+def few_pairs(left: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): the pairs of members of small groups that are not connected, one of them not linked to the hub, and that sizes do not rule out.
+
+    Near copies share most of their signatures, so groups of the same members are told once.
+    """
+    groups = left.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("id", "near", "component", "n"))).alias("m")).select("m").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            at = lists.offsets.to_numpy()
+            own, near, component, n = (x.to_numpy(zero_copy_only=False) for x in lists.values.flatten())
+            out, held = [], 0
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                x, y = np.triu_indices(j - i, 1)
+                x, y = x + i, y + i
+                may = ((component[x] != component[y]) & (own[x] != own[y]) & ~(near[x] & near[y])
+                       & (np.abs(n[x] - n[y]) * (measure.den + measure.num) <= (n[x] + n[y]) * (measure.den - measure.num)))
+                out.append(np.sort(np.stack((own[x[may]], own[y[may]])), axis=0))
+                held += out[-1].shape[1]
+                if held >= HELD_PAIRS:
+                    yield told(out)
+                    out, held = [], 0
+            if held:
+                yield told(out)
+
+    def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
 def linked_sets(measure: Measure):
     """`linked` on the columns that `compared` adds."""
     h = F.size("only_a") + F.size("only_b")
     return h * (measure.den + measure.num) <= (F.col("n_a") + F.col("n_b")) * (measure.den - measure.num)
 
 
-def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
+def cross_candidates(seen: DataFrame, labels: DataFrame, all_sets: DataFrame, measure: Measure) -> DataFrame:
     """(a, b): members of one hub, one of them not linked to it, that may link and are not connected yet; deletes `seen`.
 
     Let e(x) be the elements in which x and the hub differ; x and y differ in
@@ -450,16 +535,19 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, measure: Measure) -> Da
                     F.struct((F.col("row") * 2 + 1).alias("id"), F.filter("first", lambda e, i: i < early).alias("part")))
     hashed = rows.select("hub", F.explode(parts).alias("p")).select("p.id", F.expr("transform(p.part, e -> xxhash64(hub, e))").alias("sigs"))
     found = repeated(hashed).select("sig", F.shiftright("id", 1).alias("row"), (F.col("id") % 2 == 1).alias("early"))
-    info = rows.select("row", "hub", "id", "near", "h", "size", "component")
+    # an id with several texts has a row with each one's marks
+    info = rows.select("row", "hub", "id", "near", "h", "size", "component").join(all_sets.select("id", "marks"), "id")
     found = staged(found.join(info, "row"), "partenum-elements")
     discard(rows)
     release(seen.sparkSession)
     spread = found.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
     some = found.join(spread.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
-    x = some.where("early").select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"))
-    y = some.where("NOT near").select("sig", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"))
-    # sizes alone, and by the triangle inequality the differences from the hub, rule many pairs out
-    may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
+    x = some.where("early").select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"), F.col("marks").alias("ma"))
+    y = some.where("NOT near").select("sig", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"), F.col("marks").alias("mb"))
+    # sizes alone, by the triangle inequality the differences from the hub, and the marks rule pairs out before they are rows
+    apart = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MARKS))
+    may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num))
+           & (apart * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
     pairs = (x.join(y, ["sig", "hub"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
              .withColumn("n", F.col("na") + F.col("nb")).withColumn("d", F.abs(F.col("na") - F.col("nb"))).where(may))
     out = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "partenum-more")

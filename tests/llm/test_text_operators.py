@@ -200,6 +200,46 @@ def test_groups_of_unlinked_members_make_few_candidates(spark, monkeypatch, few)
     assert tables["partenum-more rows"] <= len(rows)
 
 
+def test_members_meet_by_few_of_their_differences(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(60):  # windows left out, of which members share elements; those of few words are linked to the hub
+        n, at = (2 if i % 2 else 24), int(rng.integers(5, 130))
+        rows.append((i, " ".join(base[:at] + [f"x{i}"] + base[at + n:])))
+    measure = partenum.Measure(words=3, num=90, den=100, n2=2)
+    rows_of, real = {}, partenum.staged
+
+    def staged(df, label):
+        out = real(df, label)
+        rows_of[label] = out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "FEW", 0)
+    monkeypatch.setattr(partenum, "staged", staged)
+    got = {r.id: (r.n_shingles, r.component_id) for r in partenum.joined(spark.createDataFrame(rows, "doc_id long, text string"), measure=measure).collect()}
+    assert got == brute_components(rows, measure)
+    assert 0 < rows_of["partenum-elements"] <= 600
+
+
+def test_only_elements_that_meet_are_told():
+    kinds = [(0, 0), (0, 1), (0, 3), (1,), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (1, 2, 3), (0, 2, 3)]
+    want = [(0, 0), (1, 1), (1, 1), (0,), (1, 1), (1, 1), (0, 0), (0, 0), (0, 0), (0, 0), (1, 1, 0), (1, 1, 1)]
+    ids = np.array([4 * i + k for group in kinds for i, k in enumerate(group)])
+    got = partenum.meeting(ids, np.cumsum([0] + [len(k) for k in kinds[:-1]]))
+    assert got.tolist() == [bool(k) for group in want for k in group]
+
+
+def test_signatures_are_packed_where_they_are_made(spark, docs):
+    measure = partenum.Measure()
+    sigs = partenum.signed(docs, "doc_id", "text", measure).where("id IS NOT NULL").select("id", "sigs")
+    direct = partenum.repeated_in(docs, "doc_id", "text", measure)
+    key = lambda df: sorted((r.sig, r.id) for r in df.collect())
+    assert key(direct) == key(partenum.repeated(sigs))
+    # one worker signs and packs, the other is behind the exchange
+    assert direct._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
 def test_parities_differ_in_no_more_cells_than_sets_in_elements():
     rng = np.random.default_rng(6)
     for n in (0, 1, 5, 63, 64, 200, 1500):

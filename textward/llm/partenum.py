@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, missing_columns, release, staged
@@ -135,7 +135,10 @@ def _signed(values, first, sizes, chosen, band, measure, bands, scheme):
 
 def signed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(id, n_shingles, sigs) of each row."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(_signer(measure), "id long, n_shingles long, sigs array<long>")
 
+
+def _signer(measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(measure, 1 << 12)
         for batch in batches:
@@ -150,21 +153,41 @@ def signed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sig[order].view(np.int64)))],
                     names=["id", "n_shingles", "sigs"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, sigs array<long>")
+    return run
+
 
+#: given ids in order of their signatures and the first place of each signature, the mask of the ids that are needed
+Needed = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def repeated(sigs: DataFrame) -> DataFrame:
-    """(sig, id) of the signatures that stand more than once in the table; a few others may go along.
+
+def repeated(sigs: DataFrame, needed: Needed | None = None) -> DataFrame:
+    """(sig, id) of the signatures that stand more than once in the table (id, sigs); a few others may go along.
 
     Most signatures stand once.  To find those that do not, tasks send each range of the hash space its signatures in
     packed form, sorted and compressed, a third of the bytes of rows.  There are four ranges per shuffle partition;
     32 bits of a signature and its range are kept, and one that falls together with another only adds a candidate.
     """
-    spark = sigs.sparkSession
-    n = spark.conf.get("spark.sql.shuffle.partitions")
-    parts = 4 * int(n)
-    dealt = sigs.mapInArrow(_packer(parts), "part int, packed binary").repartition(int(n), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_repeats, "sig long, id long")
+    return _found(sigs.mapInArrow(_packer(_ranges(sigs)), "part int, packed binary"), needed)
+
+
+def repeated_in(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
+    """`repeated` of the signatures of texts with a key, signed and packed by one Python worker; they are never rows."""
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text)).where("id IS NOT NULL")
+    sign, pack_ = _signer(measure), _packer(_ranges(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack_(batch.select(["id", "sigs"]) for batch in sign(batches))
+
+    return _found(texts.mapInArrow(run, "part int, packed binary"))
+
+
+def _ranges(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _found(packed: DataFrame, needed: Needed | None = None) -> DataFrame:
+    dealt = packed.repartition(_ranges(packed) // 4, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda batches: _repeats(batches, needed), "sig long, id long")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -231,7 +254,7 @@ def _packer(parts: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], needed: Needed | None = None) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part.  Of a part that is too large to be held, all goes on; what stands once is then found by the count."""
     part, held, n, whole = None, [], 0, True
 
@@ -243,6 +266,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = values[1:] == values[:-1]
             kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
             values, ids = values[kept], ids[kept]
+            if needed and len(values):
+                kept = needed(ids, np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))))
+                values, ids = values[kept], ids[kept]
         sig = values.astype(np.int64) + (np.int64(part) << np.int64(32))
         for i in range(0, len(sig), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(sig[i:i + (1 << 17)]), pa.array(ids[i:i + (1 << 17)])], ["sig", "id"])
@@ -348,12 +374,11 @@ def _passing(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
     return sized.mapInArrow(run, f"{a} long, {b} long")
 
 
-def members(sigs: DataFrame) -> DataFrame:
-    """(sig, hub, id): of each signature that several ids have, every other id with the hub.
+def members(own: DataFrame) -> DataFrame:
+    """(sig, hub, id): of each signature (`own`: sig, id) that several ids have, every other id with the hub.
 
     The hub is the id that shares most signatures with others, counted over all its signatures.
     """
-    own = repeated(sigs.where("id IS NOT NULL").select("id", "sigs"))
     shared = own.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     shared = staged(shared, "partenum-shared")
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
@@ -382,9 +407,9 @@ def compared(pairs: DataFrame, all_sets: DataFrame, measure: Measure, a: str, b:
                        F.array_except(x, y).alias("only_a"), F.array_except(y, x).alias("only_b"))
 
 
-def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
-    """(a, b): links enough to connect whatever links connect, each one verified on the full sets."""
-    groups = members(sigs)
+def links(docs: DataFrame, own: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
+    """(a, b): links enough to connect whatever links connect, each one verified on the full sets; `own` has the repeated signatures (sig, id)."""
+    groups = members(own)
     release(docs.sparkSession)
     stars = staged(groups.select("hub", "id").distinct(), "partenum-stars")
     involved = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
@@ -407,11 +432,9 @@ def links(docs: DataFrame, sigs: DataFrame, key: str, text: str, measure: Measur
     direct = staged(few_pairs(left.join(many, "sig", "left_anti"), measure), "partenum-direct")
     discard(left)
     release(docs.sparkSession)
-    # only candidates come of this: half of each hash will do, since sets of halves differ in no more elements than those of hashes
-    halves = all_sets.select("id", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
     seen = None
     for i in range(SLICES):  # hub by hub's hash, so that the sets on their way take a part of the disk at a time
-        slice_ = compared(open_pairs.where(F.pmod(F.xxhash64("hub"), F.lit(SLICES)) == i), halves, measure, "hub", "id")
+        slice_ = compared(open_pairs.where(F.pmod(F.xxhash64("hub"), F.lit(SLICES)) == i), all_sets.select("id", "elements"), measure, "hub", "id")
         part = staged(first_differences(slice_, measure), "partenum-compared")
         seen = part if seen is None else seen.unionByName(part)
         release(docs.sparkSession)
@@ -439,14 +462,23 @@ SLICES = 4
 
 
 def first_differences(pairs: DataFrame, measure: Measure) -> DataFrame:
-    """(hub, id, near, h, size, first, half) of compared pairs: the elements by which `id` differs from the hub, as many as are needed."""
+    """(hub, id, near, h, size, first, early, mid) of compared pairs: the elements by which `id` differs from the hub, as many as are needed.
+
+    With `cross_candidates`' e, sets x and y that link share more than h(x) - m of e(x) if m bounds (h(x) - h(y) + d) / 2,
+    d the most that they can differ in; the first m + 1 of e(x) then hold a shared one.  As y is not linked to the hub,
+    h(y) > r (n(hub) + n(y)) with d = r (n(x) + n(y)), and m = (h(x) + r (n(x) - n(hub))) / 2 will do; d / 2 will, if h(x) <= h(y), and d always.
+    """
+    less, more = measure.den - measure.num, measure.den + measure.num
     # no set linked to this one differs from it in more than `most` elements
-    most = F.floor(F.col("n_b") * (measure.den - measure.num) / F.lit(measure.num))
+    most = F.floor(F.col("n_b") * less / F.lit(measure.num))
+    bound = F.floor((F.col("h") * more + (F.col("n_b") - F.col("n_a")) * less) / F.lit(2 * more))
     # of the differences from the hub, the first in this order are all that is needed: not in the hub, by value; then in the hub
     order = F.concat(F.array_sort("only_b"), F.array_sort("only_a"))
-    need = F.greatest(F.least(F.col("h"), most + 1), F.lit(0)).cast("int")
+    early = F.least(F.when(F.col("near"), most).otherwise(F.floor(most / 2)), bound) + 1
+    need = F.least(F.col("h"), F.when(F.col("near"), early).otherwise(most + 1)).cast("int")
     counted = pairs.withColumn("h", (F.size("only_a") + F.size("only_b")).cast("long"))
-    return counted.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), need).alias("first"), F.floor(most / 2).alias("half"))
+    return counted.select("hub", "id", "near", "h", F.col("n_b").alias("size"), F.slice(order, F.lit(1), need).alias("first"),
+                          early.alias("early"), (F.least(most, bound) + 1).alias("mid"))
 
 
 def copies(all_sets: DataFrame) -> DataFrame:
@@ -514,27 +546,42 @@ def linked_sets(measure: Measure):
     return h * (measure.den + measure.num) <= (F.col("n_a") + F.col("n_b")) * (measure.den - measure.num)
 
 
+#: an element that x brings, being linked to the hub, or not; one that only y brings; one that y brings to such x as are linked to the hub
+LINKED_EARLY, EARLY, MID, LATE = range(4)
+
+
+def meeting(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`Needed` of `cross_candidates`: whether an id's element has one of another row to meet."""
+    kind = ids & 3
+    linked_early, early, mid, late = (np.add.reduceat(kind == k, first, dtype=np.int64) for k in range(4))
+    met = np.stack((early + mid + late > 0, (linked_early > 0) | (early + mid > 1), linked_early + early > 0, linked_early > 0))
+    return met[kind, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))]
+
+
 def cross_candidates(seen: DataFrame, labels: DataFrame, all_sets: DataFrame, measure: Measure) -> DataFrame:
     """(a, b): members of one hub, one of them not linked to it, that may link and are not connected yet; deletes `seen`.
 
     Let e(x) be the elements in which x and the hub differ; x and y differ in
     |e(x)| + |e(y)| - 2 |e(x) & e(y)|.  With y not linked to the hub, a link needs
-    so large an intersection that, in any fixed order, the first most / 2 + 1 of e(x), the smaller
-    (or the first most + 1, if x is linked to the hub), and the first most + 1 of e(y) have one in common.
+    so large an intersection that, in any fixed order, the first `early` of e(x), x the smaller or linked to the hub, and
+    the first `mid` of e(y) (or all of `first`, if x is linked to the hub) have one in common; see `first_differences`.
 
     Most elements differ in one member only.  Hashes of hub and element find those that several have, as those of
-    signatures do; what falls together by chance only adds a candidate.
+    signatures do; what falls together by chance only adds a candidate.  What no pair can meet by is not told.
     """
     rows = (seen.withColumn("row", F.monotonically_increasing_id()).join(labels, "id", "left")
             .withColumn("component", F.coalesce("component", "id")))
     rows = staged(rows, "partenum-differing")
     discard(seen)
-    early = F.when(F.col("near"), F.size("first")).otherwise(F.least(F.size("first"), (F.col("half") + 1).cast("int")))
-    # an even id has the elements that only y may bring, an odd one those that x may bring as well
-    parts = F.array(F.struct((F.col("row") * 2).alias("id"), F.filter("first", lambda e, i: i >= early).alias("part")),
-                    F.struct((F.col("row") * 2 + 1).alias("id"), F.filter("first", lambda e, i: i < early).alias("part")))
+    def part(kind: Column, within: Callable[[Column], Column]) -> Column:
+        return F.struct((F.col("row") * 4 + kind).alias("id"), F.filter("first", lambda e, i: within(i)).alias("part"))
+
+    # the last two bits of an id say what its elements are for
+    parts = F.array(part(F.when(F.col("near"), LINKED_EARLY).otherwise(EARLY), lambda i: i < F.col("early")),
+                    part(F.lit(MID), lambda i: (i >= F.col("early")) & (i < F.col("mid"))),
+                    part(F.lit(LATE), lambda i: i >= F.greatest("early", "mid")))
     hashed = rows.select("hub", F.explode(parts).alias("p")).select("p.id", F.expr("transform(p.part, e -> xxhash64(hub, e))").alias("sigs"))
-    found = repeated(hashed).select("sig", F.shiftright("id", 1).alias("row"), (F.col("id") % 2 == 1).alias("early"))
+    found = repeated(hashed, meeting).select("sig", F.shiftright("id", 2).alias("row"), (F.col("id").bitwiseAND(3)).alias("kind"))
     # an id with several texts has a row with each one's marks
     info = rows.select("row", "hub", "id", "near", "h", "size", "component").join(all_sets.select("id", "marks"), "id")
     found = staged(found.join(info, "row"), "partenum-elements")
@@ -542,13 +589,13 @@ def cross_candidates(seen: DataFrame, labels: DataFrame, all_sets: DataFrame, me
     release(seen.sparkSession)
     spread = found.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("near").alias("settled"))
     some = found.join(spread.where("lo <> hi AND NOT settled").select("sig"), "sig", "left_semi")
-    x = some.where("early").select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("near").alias("near_a"), F.col("marks").alias("ma"))
-    y = some.where("NOT near").select("sig", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"), F.col("marks").alias("mb"))
+    x = some.where(F.col("kind") <= EARLY).select("sig", "hub", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"), F.col("size").alias("na"), F.col("kind").alias("ka"), F.col("marks").alias("ma"))
+    y = some.where(F.col("kind") >= EARLY).select("sig", "hub", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"), F.col("size").alias("nb"), F.col("kind").alias("kb"), F.col("marks").alias("mb"))
     # sizes alone, by the triangle inequality the differences from the hub, and the marks rule pairs out before they are rows
     apart = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MARKS))
     may = (linked(measure, "d", "n") & (F.abs(F.col("ha") - F.col("hb")) * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num))
            & (apart * (measure.den + measure.num) <= F.col("n") * (measure.den - measure.num)))
-    pairs = (x.join(y, ["sig", "hub"]).where("ca <> cb AND (near_a OR ha < hb OR (ha = hb AND a < b))")
+    pairs = (x.join(y, ["sig", "hub"]).where(f"ca <> cb AND (ka = {LINKED_EARLY} OR (kb <> {LATE} AND (ha < hb OR (ha = hb AND a < b))))")
              .withColumn("n", F.col("na") + F.col("nb")).withColumn("d", F.abs(F.col("na") - F.col("nb"))).where(may))
     out = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "partenum-more")
     discard(found)
@@ -564,7 +611,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Me
     """
     missing_columns(docs, key, text)
     sigs = staged(signed(docs, key, text, measure), "partenum-signed")
-    found = components(links(docs, sigs, key, text, measure))
+    found = components(links(docs, repeated(sigs.where("id IS NOT NULL").select("id", "sigs")), key, text, measure))
     return (sigs.select("id", "n_shingles").join(found, "id", "left")
             .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")))
 
@@ -572,7 +619,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Me
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = Measure()) -> DataFrame:
     """The rows of `docs` whose key is the smallest of its component: one document of each group of near copies stays."""
     missing_columns(docs, key, text)
-    found = components(links(docs, signed(docs, key, text, measure), key, text, measure))
+    found = components(links(docs, repeated_in(docs, key, text, measure), key, text, measure))
     gone = found.where("id <> component").select("id")
     # the row goes along as one value, so that no name of a column is in the way
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"))
